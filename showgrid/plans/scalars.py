@@ -67,7 +67,7 @@ def titlecase_if_upper(t):
 
 
 @query("strip_director_prefix", """
-select id, director from F
+select id, coalesce(director, 'De') as director from F
 """)
 def strip_director_prefix(t):
     raw = F.when(F.col("director").isNull(), F.lit("De ")).when(F.col("id") % 2 == 0, F.concat(F.lit("De "), F.col("director"))).otherwise(F.col("director"))
@@ -165,10 +165,10 @@ def extract_external_id(t):
 
 
 @query("decode_ticket_token", """
-select page_id, case when page_id % 7 = 0 then '' else url end as url from pages
+select page_id, case when page_id % 7 = 0 then '' else regexp_replace(url, '[?].*$', '') end as url from pages
 """)
 def decode_ticket_token(t):
-    token = F.replace(F.replace(F.base64(F.encode("url", "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("="), F.lit(""))
+    token = F.replace(F.replace(F.base64(F.encode(F.regexp_replace("url", "[?].*$", ""), "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("="), F.lit(""))
     slashless = F.concat(F.lit("/venda/1/2/"), F.when(F.col("page_id") % 7 == 0, F.lit("@@@")).otherwise(token))
     return t.pages.select("page_id", X.decode_ticket_token(slashless).alias("url"))
 
