@@ -359,7 +359,7 @@ def top_bottom_n(scores: DataFrame, n: int = 10, bottom: bool = False) -> DataFr
     # row_number() <= n is cut to n rows per user and task before the shuffle
     cut = scores.withColumn("position", F.row_number().over(W.partitionBy("user_id").orderBy(*order)))
     cut = cut.where(F.col("position") <= n)
-    scaled = F.when(F.col("_max") > 0, F.round(F.col("score") / F.col("_max") * 100)).otherwise(F.lit(0.0))
+    scaled = F.when(F.col("_max") > 0, F.floor(F.col("score") * 100 / F.col("_max") + 0.5)).otherwise(F.lit(0))
     return cut.join(best, "user_id").withColumn("normalized_score", scaled.cast("int")).drop("_max")
 
 

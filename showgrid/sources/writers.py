@@ -37,10 +37,10 @@ class VersionedTable:
 
     def current(self) -> str | None:
         jvm, fs = _fs(self.spark, self.root)
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current")
+        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.root}/current.txt")
         if not fs.exists(pointer):
             return None
-        return self.spark.read.text(f"{self.root}/_current").head()[0]
+        return self.spark.read.text(f"{self.root}/current.txt").head()[0]
 
     def read(self, schema: str | None = None) -> DataFrame:
         folder = self.current()
@@ -58,14 +58,15 @@ class VersionedTable:
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{folder}")
         jvm, fs = _fs(self.spark, self.root)
         path = jvm.org.apache.hadoop.fs.Path
-        fresh = path(f"{self.root}/_current.tmp")
+        fresh = path(f"{self.root}/current.tmp")
         out = fs.create(fresh, True)
         out.write(bytearray(folder.encode()))
         out.close()
-        target = path(f"{self.root}/_current")
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(fresh, target)
+        overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = overwrite
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fresh, path(f"{self.root}/current.txt"), options)
         return folder
 
 
