@@ -14,6 +14,11 @@ from showgrid.operators.recommend import user_candidates
 SALTS = 16
 
 
+def steady(c: str) -> Column:
+    """Sort value of a sum: ten digits, so that the order in which tasks add up does not decide ties."""
+    return F.round(c, 10)
+
+
 def film_vectors(films: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(film_id, dim, category, w): eleven weighted feature groups.
 
@@ -138,12 +143,12 @@ def content_breakdown(profile: DataFrame, vectors: DataFrame) -> DataFrame:
     per = matching_features(profile, vectors).where("contribution > 0").groupBy("user_id", "film_id", "category").agg(F.sum("contribution").alias("c"))
     # at most eleven categories per pair
     total = F.sum("c").over(W.partitionBy("user_id", "film_id"))
-    return per.select("user_id", "film_id", "category", (F.floor(F.col("c") / total * 100 + 0.5) / 100).alias("share"))
+    return per.select("user_id", "film_id", "category", (F.floor(F.round(F.col("c") / total * 100, 6) + 0.5) / 100).alias("share"))
 
 
 def top_features(profile: DataFrame, vectors: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` strongest shared features of every user and film."""
-    order = W.partitionBy("user_id", "film_id").orderBy(F.col("contribution").desc(), F.col("dim"))
+    order = W.partitionBy("user_id", "film_id").orderBy(steady("contribution").desc(), F.col("dim"))
     found = matching_features(profile, vectors).where("contribution > 0")
     return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
 
@@ -170,8 +175,8 @@ def apply_idf(vectors: DataFrame, idf: DataFrame, variant: str = "plain", value:
 def profile_report(profile: DataFrame, n: int = 30, per_category: int = 5) -> DataFrame:
     """Per user: top profile dims, category shares and the top dims of each category."""
     p = profile.withColumn("category", F.substring_index("dim", ":", 1))
-    top = p.withColumn("position", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("v").desc(), F.col("dim")))).where(F.col("position") <= n)
-    best = p.withColumn("position", F.row_number().over(W.partitionBy("user_id", "category").orderBy(F.col("v").desc(), F.col("dim")))).where(F.col("position") <= per_category)
+    top = p.withColumn("position", F.row_number().over(W.partitionBy("user_id").orderBy(steady("v").desc(), F.col("dim")))).where(F.col("position") <= n)
+    best = p.withColumn("position", F.row_number().over(W.partitionBy("user_id", "category").orderBy(steady("v").desc(), F.col("dim")))).where(F.col("position") <= per_category)
     cats = p.groupBy("user_id", "category").agg(F.sum("v").alias("v"))
     totals = cats.groupBy("user_id").agg(F.sum("v").alias("_t"))
     shares = cats.join(totals, "user_id").select("user_id", F.lit("share").alias("part"), "category", F.lit(None).cast("string").alias("dim"),

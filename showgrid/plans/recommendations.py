@@ -109,27 +109,25 @@ def content_score(t):
 
 @query("content_breakdown", f"""
 with {VEC}, {KW}, {SCR}, {PROFILE}, c as (select p.user_id, f.film_id, f.category, sum(p.v * f.w) as c from pro p join (select * from vec where film_id in (select film_id from scr)) f on f.dim = p.dim where p.v * f.w > 0 group by all),
-s as (select *, floor(c / sum(c) over (partition by user_id, film_id) * 100 + 0.5) / 100 as share from c)
-select user_id, category, count(*) as films, round(avg(share), 6) as mean_share from s group by user_id, category
+s as (select *, floor(round(c / sum(c) over (partition by user_id, film_id) * 100, 6) + 0.5) / 100 as share from c)
+select user_id, category, count(*) as films, round(sum(share), 4) as share_sum from s group by user_id, category
 """.replace("s as (select *", "sh as (select *").replace("from s group", "from sh group"))
 def content_breakdown(t):
     """Shares are computed for every user and film and summarized per user for the report."""
     v = vectors(t)
     shares = X.content_breakdown(X.user_profile(resolved(t), v), screened_vectors(t, v))
-    return shares.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("films"), F.round(F.avg("share"), 6).alias("mean_share"))
+    return shares.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("films"), F.round(F.sum("share"), 4).alias("share_sum"))
 
 
 @query("top_matching_features", f"""
-with {VEC}, {KW}, {SCR}, {PROFILE}, c as (select p.user_id, f.film_id, f.dim, f.category, p.v * f.w as c, row_number() over (partition by p.user_id, f.film_id order by p.v * f.w desc, f.dim) as r
- from (select user_id, dim, round(v, 10) as v from pro) p join (select * from vec where film_id in (select film_id from scr)) f on f.dim = p.dim where p.v * f.w > 0)
-select user_id, category, count(*) as n, round(sum(c), 6) as total from c where r <= 10 group by all
+with {VEC}, {KW}, {SCR}, {PROFILE}, c as (select p.user_id, f.film_id, f.dim, f.category, p.v * f.w as c, row_number() over (partition by p.user_id, f.film_id order by round(p.v * f.w, 10) desc, f.dim) as r
+ from pro p join (select * from vec where film_id in (select film_id from scr)) f on f.dim = p.dim where p.v * f.w > 0)
+select user_id, category, count(*) as n, round(sum(c), 9) as total from c where r <= 10 group by all
 """)
 def top_matching_features(t):
     v = vectors(t)
-    # ten digits decide the order, so that equal weights summed in another order still tie
-    profile = X.user_profile(resolved(t), v).withColumn("v", F.round("v", 10))
-    best = X.top_features(profile, screened_vectors(t, v))
-    return best.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("contribution"), 6).alias("total"))
+    best = X.top_features(X.user_profile(resolved(t), v), screened_vectors(t, v))
+    return best.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("contribution"), 9).alias("total"))
 
 
 @query("idf_weights", f"""
@@ -155,16 +153,14 @@ def tfidf_scores(t):
 
 
 @query("profile_report", f"""
-with {VEC}, {KW}, {PROFILE}, q as (select user_id, dim, round(v, 10) as v, split_part(dim, ':', 1) as category from pro),
-c as (select user_id, category, sum(v) as v from q group by all), r1 as (select *, row_number() over (partition by user_id order by v desc, dim) as r from q), r2 as (select *, row_number() over (partition by user_id, category order by v desc, dim) as r from q)
-select user_id, 'top' as part, category, dim, round(v, 6) as v, r as position from r1 where r <= 30
-union all select user_id, 'share', category, null, round(v / sum(v) over (partition by user_id), 6), null from c
-union all select user_id, 'category_top', category, dim, round(v, 6), r from r2 where r <= 5
+with {VEC}, {KW}, {PROFILE}, q as (select *, split_part(dim, ':', 1) as category from pro),
+c as (select user_id, category, sum(v) as v from q group by all), r1 as (select *, row_number() over (partition by user_id order by round(v, 10) desc, dim) as r from q), r2 as (select *, row_number() over (partition by user_id, category order by round(v, 10) desc, dim) as r from q)
+select user_id, 'top' as part, category, dim, round(v, 9) as v, r as position from r1 where r <= 30
+union all select user_id, 'share', category, null, round(v / sum(v) over (partition by user_id), 9), null from c
+union all select user_id, 'category_top', category, dim, round(v, 9), r from r2 where r <= 5
 """)
 def profile_report(t):
-    # ten digits decide the order, so that equal weights summed in another order still tie
-    p = X.user_profile(resolved(t), vectors(t)).withColumn("v", F.round("v", 10))
-    return X.profile_report(p).withColumn("v", F.round("v", 6))
+    return X.profile_report(X.user_profile(resolved(t), vectors(t))).withColumn("v", F.round("v", 9))
 
 
 @query("compare_items", f"""
@@ -345,8 +341,10 @@ def graph_breakdown(t):
 @query("similar_watched", f"""
 with {pagerank_sql(2)}, k as materialized (select * from ul join ad using (attr, category) where category in ('director', 'cinematographer', 'composer', 'writer', 'cast', 'collection', 'keyword')),
 sp as materialized (select user_id, aid, category from (select user_id, aid, category, sum(links) as n from k group by all) join us using (user_id) where n <= case when category = 'keyword' then 0.03e0 else 0.25e0 end * films),
-pt as (select n.user_id, n.film_id, m.film_id as similar_id, p2.p * n.w * m.w as x from k n join sp on sp.user_id = n.user_id and sp.aid = n.aid join uf a on a.user_id = n.user_id and a.film_id = n.film_id and a.screened
-  join k m on m.user_id = n.user_id and m.aid = n.aid join uf b on b.user_id = m.user_id and b.film_id = m.film_id and b.watched join p2 on p2.user_id = n.user_id and p2.node = n.aid),
+ks as materialized (select k.user_id, k.film_id, k.aid, k.w from k semi join sp using (user_id, aid)),
+nr as materialized (select ks.user_id, ks.film_id, ks.aid, ks.w * p2.p as x1 from ks join p2 on p2.user_id = ks.user_id and p2.node = ks.aid semi join (select user_id, film_id from uf where screened) a on a.user_id = ks.user_id and a.film_id = ks.film_id),
+fr as materialized (select ks.user_id, ks.film_id as similar_id, ks.aid, ks.w as w2 from ks semi join (select user_id, film_id from uf where watched) b on b.user_id = ks.user_id and b.film_id = ks.film_id),
+pt as (select nr.user_id, film_id, similar_id, x1 * w2 as x from nr join fr on nr.user_id = fr.user_id and nr.aid = fr.aid),
 tt as (select user_id, film_id, similar_id, sum(x) as total from pt group by all)
 select user_id, film_id, similar_id, position, round(total, 6) as total from (select *, row_number() over (partition by user_id, film_id order by round(total, 10) desc, similar_id) as position from tt) where position <= 3
 """)

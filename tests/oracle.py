@@ -41,6 +41,7 @@ def rows_of_spark(df):
 
 def rows_of_duck(folder, sql):
     con = duckdb.connect()
+    con.execute("set memory_limit='8GB'; set max_temp_directory_size='6GB'")
     for path in glob.glob(f"{folder}/*.parquet"):
         name = os.path.basename(path)[:-8]
         con.execute(f"create view {name} as select * from read_parquet('{path}')")
