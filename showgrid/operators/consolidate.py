@@ -29,7 +29,8 @@ def flatten_sessions(nested: DataFrame) -> DataFrame:
     """
     rest = [c for c in nested.columns if c not in ("dates", "special")]
     special = F.col("special") if "special" in nested.columns else F.lit(None).cast("string")
-    one = nested.select(*rest, special.alias("_special"), F.posexplode("dates").alias("pos", "d"))
+    # the outer form keeps the optimizer from evaluating the array a second time in a size filter
+    one = nested.select(*rest, special.alias("_special"), F.posexplode_outer("dates").alias("pos", "d"))
     return one.select(
         *rest, "pos", F.col("d.timestamp").alias("timestamp"),
         F.coalesce(F.col("d.location"), F.col("theater"), F.lit("Unknown")).alias("location"),

@@ -80,7 +80,8 @@ def user_profile(watched: DataFrame, vectors: DataFrame) -> DataFrame:
 
     ``watched`` has ``user_id, film_id, rating``; only films with a vector count.
     """
-    known = watched.join(vectors.select("film_id").distinct(), "film_id", "left_semi").select(
+    films = vectors.where("category = 'runtime'").select("film_id")  # exactly one such dimension per film
+    known = watched.join(films, "film_id", "left_semi").select(
         "user_id", "film_id", (F.coalesce("rating", F.lit(3.0)) / 5).alias("weight"))
     totals = known.groupBy("user_id").agg(F.sum("weight").alias("total"))
     sums = known.join(vectors, "film_id").groupBy("user_id", "dim").agg(F.sum(F.col("w") * F.col("weight")).alias("s"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +40,7 @@ def is_spanish(languages: Column) -> Column:
     return F.arrays_overlap(languages, F.array(*[F.lit(v) for v in lookups.SPANISH_LANGUAGE_VALUES]))
 
 
-def session_filters(films: DataFrame, upcoming: DataFrame, venues: list[str] | None = None, date: str | None = None,
+def session_filters(films: DataFrame, upcoming: DataFrame, venues: list[str] | None = None, day: str | None = None,
                     version: str = "original", weekdays: list[int] | None = None) -> DataFrame:
     """Upcoming sessions under the venue, day, weekday (0 = Monday) and version filters.
 
@@ -53,8 +54,8 @@ def session_filters(films: DataFrame, upcoming: DataFrame, venues: list[str] | N
     kept = upcoming
     if venues is not None:
         kept = kept.where(F.col("location").isin(venues))
-    if date is not None:
-        kept = date_range_sessions(kept, date, date)
+    if day is not None:
+        kept = date_range_sessions(kept, day, day)
     if weekdays:
         kept = kept.where(F.weekday("showtime").isin(weekdays))
     languages = films.select(F.col("id").alias("film_id"), is_spanish(F.col("primary_language")).alias("_spanish"))
@@ -239,9 +240,8 @@ def daily_film_counts(screenings: DataFrame, start: str, days: int) -> DataFrame
 
 def month_grid(screenings: DataFrame, month_day: str) -> DataFrame:
     """42 cells from the Monday on or before the first of the month."""
-    start = F.date_trunc("week", F.date_trunc("month", F.lit(month_day).cast("timestamp_ntz"))).cast("date")
-    text = screenings.sparkSession.range(1).select(start.cast("string")).head()[0]
-    return daily_film_counts(screenings, text, 42)
+    first = date.fromisoformat(month_day).replace(day=1)
+    return daily_film_counts(screenings, str(first - timedelta(days=first.weekday())), 42)
 
 
 def url_references(films: DataFrame, screenings: DataFrame, start: str, end: str | None = None) -> DataFrame:

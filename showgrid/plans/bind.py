@@ -172,7 +172,7 @@ def watched_sql() -> str:
     """Feedback per (user, film): the last order line decides the rating, counts decide rewatches."""
     return """
       select o_custkey as user_id, l_partkey as film_id,
-             case when max_by(l_returnflag, o_orderkey * 10 + l_linenumber + l_quantity / 1000) <> 'N'
+             case when max_by(ascii(l_returnflag), o_orderkey * 10 + l_linenumber + l_quantity / 1000) <> ascii('N')
                   then greatest(0.5e0, round(max_by(l_quantity, o_orderkey * 10 + l_linenumber + l_quantity / 1000) / 10 * 2) / 2) end as rating,
              max(case when l_returnflag = 'A' then 1 else 0 end) = 1 as liked,
              cast(max(o_orderdate) as date) as watched_date,
@@ -212,9 +212,22 @@ class Tables:
 
     @cached_property
     def screenings(self) -> DataFrame:
-        lines, venues = self.raw("lineitem"), self.raw("supplier")
+        return self._screenings(self.raw("lineitem"))
+
+    def _screenings(self, lines: DataFrame) -> DataFrame:
+        venues = self.raw("supplier")
         return lines.join(venues, lines.l_suppkey == venues.s_suppkey).selectExpr(*screenings_columns(self._d))
 
+    def screenings_from(self, as_of: str) -> DataFrame:
+        """Screenings that can start at or after ``as_of``, with a bound on the stored day column.
+
+        A session starts 12 to 24 hours after its stored day, so the bound loses nothing, and unlike a
+        bound on the computed start time it reaches the scan and its row-group statistics. The exact
+        predicate is still applied by the operators.
+        """
+        bound = f"l_shipdate >= timestamp_ntz '{as_of}' - interval 1 day"
+        return self._screenings(self.raw("lineitem").where(bound))
+
     @cached_property
     def watched(self) -> DataFrame:
         per_film = self.spark.sql(watched_sql().replace("from orders join lineitem", "from {orders} join {lineitem}"),

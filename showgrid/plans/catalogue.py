@@ -23,7 +23,7 @@ select id, title, rating, sessions, strftime(nxt, '%Y-%m-%d %H:%M') as next_show
 from F join u on id = film_id order by rating desc nulls last, case when rating is null then title end, id limit 30
 """)
 def whats_on(t: Tables):
-    per_film = V.upcoming_sessions(t.screenings, AS_OF).groupBy("film_id").agg(
+    per_film = V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF).groupBy("film_id").agg(
         F.count(F.lit(1)).alias("sessions"), F.min("showtime").alias("next"))
     joined = t.films.join(per_film, F.col("id") == F.col("film_id"))
     return V.catalogue_page(joined, 30).select("id", "title", "rating", "sessions", stamp("next").alias("next_showtime"))
@@ -45,7 +45,7 @@ select 'day', film_id, count(*) from S where showtime >= date_trunc('day', times
 """)
 def upcoming(t):
     def counts(g):
-        return V.upcoming_sessions(t.screenings, "2001-09-01 15:00:00", g).groupBy("film_id").agg(
+        return V.upcoming_sessions(t.screenings_from("2001-09-01 00:00:00"), "2001-09-01 15:00:00", g).groupBy("film_id").agg(
             F.count(F.lit(1)).alias("sessions")).withColumn("granularity", F.lit(g))
     return counts("instant").unionByName(counts("day"))
 
@@ -59,7 +59,7 @@ from up join fl on fl.id = up.film_id left join orig on orig.film_id = up.film_i
 where isodow(showtime) in (5, 6, 7) and (spanish or coalesce(version, '') <> 'dubbed')
 """)
 def session_filters(t):
-    up = V.upcoming_sessions(t.screenings, AS_OF)
+    up = V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF)
     return V.session_filters(t.films, up, version="original", weekdays=[4, 5, 6]).select(
         "film_id", "seq", "location", "has_original_version")
 
@@ -74,8 +74,8 @@ where location in (select s_name from supplier where s_nationkey < 12)
 def session_filters_dubbed(t):
     # venue choices of a page are a table here, so they are a semi join rather than a literal list
     venues = t.raw("supplier").where("s_nationkey < 12").select(F.col("s_name").alias("location"))
-    up = V.upcoming_sessions(t.screenings, AS_OF).join(venues, "location", "left_semi")
-    return V.session_filters(t.films, up, date="2001-09-20", version="dubbed").select("film_id", "seq")
+    up = V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF).join(venues, "location", "left_semi")
+    return V.session_filters(t.films, up, day="2001-09-20", version="dubbed").select("film_id", "seq")
 
 
 @query("film_filters", f"""
@@ -89,7 +89,7 @@ select id, title from F where id in (select film_id from a) and id in (select fi
   and (lower(strip_accents(title)) like '%ol%' or lower(strip_accents(coalesce(title_en, ''))) like '%ol%' or lower(strip_accents(coalesce(director, ''))) like '%ol%')
 """)
 def film_filters(t):
-    up = V.upcoming_sessions(t.screenings, AS_OF)
+    up = V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF)
     chosen = V.film_filters(
         t.films, search="ÓL", genres=["ECONOMY", "SMALL", "PROMO", "G0", "G4"],
         countries=["Country0", "Country1", "Country2", "Country3", "UK"],
@@ -108,7 +108,7 @@ def title_search(t):
 select id, title, seq, location from F join S on id = film_id where showtime >= {T}
 """)
 def films_with_screenings(t):
-    return V.films_with_screenings(t.films, t.screenings, AS_OF).select("id", "title", "seq", "location")
+    return V.films_with_screenings(t.films, t.screenings_from(AS_OF), AS_OF).select("id", "title", "seq", "location")
 
 
 @query("films_overview", """
@@ -146,7 +146,7 @@ union all
 select 'primary_language', v, count(*) from (select id, unnest(list_distinct(primary_language)) as v from a) group by v
 """)
 def facet_values(t):
-    parts = [V.facet_values(t.films, t.screenings, f, AS_OF).withColumn("facet", F.lit(f))
+    parts = [V.facet_values(t.films, t.screenings_from(AS_OF), f, AS_OF).withColumn("facet", F.lit(f))
              for f in ("genres", "country", "primary_language")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -157,7 +157,7 @@ select distinct case when d < 1920 then '< 20s' else concat(d, 's') end as label
   case when d < 1920 then 0 else d end as "start", case when d < 1920 then 1919 else d + 9 end as "end" from d
 """)
 def facet_decades(t):
-    return V.facet_decades(t.films, t.screenings, AS_OF)
+    return V.facet_decades(t.films, t.screenings_from(AS_OF), AS_OF)
 
 
 @query("headline_stats", """
@@ -172,7 +172,7 @@ def headline_stats(t):
 select min(year) as min_year, max(year) as max_year from F where id in (select film_id from S where showtime >= {T})
 """)
 def year_bounds(t):
-    return V.year_bounds(t.films, t.screenings, AS_OF)
+    return V.year_bounds(t.films, t.screenings_from(AS_OF), AS_OF)
 
 
 @query("last_chance", """
@@ -184,7 +184,7 @@ having max(showtime) <= timestamp '2001-10-28 23:59:59'
 """)
 def last_chance(t):
     now = "2001-10-25 15:00:00"
-    parts = [V.last_chance(t.screenings, now, m).select(F.lit(m).alias("mode"), "film_id") for m in ("instant", "calendar")]
+    parts = [V.last_chance(t.screenings_from("2001-10-25 00:00:00"), now, m).select(F.lit(m).alias("mode"), "film_id") for m in ("instant", "calendar")]
     return parts[0].unionByName(parts[1])
 
 
@@ -235,7 +235,7 @@ r as (select distinct url, title, showtime, location from long join F on id = fi
 select url, count(*) as "references", strftime(min(showtime), '%Y-%m-%d %H:%M') as first_showtime from r group by url
 """)
 def url_references(t):
-    return V.url_references(t.films, t.screenings, AS_OF).withColumn("first_showtime", stamp("first_showtime"))
+    return V.url_references(t.films, t.screenings_from(AS_OF), AS_OF).withColumn("first_showtime", stamp("first_showtime"))
 
 
 @query("broken_urls", f"""
@@ -248,7 +248,7 @@ select c.url, n as "references", status from c join st on st.url = c.url where s
 """)
 def broken_urls(t):
     status = t.raw("part").selectExpr("concat('i/', p_partkey) as url", "case when p_size % 5 = 0 then 404 else 200 end as status")
-    return V.broken_urls(V.url_references(t.films, t.screenings, AS_OF), status).select("url", "references", "status")
+    return V.broken_urls(V.url_references(t.films, t.screenings_from(AS_OF), AS_OF), status).select("url", "references", "status")
 
 
 @query("location_summary", """
@@ -272,7 +272,7 @@ select seq, film_id, 999 as venue_order,
 from S where showtime >= {T}
 """)
 def sessions_by_venue_day(t):
-    return V.sessions_by_venue_day(V.upcoming_sessions(t.screenings, AS_OF)).select("seq", "film_id", "venue_order", "position")
+    return V.sessions_by_venue_day(V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF)).select("seq", "film_id", "venue_order", "position")
 
 
 @query("next_session", f"""
@@ -281,7 +281,7 @@ select film_id, strftime(showtime, '%Y-%m-%d %H:%M') as next_showtime, location
  from S where showtime >= {T}) where r = 1
 """)
 def next_session(t):
-    return V.next_session(t.screenings, AS_OF).withColumn("next_showtime", stamp("next_showtime"))
+    return V.next_session(t.screenings_from(AS_OF), AS_OF).withColumn("next_showtime", stamp("next_showtime"))
 
 
 @query("first_days_per_venue", f"""
@@ -289,7 +289,7 @@ select seq, film_id, location from (select *, dense_rank() over (partition by lo
  from S where showtime >= {T}) where r <= 3
 """)
 def first_days_per_venue(t):
-    return V.first_days_per_venue(t.screenings, AS_OF).select("seq", "film_id", "location")
+    return V.first_days_per_venue(t.screenings_from(AS_OF), AS_OF).select("seq", "film_id", "location")
 
 
 @query("rank_catalog", """
@@ -329,7 +329,7 @@ def candidate_universe(t):
     from showgrid.operators.recommend import user_candidates
 
     watched = t.watched.where("film_id is not null").select("user_id", "film_id")
-    screened = V.upcoming_sessions(t.screenings, AS_OF_LATE).select("film_id").distinct()
+    screened = V.upcoming_sessions(t.screenings_from(AS_OF_LATE), AS_OF_LATE).select("film_id").distinct()
     return V.candidate_universe(watched, user_candidates(watched, screened))
 
 

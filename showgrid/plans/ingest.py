@@ -60,7 +60,7 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, 1, b, null, case when k <
 """)
 def parse_dates_cell(t):
     parsed = cells(t).withColumn("d", R.parse_dates_cell(F.col("cell")))
-    return parsed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode("d").alias("pos", "s")).select(
+    return parsed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode_outer("d").alias("pos", "s")).where("pos is not null").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "pos", "s.timestamp", "s.location", "s.url_tickets")
 
 
@@ -81,7 +81,7 @@ select film_id as id, count(*) as sessions, strftime(min(showtime), '%Y-%m-%d %H
 """)
 def catalog_roundtrip(t):
     """Write the nested catalogue of upcoming films as JSON lines and read it back."""
-    nested = C.nest_sessions(t.films, V.upcoming_sessions(t.screenings, AS_OF))
+    nested = C.nest_sessions(t.films, V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF))
     rows = nested.select(
         "title", "director", "year", F.col("id").cast("string").alias("short_url"), "film_url", "rating", "genres",
         F.transform("dates", lambda d: F.struct(F.date_format(d["showtime"], FMT).alias("timestamp"), d["location"].alias("location"), d["url_tickets"].alias("url_tickets"))).alias("dates"))
@@ -360,7 +360,11 @@ def merge_by_identity(t):
 
 
 @query("merge_by_url_or_title", """
-select base_title as title, min(min_seq) as film_key, cast(sum(n) as bigint) as entries from (select base_title, min(seq) as min_seq, count(*) as n from SC group by base_title) group by base_title
+with recursive tu as materialized (select title, film_url, min(base_title) as b, min(seq) as q, count(*) as n from SC group by title, film_url),
+e as materialized (select distinct x.title as x, y.title as y from tu x join tu y on x.film_url = y.film_url union select title, title from tu),
+r as (select x, y from e union select r.x, e.y from r join e on e.x = r.y),
+c as (select x, min(y) as g from r group by x)
+select min(b) as title, min(q) as film_key, cast(sum(n) as bigint) as entries from tu join c on c.x = tu.title group by g
 """)
 def merge_by_url_or_title(t):
     linked = C.merge_by_url_or_title(t.scraped)
@@ -578,7 +582,7 @@ select p as policy, seq, x.film_id, location, case p when 'any' then case when n
 from x join h on h.film_id = x.film_id cross join (values ('any'), ('marked'), ('tagged')) as pol(p)
 """)
 def version_counterpart(t):
-    s = V.upcoming_sessions(t.screenings, AS_OF).select("seq", "film_id", "location", F.col("version").eqNullSafe("VOSE").alias("is_original"), F.col("version").eqNullSafe("dubbed").alias("is_dubbed"))
+    s = V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF).select("seq", "film_id", "location", F.col("version").eqNullSafe("VOSE").alias("is_original"), F.col("version").eqNullSafe("dubbed").alias("is_dubbed"))
     parts = [J.version_counterpart(s, p).select(F.lit(p).alias("policy"), "seq", "film_id", "location", "version") for p in ("any", "marked", "tagged")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -690,9 +694,9 @@ def needs_enrichment(t):
     f = t.films
     variants = {
         "all_missing": A.needs_enrichment(f, ["rating", "collection_id", "overview"]),
-        "poster": A.needs_enrichment(f, ["poster_path"], recent_years=1, this_year=2001, screenings=t.screenings, as_of=AS_OF),
+        "poster": A.needs_enrichment(f, ["poster_path"], recent_years=1, this_year=2001, screenings=t.screenings_from(AS_OF), as_of=AS_OF),
         "any_crew": A.needs_enrichment(f, ["cinematographers", "composers"], any_missing=True),
-        "backfill": A.needs_enrichment(f, ["rating"], backfill=True, screenings=t.screenings, as_of=AS_OF),
+        "backfill": A.needs_enrichment(f, ["rating"], backfill=True, screenings=t.screenings_from(AS_OF), as_of=AS_OF),
     }
     out = None
     for name, df in variants.items():
@@ -786,7 +790,7 @@ select id as film_id, seq, md5(concat('{{"@type":"ScreeningEvent","name":"', tit
  case when version = 'VOSE' then ',"subtitleLanguage":"es"' else '' end, '}}')) as event from x
 """)
 def event_feed(t):
-    return E.event_feed(t.films, t.screenings, AS_OF).withColumn("event", F.md5("event"))
+    return E.event_feed(t.films, t.screenings_from(AS_OF), AS_OF).withColumn("event", F.md5("event"))
 
 
 @query("venue_directory", """
@@ -806,4 +810,4 @@ select strftime(day, '%Y-%m-%d') as day, count(*) as lines, md5(array_to_string(
 from ln group by day
 """)
 def daily_listing_text(t):
-    return E.daily_listing_text(t.films, t.screenings, AS_OF).select(F.col("day").cast("string").alias("day"), "lines", F.md5("text").alias("text"), "label")
+    return E.daily_listing_text(t.films, t.screenings_from(AS_OF), AS_OF).select(F.col("day").cast("string").alias("day"), "lines", F.md5("text").alias("text"), "label")

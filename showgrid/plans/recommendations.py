@@ -65,7 +65,7 @@ def resolved(t: Tables):
 
 
 def screened(t: Tables):
-    return V.upcoming_sessions(t.screenings, AS_OF_SCORES).select("film_id").distinct()
+    return V.upcoming_sessions(t.screenings_from(AS_OF_SCORES), AS_OF_SCORES).select("film_id").distinct()
 
 
 def screened_vectors(t: Tables, v=None):

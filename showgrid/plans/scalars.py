@@ -194,7 +194,7 @@ select seq, film_id, concat('https://calendar.example/render?action=TEMPLATE&tex
 def deep_link(t):
     from showgrid.operators.serving import upcoming_sessions
 
-    sessions = upcoming_sessions(t.screenings, AS_OF).join(t.films.select(F.col("id").alias("film_id"), "title", "year", "runtime_minutes"), "film_id")
+    sessions = upcoming_sessions(t.screenings_from(AS_OF), AS_OF).join(t.films.select(F.col("id").alias("film_id"), "title", "year", "runtime_minutes"), "film_id")
     link = D.calendar_link("https://calendar.example/render", F.col("title"), F.col("year"), F.col("showtime"), F.col("runtime_minutes"))
     return sessions.select("seq", "film_id", F.replace(link, F.lit("%29"), F.lit(")")).alias("link"))
 

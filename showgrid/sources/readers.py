@@ -104,7 +104,7 @@ def read_user_export(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             raw = spark.createDataFrame([], schema)
-        user = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/" + file.replace(".", r"\.") + "$", 1)
+        user = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/" + file.replace(".", r"\.") + "(/|$)", 1)
         known = raw.withColumn("user_id", user) if raw.inputFiles() else raw.withColumn("user_id", F.lit(None).cast("string"))
         out[name] = known.withColumn("uri", blank_to_null("uri")).where("uri is not null")
     if not out["watched"].inputFiles():
