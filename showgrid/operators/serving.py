@@ -205,24 +205,24 @@ def publication_cliff(screenings: DataFrame, ratio: float = 0.5) -> DataFrame:
 
     The cliff is the first day whose count drops below ``ratio`` times the mean of the days before.
     Sessions are reduced to one row per venue and day first; the windows run over these daily rows,
-    whose number per venue is bounded by the calendar.
+    whose number per venue is bounded by the calendar, and all share one shuffle.
     """
     from pyspark.sql import Window as W
 
     daily = screenings.groupBy("location", F.to_date("showtime").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    span = daily.groupBy("location").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    calendar = span.select("location", F.explode(F.sequence("first", "last")).alias("day"))
-    filled = calendar.join(daily, ["location", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    before = W.partitionBy("location").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    marked = filled.withColumn("baseline", F.avg("n").over(before))
-    cliff = marked.groupBy("location").agg(
-        F.min(F.when((F.col("n") > 0) & (F.col("n") < ratio * F.col("baseline")), F.col("day"))).alias("cliff_day"),
-        F.max("day").alias("_last"))
-    full = cliff.select("location", "cliff_day", F.coalesce(F.date_sub("cliff_day", 1), F.col("_last")).alias("last_full_day"))
+    venue = W.partitionBy("location")
+    before = F.sum("n").over(venue.orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+    # days without sessions add nothing to the sum but count in the mean, so no calendar has to be filled in
+    baseline = before / F.nullif(F.date_diff("day", F.min("day").over(venue)), F.lit(0))
+    marked = daily.withColumn("_drop", F.when(F.col("n") < ratio * baseline, F.col("day")))
+    cliff = marked.withColumn("cliff_day", F.min("_drop").over(venue))
+    full = F.coalesce(F.date_sub("cliff_day", 1), F.max("day"))
     return (
-        filled.join(full, "location")
-        .groupBy("location", "cliff_day", "last_full_day")
-        .agg(F.count_if((F.col("n") == 0) & (F.col("day") <= F.col("last_full_day"))).alias("gap_days"))
+        cliff.groupBy("location", "cliff_day")
+        .agg(full.alias("last_full_day"), F.min("day").alias("_first"),
+             F.count_if(F.col("cliff_day").isNull() | (F.col("day") < F.col("cliff_day"))).alias("_listed"))
+        .select("location", "cliff_day", "last_full_day",
+                (F.date_diff("last_full_day", "_first") + 1 - F.col("_listed")).alias("gap_days"))
     )
 
 

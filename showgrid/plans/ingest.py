@@ -76,10 +76,10 @@ def flatten_sessions(t):
     return C.flatten_sessions(nested).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "timestamp", "location", "url_info", "special")
 
 
-@query("catalog_roundtrip", f"""
+@query("read_catalog_json", f"""
 select film_id as id, count(*) as sessions, strftime(min(showtime), '%Y-%m-%d %H:%M') as first_session from S where showtime >= timestamp '{AS_OF}' group by film_id
 """)
-def catalog_roundtrip(t):
+def read_catalog_json(t):
     """Write the nested catalogue of upcoming films as JSON lines and read it back."""
     nested = C.nest_sessions(t.films, V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF))
     rows = nested.select(
@@ -91,10 +91,10 @@ def catalog_roundtrip(t):
     return back.select(F.col("short_url").cast("long").alias("id"), F.size("dates").cast("long").alias("sessions"), F.element_at("dates", 1)["timestamp"].alias("first_session"))
 
 
-@query("scraped_csv_roundtrip", """
+@query("read_scraped_csv", """
 select l_orderkey, l_partkey, l_suppkey, l_linenumber, case when l_orderkey % 5 < 4 then 2 else 0 end as sessions, case when l_orderkey % 3 = 0 then null else 1900 + l_partkey % 100 end as year from lineitem
 """)
-def scraped_csv_roundtrip(t):
+def read_scraped_csv(t):
     raw = cells(t)
     title = F.concat_ws("/", F.lit('quote " and, comma'), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     rows = raw.select(F.lit("Main").alias("theater"), title.alias("title"), F.lit("").alias("theater_film_link"), F.col("cell").alias("dates"),
@@ -107,6 +107,26 @@ def scraped_csv_roundtrip(t):
     return R.read_scraped_csv(t.spark, path).select(*ids, F.size("dates").alias("sessions"), "year")
 
 
+@query("write_catalog", """
+select 'parquet' as format, x as genre, count(*) as films from F, unnest(genres) as t(x) group by x
+union all select 'csv', x, count(*) from F, unnest(genres) as t(x) group by x
+""")
+def write_catalog(t):
+    """Write films with their genre lists as parquet and CSV, read both back and count."""
+    films, out = t.films.select("id", "title", "genres"), None
+    for fmt in ("parquet", "csv"):
+        path = scratch(t, f"films-{fmt}")
+        Wr.write_catalog(films, path, fmt)
+        if fmt == "parquet":
+            back = t.spark.read.parquet(path)
+        else:
+            back = t.spark.read.schema("id long, title string, genres string").option("header", True).option("escape", '"').csv(path).withColumn(
+                "genres", F.from_json("genres", "array<string>"))
+        part = back.select(F.explode("genres").alias("genre")).groupBy("genre").agg(F.count(F.lit(1)).alias("films")).withColumn("format", F.lit(fmt))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def scratch(t: Tables, name: str) -> str:
     """A fresh path in the cluster's shared folder, or in a local one when running locally."""
     import uuid

@@ -424,9 +424,26 @@ def preference_pairs(t):
     return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("better").alias("better_sum"), F.sum("worse").alias("worse_sum"))
 
 
-@query("pairwise_ltr")
+def ltr_sql(epochs: int = 15) -> str:
+    """The same full-batch steps as chained steps over all valid pairs; no user of these tables has more than 3000."""
+    steps = []
+    for i in range(1, epochs + 1):
+        rate = 0.005 * 0.95 ** (i - 1)
+        steps.append(f"""s{i} as materialized (select x.user_id, x.film_id, sum(x.w * o.weight) as s from x join w{i - 1} o on o.user_id = x.user_id and o.dim = x.dim group by all),
+c{i} as materialized (select p.user_id, better, worse, 1 - 1 / (1 + exp(-greatest(-20.0, least(20.0, a.s - b.s)))) as c from pp p join s{i} a on a.user_id = p.user_id and a.film_id = better join s{i} b on b.user_id = p.user_id and b.film_id = worse),
+a{i} as materialized (select user_id, film_id, sum(c) as a, count(*) as n from (select user_id, better as film_id, c from c{i} union all select user_id, worse, -c from c{i}) group by all),
+g{i} as materialized (select x.user_id, x.dim, sum(x.w * a) as g, sum(n) as n from x join a{i} a on a.user_id = x.user_id and a.film_id = x.film_id group by all),
+w{i} as materialized (select o.user_id, o.dim, o.weight + {rate!r} * coalesce(share, 0) * (coalesce(g, 0) - 0.001 * coalesce(n, 0) * o.weight) as weight from w{i - 1} o left join g{i} g on g.user_id = o.user_id and g.dim = o.dim left join sh on sh.user_id = o.user_id)""")
+    return f"""{VEC}, {KW}, rt as materialized (select user_id, film_id, rating from kw where rating is not null),
+x as materialized (select rt.user_id, rt.film_id, dim, w from rt join vec on vec.film_id = rt.film_id),
+pp as materialized (select a.user_id, a.film_id as better, b.film_id as worse from rt a join rt b on a.user_id = b.user_id and a.rating > b.rating),
+sh as (select user_id, least(1.0, 1500.0 / count(*)) as share from pp group by user_id),
+w0 as materialized (select distinct user_id, dim, 0.01e0 as weight from x), """ + ",\n".join(steps)
+
+
+@query("pairwise_ltr", f"with {ltr_sql()} select user_id, dim, round(weight, 8) as weight from w15")
 def pairwise_ltr(t):
-    return SC.pairwise_ltr(vectors(t), rated(t))
+    return SC.pairwise_ltr(vectors(t), rated(t)).withColumn("weight", F.round("weight", 8))
 
 
 @query("holdout_split", f"""
