@@ -1,3 +1,3 @@
 """Imports every operator module, so that its queries are registered."""
 
-from showgrid.llm import mixing, pii, secrets  # noqa: F401
+from showgrid.llm import mixing, pieces, pii, quality, secrets, spotsigs  # noqa: F401
