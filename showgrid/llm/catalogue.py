@@ -1,3 +1,3 @@
 """Imports every operator module, so that its queries are registered."""
 
-from showgrid.llm import mixing, ngrams, pieces, pii, quality, secrets, spotsigs, vectors  # noqa: F401
+from showgrid.llm import debruijn, mixing, ngrams, pieces, pii, quality, secrets, spotsigs, suffixes, vectors  # noqa: F401

@@ -132,12 +132,14 @@ MARK_SCHEMA = "anchor long, content long, doc long, seq long, lo int, hi int, h1
 
 
 def marks_of(table: pa.Table, k: int) -> pa.Table:
-    """Marks for whole groups of runs, sorted by anchor, part, document and place.
+    """Marks for whole groups of runs, sorted by anchor and part.
 
     ``h1`` is null in a row that marks the strings lo to hi of a run as later copies. Runs of an anchor with several
     parts also give, one by one, the strings that are not marked here, to be compared with the other parts.
     """
-    anchor, part, parts, content, doc, seq = (table.column(c).to_numpy() for c in ("anchor", "part", "parts", "content", "doc", "seq"))
+    # parts of one anchor that happen to be here together are compared at once, in the order of documents and places
+    table = table.sort_by([(c, "ascending") for c in ("anchor", "doc", "seq")]).combine_chunks()
+    anchor, parts, content, doc, seq = (table.column(c).to_numpy() for c in ("anchor", "parts", "content", "doc", "seq"))
     bodies = [b.as_py() for b in table.column("body")]
     size = np.array([len(b) for b in bodies], np.int64)
     out: dict[str, list[np.ndarray]] = {c.split()[0]: [] for c in MARK_SCHEMA.split(", ")}
@@ -149,8 +151,8 @@ def marks_of(table: pa.Table, k: int) -> pa.Table:
             out[c].append(pa.nulls(len(rows), pa.int64()) if v is None else pa.array(v.view(np.int64)))
 
     new = np.ones(len(bodies), bool)  # a content that came before is a copy as a whole
-    order = np.lexsort((np.arange(len(bodies)), content, part, anchor))
-    same = (anchor[order][1:] == anchor[order][:-1]) & (part[order][1:] == part[order][:-1]) & (content[order][1:] == content[order][:-1])
+    order = np.lexsort((np.arange(len(bodies)), content, anchor))
+    same = (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])
     new[order[1:][same]] = False
     copies = np.flatnonzero(~new)
     put(copies, np.zeros(len(copies), np.int64), size[copies] - k + 1)
@@ -220,11 +222,11 @@ def remove_repeated_bytes(docs: DataFrame, k: int = K, m: int = ANCHOR) -> DataF
                          "doc": place[runs.doc[which]], "seq": which.astype(np.int64), "body": pa.array(body, pa.binary())})
 
     told = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tell_runs, RUN_SCHEMA)
-    gathered = told.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part", "doc", "seq")
+    gathered = told.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part")
 
     def mark(batches):
         for table in sorted_groups(batches, ["anchor", "part"]):
-            yield from marks_of(table.combine_chunks(), k).to_batches()
+            yield from marks_of(table, k).to_batches()
 
     marks = gathered.mapInArrow(mark, MARK_SCHEMA)
     # strings of split anchors meet the other parts; a mark stands alone under a key of its own and passes
