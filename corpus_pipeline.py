@@ -21,7 +21,8 @@ ORACLE_SQL = None
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier predicts as good; those it rejects go."""
     model = quality.fit(docs, quality.read_labels(spark, sf_dir))
-    return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    kept = quality.predictions(docs, model).where("predicted = 1")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

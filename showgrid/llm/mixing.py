@@ -44,15 +44,16 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> D
 
 
 def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: float = 2.0, ranges_per_task: int = 8,
-        payload: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and ``payload`` columns of ``docs``.
+        with_row: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken; ``with_row`` also the whole input row as the struct ``row``.
 
     ``size`` is the number of words, 0 for null and empty texts. The words taken from a source sum to its target,
     rounded down; no document gives more than ``ceil(most)`` times its size. Equal rows share a key; the
-    order among them is free, and the rows of the result are the same for any order. Other columns are left out.
+    order among them is free, and the rows of the result are the same for any order. Other columns are left out, whatever their names.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *payload)
+    row = [F.struct(*docs.columns).alias("row")] if with_row else []
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row)
     targets = source_targets(base.select("source", "size"), share, most)
     ranges = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.sum("rows").over(W.partitionBy()) * parts * ranges_per_task)).cast("long")
     targets = targets.withColumn("ranges", ranges).withColumn("budget", F.floor("target").cast("long"))
@@ -70,27 +71,26 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: float = 2.
     left = F.col("budget") - F.col("_epochs") * F.col("source_size") - F.col("_before") - F.col("_inside")
     taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", left))
     return (rows.withColumn("_epochs", epochs).withColumn("taken", taken.cast("long"))
-            .select("doc_id", "source", "size", "source_size", "target", "taken", *payload))
+            .select("doc_id", "source", "size", "source_size", "target", "taken", *(["row"] if with_row else [])))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, once per epoch; the document at the cut keeps only the words that are taken.
 
     A whole text stays as it is. A cut text is its first words joined by one space, with its new ``n_chars``. Texts without
-    words carry nothing and are left out. Columns are those of ``docs``, which may not have further ones named like the mix's.
+    words carry nothing and are left out. The columns are those of ``docs``.
     """
-    columns = docs.columns
-    plan = mix(docs.select("doc_id", "source", "text", *[c for c in columns if c not in ("doc_id", "source", "text")]),
-               payload=tuple(c for c in columns if c not in ("doc_id", "source")))
+    plan = mix(docs, with_row=True)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     over = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(over > 0, F.array(over)).otherwise(F.array().cast("array<int>")))
-    out = plan.withColumn("_keep", F.explode(copies)).withColumn(
-        "text", F.when(F.col("_keep") == F.col("size"), F.col("text"))
-        .otherwise(F.array_join(F.slice(word_array(F.col("text")), 1, F.col("_keep")), " ")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_keep") == F.col("size"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*columns)
+    out = plan.withColumn("keep", F.explode(copies))
+    same, text = F.col("keep") == F.col("size"), F.col("row").getField("text")
+    out = out.withColumn("text", F.when(same, text).otherwise(F.array_join(F.slice(word_array(text), 1, F.col("keep")), " ")))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(same, F.col("row").getField("n_chars")).otherwise(F.length("text").cast("long"))
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = r"""

@@ -256,9 +256,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``jaccard_join`` keeps, one of each group, with all columns; rows that repeat a kept id stay once."""
-    keep = jaccard_join(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that ``jaccard_join`` keeps, one of each group, with all columns.
+
+    Rows that share a doc_id are one document and stay or go together; rows without one stay.
+    """
+    keep = jaccard_join(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
 
 
 @query("op4_ngram_join")

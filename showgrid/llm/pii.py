@@ -64,13 +64,14 @@ def context_score(text: Column, kind: str, start: Column, end: Column) -> Column
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_text`` (null as empty) and ``_spans``: array of struct<kind, start, end, text, score>.
+def pii_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns with ``whole`` (the text, null as empty) and ``spans``: array of struct<kind, start, end, text, score>.
 
     Base kinds stay whatever their score; ``iban`` needs mod-97 and ``idnum`` a score of ``ADD_FROM`` from its context. Empty
-    and null texts have no spans. A document is one row throughout, so repeated rows and hot sources need no care.
+    and null texts have no spans. A document is one row throughout, so repeated rows and hot sources need no care. Other
+    columns are left out.
     """
-    t = F.col("_text")
+    t = F.col("whole")
     octets = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
     digit = t.rlike("[0-9]")
     raw = {
@@ -81,22 +82,22 @@ def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         "iban": spans_if(digit, F.filter(find_spans(t, IBAN, "iban"), lambda s: mod97(s["text"]))),
         "idnum": spans_if(digit, find_spans(t, IDNUM, "idnum")),
     }
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).select("*", *[v.alias(f"_{k}") for k, v in raw.items()])
+    out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("whole")).select(*keep, "whole", *[v.alias(f"raw_{k}") for k, v in raw.items()])
 
     def scored(kind):
-        return F.transform(F.col(f"_{kind}"), lambda s: F.struct(
+        return F.transform(F.col(f"raw_{kind}"), lambda s: F.struct(
             s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
             context_score(t, kind, s["start"], s["end"]).alias("score")))
 
     parts = [scored(k) for k in raw if k != "idnum"] + [F.filter(scored("idnum"), lambda s: s["score"] >= ADD_FROM)]
-    return out.withColumn("_spans", F.concat(*parts)).drop(*[f"_{k}" for k in raw])
+    return out.select(*keep, "whole", F.concat(*parts).alias("spans"))
 
 
 @query("op6_pii")
 def op6(spark, folder):
     found = pii_spans(documents(spark, folder).select("doc_id", "text"))
-    base = F.filter("_spans", lambda s: s["kind"].isin(BASE))
+    base = F.filter("spans", lambda s: s["kind"].isin(BASE))
     return found.select(
-        "doc_id", *[count_kind(F.col("_spans"), k).alias(f"n_{k}") for k in BASE], F.sha2(span_list(base, BASE), 256).alias("base_sha256"),
-        span_list(F.col("_spans"), BASE + ADDED).alias("spans"),
-        F.coalesce(F.array_max(F.transform("_spans", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))
+        "doc_id", *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in BASE], F.sha2(span_list(base, BASE), 256).alias("base_sha256"),
+        span_list(F.col("spans"), BASE + ADDED).alias("spans"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))

@@ -121,28 +121,37 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_blocks
     return Model(good, bad, slope, shift)
 
 
-def score_feature(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """``docs`` with the double ``feature`` of ``text``."""
-    names = docs.columns
-    schema = docs.select("*", F.lit(0.0).alias("feature")).schema
+def score_feature(docs: DataFrame, good: bytes, bad: bytes, keep: str | None = None) -> DataFrame:
+    """``docs``, or its column ``keep``, with the double ``feature`` of ``text``."""
+    rows = docs.select(keep, "text") if keep else docs
+    names = [c for c in rows.columns if not keep or c == keep]
+    schema = rows.select(*names, F.lit(0.0).alias("feature")).schema
 
     def run(batches):
         tools = Compressors(good, bad)
         for b in batches:
             feature = [tools.feature(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(feature, pa.float64())], names=[*names, "feature"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(feature, pa.float64())], names=[*names, "feature"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on). Only ``text`` is looked at.
 
-    Empty and null texts get the score of the feature 0. Rows are scored one by one, so repeated rows agree.
+    Empty and null texts get the score of the feature 0. Rows are scored one by one, so repeated rows agree. Columns of
+    ``docs`` that are already named so are replaced.
     """
-    out = score_feature(docs, model.good, model.bad)
+    scored = predictions(docs, model)
+    rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    return scored.select(*[F.col("row").getField(c).alias(c) for c in rest], "score", "predicted")
+
+
+def predictions(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score, predicted) with the whole row of ``docs`` as a struct."""
+    out = score_feature(docs.select(F.struct(*docs.columns).alias("row"), "text"), model.good, model.bad, "row")
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("feature") * F.lit(model.slope) + F.lit(model.shift))))
-    return out.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("feature")
+    return out.select("row", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def read_labels(spark, folder) -> DataFrame:
@@ -152,4 +161,4 @@ def read_labels(spark, folder) -> DataFrame:
 @query("op1_quality")
 def op1(spark, folder):
     docs = documents(spark, folder).select("doc_id", "text")
-    return classify(docs, fit(docs, read_labels(spark, folder))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return classify(docs.select("doc_id", "text"), fit(docs, read_labels(spark, folder))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

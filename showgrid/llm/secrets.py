@@ -74,42 +74,41 @@ def likelihood_ratio(s: Column, model: list[float]) -> Column:
     return F.when(F.length(s) > 1, total / (F.length(s) - 1)).otherwise(0.0)
 
 
-def secret_spans(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
-    """``docs`` with ``_text`` (null as empty) and ``_spans``: array of struct<kind, start, end, text>.
+def secret_spans(docs: DataFrame, model: list[float], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns with ``whole`` (the text, null as empty) and ``spans``: array of struct<kind, start, end, text>.
 
     Base kinds stay whatever the models say; ``random`` is added for strings from ``RANDOM_FROM`` on that no base span
-    overlaps. A document is one row throughout. Empty and null texts have no spans.
+    overlaps. A document is one row throughout. Empty and null texts have no spans; other columns are left out.
     """
-    t = F.col("_text")
+    t = F.col("whole")
     key = t.rlike("(?i)passw|secret|token|api_?key")
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).select(
+    out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("whole")).select(
         "*",
-        spans_if(key, F.filter(find_spans(t, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= 12)).alias("_assign"),
-        spans_if(t.contains("AKIA"), find_spans(t, ACCESS, "access")).alias("_access"),
-        find_spans(t, HEX, "hex").alias("_hex"),
-        find_spans(t, RANDOM, "random").alias("_random"))
-    base = F.concat("_assign", "_access", "_hex")
-    extra = F.filter("_random", lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+        spans_if(key, F.filter(find_spans(t, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= 12)).alias("assign"),
+        spans_if(t.contains("AKIA"), find_spans(t, ACCESS, "access")).alias("access"),
+        find_spans(t, HEX, "hex").alias("hex"),
+        find_spans(t, RANDOM, "random").alias("random"))
+    out = out.select(*keep, "whole", "random", F.concat("assign", "access", "hex").alias("base"))
+    extra = F.filter("random", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
                      & (likelihood_ratio(s["text"], model) >= RANDOM_FROM))
-    out = out.withColumn("_base", base)
-    return out.withColumn("_spans", F.concat("_base", F.when(F.size("_random") > 0, extra).otherwise(F.col("_random")))).drop(
-        "_base", "_assign", "_access", "_hex", "_random")
+    return out.select(*keep, "whole", F.concat("base", F.when(F.size("random") > 0, extra).otherwise(F.col("random"))).alias("spans"))
 
 
 def redact(docs: DataFrame, model: list[float]) -> DataFrame:
     """Documents with every secret replaced by ``[SECRET]``; the columns and clean texts stay as they are."""
-    found = secret_spans(docs, model)
-    text = F.when(F.size("_spans") > 0, replace_spans(F.col("_text"), F.col("_spans"), "SECRET")).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    found = secret_spans(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, keep=("row",))
+    some = F.size("spans") > 0
+    found = found.select("row", "spans", F.when(some, replace_spans(F.col("whole"), F.col("spans"), "SECRET")).otherwise(F.col("row").getField("text")).alias("new"))
+    changed = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(some, F.length("new").cast("long")).otherwise(F.col("row").getField("n_chars"))
+    return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 @query("op10_secrets")
 def op10(spark, folder):
     docs = documents(spark, folder).select("doc_id", "text")
     found = secret_spans(docs, train(docs))
-    base = F.filter("_spans", lambda s: s["kind"].isin(BASE))
-    return found.select("doc_id", *[count_kind(F.col("_spans"), k).alias(f"n_{k}") for k in BASE],
-                        F.sha2(span_list(base, BASE), 256).alias("base_sha256"), span_list(F.col("_spans"), BASE + ADDED).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"].isin(BASE))
+    return found.select("doc_id", *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in BASE],
+                        F.sha2(span_list(base, BASE), 256).alias("base_sha256"), span_list(F.col("spans"), BASE + ADDED).alias("spans"))
