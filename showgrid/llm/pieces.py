@@ -159,7 +159,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, text: str = "text", keep: t
     Rows are independent and nothing is shuffled; other columns are left out.
     """
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep, F.array().cast("array<int>").alias("ids")).schema
 
     def run(batches):
         model = pieces(model_file)
