@@ -13,7 +13,7 @@ import oracle
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"personalized_pagerank", "score_all_users", "unweighted_ppr", "similar_watched", "graph_breakdown", "pairwise_ltr"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-CHOSEN = [q for q in QUERIES if os.environ.get("SHOWGRID_ALL") or q not in SLOW]
+CHOSEN = [q for q in QUERIES if q not in entry.LLM_QUERIES if os.environ.get("SHOWGRID_ALL") or q not in SLOW]
 
 
 @pytest.mark.parametrize("name", CHOSEN)
