@@ -133,10 +133,11 @@ def alias_values(c: Column, aliases: dict[str, str] | None = None) -> Column:
 
 
 def stable_bucket(id_: Column, title: Column, buckets: int = 16) -> Column:
-    """31-based 32-bit rolling hash of id and title, folded to a bucket."""
+    """31-based rolling hash of id and title as a signed 32-bit number; its absolute value picks the bucket."""
     codes = F.transform(F.split(F.concat(id_.cast("string"), title), ""), lambda ch: F.ascii(ch).cast("long"))
     folded = F.aggregate(codes, F.lit(0).cast("long"), lambda h, ch: (h * 31 + ch).bitwiseAND(0xFFFFFFFF))
-    return (folded % buckets).cast("int")
+    signed = F.when(folded >= 1 << 31, folded - (1 << 32)).otherwise(folded)
+    return (F.abs(signed) % buckets).cast("int")
 
 
 # --- urls ---------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from showgrid.functions.dates import parse_showtime
-from showgrid.util import blank_to_null, bounded_chunks, cut_lineage, first_by, global_rank
+from showgrid.util import blank_to_null, cut_lineage, first_by, global_rank, rank_within
 
 
 class Listing(NamedTuple):
@@ -41,22 +41,23 @@ def flatten_sessions(nested: DataFrame) -> DataFrame:
     ).where(F.coalesce(F.col("timestamp"), F.lit("")) != "")
 
 
-def nest_sessions(films: DataFrame, screenings: DataFrame, max_sessions: int = 100_000) -> DataFrame:
-    """Films with time-ordered ``dates``, a location label and the first info link.
+def nest_sessions(films: DataFrame, screenings: DataFrame) -> DataFrame:
+    """One row per film and session: the film's columns, its location label and first info link, ``position`` and the session.
 
-    A film with more than ``max_sessions`` sessions is delivered in several chunks of bounded size
-    (``chunk`` 0, 1, ...); all other films have exactly one row.
+    The grain never depends on the number of sessions. Positions come from a range sort, label and link from plain
+    aggregates: the venues of a film in the order of their first session, and the first link that is not empty.
+    Whoever needs nested documents gathers the rows of a film at the edge.
     """
-    chunked = bounded_chunks(screenings, ["film_id"], ["showtime", "location"], max_sessions)
-    entry = F.struct("showtime", "seq", "location", "url_tickets", "url_info", "version", "special")
-    nested = chunked.groupBy("film_id", "chunk").agg(F.array_sort(F.collect_list(entry)).alias("dates"))
-    places = F.array_distinct(F.filter(F.transform("dates", lambda x: x["location"]), lambda x: (x != "Unknown") & (x != "")))
-    links = F.filter(F.transform("dates", lambda x: x["url_info"]), lambda x: x != "")
-    return (
-        films.where(F.coalesce(F.col("title"), F.lit("")) != "").join(nested, films.id == nested.film_id).drop("film_id")
-        .withColumn("theater", F.when(F.size(places) > 0, F.array_join(places, ", ")).otherwise(F.lit("Unknown")))
-        .withColumn("theater_link", F.coalesce(F.try_element_at(links, F.lit(1)), F.lit("")))
-    )
+    order = ["showtime", "seq", "location"]
+    sessions = screenings.select("film_id", *order, "url_tickets", "url_info", "version", "special")
+    ranked = rank_within(sessions, ["film_id"], [F.col(c) for c in order], "position")
+    venues = sessions.where(~F.coalesce("location", F.lit("")).isin("", "Unknown")).groupBy("film_id", "location").agg(F.min(F.struct("showtime", "seq")).alias("first"))
+    labels = venues.groupBy("film_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "location"))), lambda x: x["location"]), ", ").alias("theater"))
+    links = sessions.where("url_info <> ''").groupBy("film_id").agg(F.min_by("url_info", F.struct(*order)).alias("theater_link"))
+    named = films.where(F.coalesce(F.col("title"), F.lit("")) != "").join(labels, F.col("id") == labels.film_id, "left").drop("film_id")
+    named = named.join(links, F.col("id") == links.film_id, "left").drop("film_id")
+    return (named.join(ranked, F.col("id") == ranked.film_id).drop("film_id")
+            .withColumn("theater", F.coalesce("theater", F.lit("Unknown"))).withColumn("theater_link", F.coalesce("theater_link", F.lit(""))))
 
 
 def merge_entries(entries: DataFrame, film_key: Column, session_key: list[str], scalars: list[str], session_columns: list[str],
@@ -93,28 +94,30 @@ def merge_by_identity(entries: DataFrame, keys: list[str], scalars: list[str], s
     return merge_entries(entries, identity(*keys, lower=lower), session_key or session_columns, scalars, session_columns)
 
 
-def merge_by_url_or_title(entries: DataFrame, max_rounds: int = 40) -> DataFrame:
+def merge_by_url_or_title(entries: DataFrame) -> DataFrame:
     """Add ``film_key``, the first (seq, title, url) among entries linked by equal url or equal title.
 
     Works on distinct (title, url) pairs: a hot title or url is one row per distinct partner. Chains
     merge transitively; the original order-dependent rule stops at the first hit, which differs only
-    when one url carries several titles that also occur with other urls.
+    when one url carries several titles that also occur with other urls. A round takes the first label of equal titles and urls and then
+    the label of that label, so rounds grow with the logarithm of a chain; the loop ends when nothing changes.
     """
     pairs = entries.groupBy("title", "film_url").agg(F.min("seq").alias("seq"))
     labels = cut_lineage(pairs.select("title", "film_url", F.struct("seq", "title", "film_url").alias("label"))
                          .where(F.col("title").isNotNull() | F.col("film_url").isNotNull()))
-    for _ in range(max_rounds):
+    while True:
         by_title = labels.where("title is not null").groupBy("title").agg(F.min("label").alias("t"))
         by_url = labels.where("film_url is not null").groupBy("film_url").agg(F.min("label").alias("u"))
-        moved = cut_lineage(
+        near = cut_lineage(
             labels.join(by_title, "title", "left").join(by_url, "film_url", "left")
             .select("title", "film_url", F.least("label", "t", "u").alias("new"), "label"))
-        changed = moved.where("new < label").limit(1).count()
-        labels = moved.select("title", "film_url", F.col("new").alias("label"))
+        changed = near.where("new < label").limit(1).count()
+        jump = near.select(F.col("title").alias("_t"), F.col("film_url").alias("_u"), F.col("new").alias("_far"))
+        labels = cut_lineage(
+            near.join(jump, F.col("new.title").eqNullSafe(F.col("_t")) & F.col("new.film_url").eqNullSafe(F.col("_u")))
+            .select("title", "film_url", F.least("new", "_far").alias("label")))
         if not changed:
             break
-    else:
-        raise RuntimeError("entries are linked in longer chains than max_rounds")
     found = labels.select(F.col("title").alias("_t"), F.col("film_url").alias("_u"), F.col("label").alias("film_key"))
     linked = entries.join(found, entries.title.eqNullSafe(F.col("_t")) & entries.film_url.eqNullSafe(F.col("_u")), "left")
     return linked.drop("_t", "_u").withColumn("film_key", F.coalesce("film_key", F.struct("seq", "title", "film_url")))

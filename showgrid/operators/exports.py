@@ -1,4 +1,4 @@
-"""Derived exports: event feed, venue directory and daily listing text."""
+"""Derived exports: event feed, venue directory and daily listing lines."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from showgrid import lookups
 from showgrid.operators.serving import upcoming_sessions
-from showgrid.util import blank_to_null, bounded_chunks
+from showgrid.util import blank_to_null, rank_within
 
 
 def event_feed(films: DataFrame, screenings: DataFrame, as_of: str, limit: int = 200) -> DataFrame:
@@ -45,20 +45,22 @@ def spanish_day_label(day: Column) -> Column:
 
 
 def daily_listing_lines(films: DataFrame, screenings: DataFrame, as_of: str, days: int = 14) -> DataFrame:
-    """Text lines of the first ``days`` listed days, one row per line. The day cut runs over distinct days."""
+    """Sessions of the first ``days`` listed days with their text line. The day cut runs over distinct days."""
     upcoming = upcoming_sessions(screenings, as_of, "day").withColumn("day", F.to_date("showtime"))
     first_days = upcoming.select("day").distinct().orderBy("day").limit(days)
     f = films.select(F.col("id").alias("film_id"), "title", "director", "year")
-    chosen = upcoming.join(F.broadcast(first_days), "day").join(f, "film_id")
+    chosen = upcoming.join(F.broadcast(first_days), "day").join(f, "film_id").withColumn("time", F.date_format("showtime", "HH:mm"))
     label = F.concat(F.col("title"), F.coalesce(F.concat(F.lit(" — "), blank_to_null("director")), F.lit("")),
                      F.coalesce(F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")")), F.lit("")))
-    line = F.concat_ws(" · ", F.date_format("showtime", "HH:mm"), F.col("location"), label)
-    return chosen.select("day", line.alias("line"), "seq", "film_id")
+    return chosen.withColumn("line", F.concat_ws(" · ", "time", "location", label))
 
 
-def daily_listing_text(films: DataFrame, screenings: DataFrame, as_of: str, days: int = 14, lines_per_row: int = 50_000) -> DataFrame:
-    """The lines of each day as sorted text; a day with very many lines comes in several bounded chunks."""
-    lines = bounded_chunks(daily_listing_lines(films, screenings, as_of, days), ["day"], ["line", "seq"], lines_per_row)
-    return lines.groupBy("day", "chunk").agg(
-        F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"), F.count(F.lit(1)).alias("lines")
-    ).withColumn("label", spanish_day_label(F.col("day")))
+def daily_listing_text(films: DataFrame, screenings: DataFrame, as_of: str, days: int = 14) -> DataFrame:
+    """(day, label, position, line): the lines of each day by time, title, director, year and venue.
+
+    One row per line whatever the length of a day; positions come from a range sort. Whoever writes a page joins the lines of a day.
+    """
+    order = [F.col("time"), F.col("title"), F.coalesce("director", F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("")), F.col("location"),
+             F.coalesce("url_tickets", F.lit("")), F.col("seq"), F.col("film_id")]
+    lines = daily_listing_lines(films, screenings, as_of, days)
+    return rank_within(lines, ["day"], order, "position").select("day", spanish_day_label(F.col("day")).alias("label"), "position", "line")

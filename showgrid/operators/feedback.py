@@ -32,22 +32,18 @@ def enrichment_progress(watched: DataFrame, queue: DataFrame) -> DataFrame:
     return totals.join(active, "user_id", "left").withColumn("active", F.coalesce("active", F.lit(0))).withColumn("done", F.col("active") == 0)
 
 
-def user_snapshot(preferences: DataFrame, watched: DataFrame, watchlist: DataFrame, scores: DataFrame, chunk_rows: int = 100_000) -> DataFrame:
-    """Everything a page needs per user: preferences with defaults, lists and stored scores.
+def user_snapshot(preferences: DataFrame, watched: DataFrame, watchlist: DataFrame, scores: DataFrame) -> DataFrame:
+    """Everything a page needs per user, one row per user, kind and item, with the user's preferences or their defaults.
 
-    Lists are gathered in chunks of bounded length (``kind``, ``chunk``), so a user with very many rows
-    gets several rows instead of one unbounded array.
+    The grain never depends on the length of a list. A user with preferences and empty lists has one row without kind.
     """
-    from showgrid.util import bounded_chunks
-
     def listed(df, kind, item):
-        chunked = bounded_chunks(df.select("user_id", item.alias("item")).distinct(), ["user_id"], ["item"], chunk_rows)
-        return chunked.groupBy("user_id", "chunk").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumn("kind", F.lit(kind))
+        return df.select("user_id", F.lit(kind).alias("kind"), item.alias("item")).distinct()
 
     lists = listed(watched, "watched", F.col("short_url")).unionByName(listed(watchlist, "watchlist", F.col("short_url"))).unionByName(
         listed(scores, "scores", F.concat_ws(":", F.col("film_id").cast("string"), F.col("score").cast("string"))))
     return (
-        lists.join(preferences, "user_id", "left")
+        lists.join(preferences, "user_id", "full")
         .withColumn("lang", F.coalesce("lang", F.lit("es")))
         .withColumn("watchlist_active", F.coalesce("watchlist_active", F.lit(False)))
         .withColumn("watched_active", F.coalesce("watched_active", F.lit(False)))

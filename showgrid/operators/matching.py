@@ -114,7 +114,12 @@ def prefer(left: str, right: str, kind: str, falsy_zero: bool = False) -> Column
 def fill_from(base: DataFrame, other: DataFrame, key: str, fields: list[str], other_wins: bool) -> DataFrame:
     """Left join on ``key`` combining ``fields``: missing values are filled, or replaced when ``other_wins``."""
     right = other.where(F.col(key).isNotNull()).select(F.col(key), *[F.col(f).alias(f"_o_{f}") for f in fields])
-    joined = base.join(right, key, "left")
+    # rows without key have no partner: kept out of the join, they do not meet in one task
+    none = base.where(F.col(key).isNull())
+    for f in right.columns:
+        if f != key:
+            none = none.withColumn(f, F.lit(None).cast(right.schema[f].dataType))
+    joined = base.where(F.col(key).isNotNull()).join(right, key, "left").unionByName(none)
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
     out = []
     for c in base.columns:
@@ -217,9 +222,12 @@ def title_words(c: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
-def translate_labels(df: DataFrame, labels: DataFrame, column: str = "value", category: str = "category") -> DataFrame:
-    """Localized label by lower-case text; proper names stay, unknown labels are title-cased."""
-    table = labels.select(F.col("label").alias("_l"), F.col("translation").alias("_t"))
-    joined = df.join(F.broadcast(table), F.lower(F.trim(column)) == F.col("_l"), "left")
+def translate_labels(df: DataFrame, labels: DataFrame, language: str, column: str = "value", category: str = "category") -> DataFrame:
+    """Label in the user's language by category and lower-case text; proper names stay, unknown labels are title-cased.
+
+    ``labels`` has category, language, label and translation, so a word may read differently as genre, keyword or country.
+    """
+    table = labels.where(F.col("language") == language).select(F.col("category").alias("_c"), F.col("label").alias("_l"), F.col("translation").alias("_t"))
+    joined = df.join(table, (F.lower(F.trim(column)) == F.col("_l")) & (F.col(category) == F.col("_c")), "left").drop("_c")
     return joined.withColumn("translated", F.when(F.col(category).isin(lookups.PROPER_NAME_CATEGORIES), F.col(column))
                              .otherwise(title_words(F.coalesce("_t", column)))).drop("_l", "_t")

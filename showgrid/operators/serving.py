@@ -228,14 +228,13 @@ def publication_cliff(screenings: DataFrame, ratio: float = 0.5) -> DataFrame:
 
 def daily_film_counts(screenings: DataFrame, start: str, days: int) -> DataFrame:
     """Distinct films per day over a fixed calendar strip, zero days included."""
-    first = F.to_date(F.lit(start))
-    last = F.date_add(first, days - 1)
-    strip = screenings.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("day"))
-    day = F.to_date("showtime")
-    inside = screenings.where((F.col("showtime") >= first.cast("timestamp_ntz"))
-                              & (F.col("showtime") < F.date_add(last, 1).cast("timestamp_ntz")))
-    counts = inside.groupBy(day.alias("day")).agg(F.countDistinct("film_id").alias("films"))
-    return F.broadcast(strip).join(counts, "day", "left").withColumn("films", F.coalesce("films", F.lit(0)))
+    first = date.fromisoformat(start[:10])
+    strip = screenings.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(first + timedelta(days=days - 1)))).alias("day"))
+    # plain literals, so that both bounds reach the scan
+    edge = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
+    inside = screenings.where((F.col("showtime") >= edge(first)) & (F.col("showtime") < edge(first + timedelta(days=days))))
+    counts = inside.groupBy(F.to_date("showtime").alias("day")).agg(F.countDistinct("film_id").alias("films"))
+    return strip.join(counts, "day", "left").withColumn("films", F.coalesce("films", F.lit(0)))
 
 
 def month_grid(screenings: DataFrame, month_day: str) -> DataFrame:
@@ -267,7 +266,7 @@ def location_summary(screenings: DataFrame, groups: DataFrame) -> DataFrame:
     """One label per film: the group when all venues belong to it, the venue when single, else "n venues"."""
     known = screenings.where(F.coalesce(F.col("location"), F.lit("Unknown")) != "Unknown")
     per_venue = known.groupBy("film_id", "location").agg(F.min("showtime").alias("a"), F.max("showtime").alias("b"))
-    labelled = per_venue.join(F.broadcast(groups), "location", "left")
+    labelled = per_venue.join(groups, "location", "left")
     summary = labelled.groupBy("film_id").agg(
         F.count(F.lit(1)).alias("venues"), F.count("venue_group").alias("_grouped"),
         F.min("venue_group").alias("_g1"), F.max("venue_group").alias("_g2"), F.min("location").alias("_place"),

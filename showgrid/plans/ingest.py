@@ -81,10 +81,12 @@ select film_id as id, count(*) as sessions, strftime(min(showtime), '%Y-%m-%d %H
 """)
 def read_catalog_json(t):
     """Write the nested catalogue of upcoming films as JSON lines and read it back."""
-    nested = C.nest_sessions(t.films, V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF))
-    rows = nested.select(
+    sessions = C.nest_sessions(t.films.select("id", "title"), V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF))
+    entry = F.struct("position", F.date_format("showtime", FMT).alias("timestamp"), "location", "url_tickets")
+    dates = sessions.groupBy(F.col("id").alias("film_id")).agg(F.array_sort(F.collect_list(entry)).alias("dates"))  # the document of the edge is nested
+    rows = t.films.join(dates, F.col("id") == F.col("film_id")).select(
         "title", "director", "year", F.col("id").cast("string").alias("short_url"), "film_url", "rating", "genres",
-        F.transform("dates", lambda d: F.struct(F.date_format(d["showtime"], FMT).alias("timestamp"), d["location"].alias("location"), d["url_tickets"].alias("url_tickets"))).alias("dates"))
+        F.transform("dates", lambda d: F.struct(d["timestamp"].alias("timestamp"), d["location"].alias("location"), d["url_tickets"].alias("url_tickets"))).alias("dates"))
     path = scratch(t, "catalog")
     Wr.write_catalog(rows, path)
     back = R.read_catalog_json(t.spark, path)
@@ -207,18 +209,16 @@ def sources_by_period(t):
 # --- nested data --------------------------------------------------------------------------------------
 
 @query("nest_sessions", """
-with d as (select film_id, list(struct_pack(showtime, seq, location, url_info) order by showtime, seq, location) as dates from S group by film_id)
-select id, len(dates) as sessions, 0 as chunk, strftime(dates[1].showtime, '%Y-%m-%d %H:%M') as first_session,
- md5(array_to_string([x.location for x in dates], ',')) as places,
- len(list_distinct([x.location for x in dates])) as venues, coalesce([x.url_info for x in dates if x.url_info <> ''][1], '') as theater_link
-from F join d on film_id = id
+with v as (select film_id, location, min((showtime, seq)) as first from S where coalesce(location, '') not in ('', 'Unknown') group by film_id, location),
+p as (select film_id, string_agg(location, ', ' order by first, location) as theater from v group by film_id),
+k as (select film_id, min_by(url_info, (showtime, seq, location)) as link from S where url_info <> '' group by film_id)
+select id, row_number() over (partition by id order by showtime, seq, location) as position, strftime(showtime, '%Y-%m-%d %H:%M') as showtime, location,
+ md5(coalesce(theater, 'Unknown')) as theater, coalesce(link, '') as theater_link
+from F join S on S.film_id = id left join p on p.film_id = id left join k on k.film_id = id where coalesce(title, '') <> ''
 """)
 def nest_sessions(t):
-    nested = C.nest_sessions(t.films, t.screenings)
-    return nested.select(
-        "id", F.size("dates").cast("long").alias("sessions"), "chunk", F.date_format(F.element_at("dates", 1)["showtime"], FMT).alias("first_session"),
-        F.md5(F.array_join(F.transform("dates", lambda d: d["location"]), ",")).alias("places"),
-        F.size(F.split("theater", ", ")).cast("long").alias("venues"), "theater_link")
+    return C.nest_sessions(t.films.select("id", "title"), t.screenings).select(
+        "id", "position", F.date_format("showtime", FMT).alias("showtime"), "location", F.md5("theater").alias("theater"), "theater_link")
 
 
 def documents(t: Tables):
@@ -405,41 +405,44 @@ def regroup_by_canonical_title(t):
 
 
 INCOMING_SQL = """
-inc as (select l_orderkey * 10 + l_linenumber as seq, l_partkey, case when l_partkey % 13 <> 0 then concat('b/', l_partkey) end as short_url, p_name as title,
-  case when l_linenumber = 2 then concat('D', l_suppkey) end as director, case when l_linenumber = 3 then 2000 + l_suppkey % 20 end as year,
-  case when l_linenumber = 4 then l_discount end as rating from lineitem join part on p_partkey = l_partkey where l_partkey % 2 = 0 and l_shipdate >= timestamp '2001-01-01'),
-one as (select short_url, max_by(title, seq) as title, max_by(director, seq) filter (director is not null) as director, max_by(year, seq) filter (year is not null) as year,
-  max_by(rating, seq) filter (rating is not null) as rating from inc where short_url is not null group by short_url)
+inc as (select ((l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey) * 100 + cast(round(l_discount * 100) as bigint) as seq, l_partkey, case when l_partkey % 13 <> 0 then concat(case when l_partkey % 17 = 0 then 'n/' else 'b/' end, l_partkey) end as short_url, p_name as title,
+  case l_linenumber when 2 then concat('D', l_suppkey) when 5 then director end as director, case l_linenumber when 3 then 2000 + l_suppkey % 20 when 5 then year end as year,
+  case when l_linenumber = 4 then l_discount end as rating from lineitem join part on p_partkey = l_partkey join F on F.id = l_partkey),
+kinc as (select *, coalesce('k:' || short_url, 't:' || lower(trim(title)) || '|' || coalesce('=' || lower(trim(director)), '-') || '|' || coalesce(cast(year as varchar), '-')) as key from inc),
+one as (select key, max_by(short_url, seq) filter (short_url is not null) as short_url, max_by(title, seq) filter (title is not null) as title, max_by(director, seq) filter (director is not null) as director, max_by(year, seq) filter (year is not null) as year,
+  max_by(rating, seq) filter (rating is not null) as rating from kinc group by key)
 """
 
 
 def incoming_films(t: Tables):
+    """A row per order line: known keys, new keys and rows without key, of which every fifth line names a stored film in full."""
     line, part = t.raw("lineitem"), t.raw("part")
-    recent = line.where("l_partkey % 2 = 0 and l_shipdate >= timestamp_ntz '2001-01-01 00:00:00'")
-    return recent.join(part, line.l_partkey == part.p_partkey).selectExpr(
-        "l_orderkey * 10 + l_linenumber as seq", "case when l_partkey % 13 <> 0 then concat('b/', l_partkey) end as short_url", "p_name as title",
-        "case when l_linenumber = 2 then concat('D', l_suppkey) end as director", "cast(case when l_linenumber = 3 then 2000 + l_suppkey % 20 end as int) as year",
+    stored = t.films.select(F.col("id").alias("_id"), "director", "year")
+    return line.join(part, line.l_partkey == part.p_partkey).join(stored, F.col("l_partkey") == F.col("_id")).selectExpr(
+        "l_partkey", "((l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey) * 100 + cast(round(l_discount * 100) as bigint) as seq", "case when l_partkey % 13 <> 0 then concat(case when l_partkey % 17 = 0 then 'n/' else 'b/' end, l_partkey) end as short_url", "p_name as title",
+        "case l_linenumber when 2 then concat('D', l_suppkey) when 5 then director end as director", "cast(case l_linenumber when 3 then 2000 + l_suppkey % 20 when 5 then year end as int) as year",
         "case when l_linenumber = 4 then l_discount end as rating")
 
 
 @query("upsert_films", f"""
-with {INCOMING_SQL}
-select f.id, f.short_url, coalesce(one.title, f.title) as title, coalesce(one.director, f.director) as director, coalesce(one.year, f.year) as year, coalesce(one.rating, f.rating) as rating, one.short_url is not null as touched
-from F f left join one on one.short_url = f.short_url where f.short_url is not null and f.id % 3 <> 0
-union all
-select null, one.short_url, one.title, one.director, one.year, one.rating, true from one where not exists (select 1 from F f where f.short_url = one.short_url and f.id % 3 <> 0)
+with {INCOMING_SQL},
+k as (select *, coalesce('k:' || short_url, 't:' || lower(trim(title)) || '|' || coalesce('=' || lower(trim(director)), '-') || '|' || coalesce(cast(year as varchar), '-')) as key from F),
+st as (select *, case when short_url is null and row_number() over (partition by key order by id) > 1 then concat('old', id) else key end as own from k)
+select f.id, coalesce(one.short_url, f.short_url) as short_url, coalesce(one.title, f.title) as title, coalesce(one.director, f.director) as director, coalesce(one.year, f.year) as year,
+ coalesce(one.rating, f.rating) as rating, one.key is not null as touched from st f full join one on one.key = f.own
 """)
 def upsert_films(t):
-    stored = t.films.where("short_url is not null and id % 3 <> 0").select("id", "short_url", "title", "director", "year", "rating")
-    out = C.upsert_films(stored, incoming_films(t).where("short_url is not null"), "2001-09-01 00:00:00")
+    stored = t.films.select("id", "short_url", "title", "director", "year", "rating")
+    out = C.upsert_films(stored, incoming_films(t), "2001-09-01 00:00:00")
     return out.withColumn("touched", F.col("updated_at").isNotNull()).drop("updated_at")
 
 
 @query("null_preserving_row", f"""
-with {INCOMING_SQL} select * from one
+with {INCOMING_SQL} select l_partkey, max_by(short_url, seq) filter (short_url is not null) as short_url, max_by(title, seq) as title, max_by(director, seq) filter (director is not null) as director,
+ max_by(year, seq) filter (year is not null) as year, max_by(rating, seq) filter (rating is not null) as rating from inc group by l_partkey
 """)
 def null_preserving_row(t):
-    return C.last_known_values(incoming_films(t).where("short_url is not null"), ["short_url"], "seq")
+    return C.last_known_values(incoming_films(t), ["l_partkey"], "seq")
 
 
 @query("upsert_screenings", """
@@ -475,19 +478,24 @@ def resolve_film_ids(t):
 
 
 @query("archive_partition", """
-with lv as (select seq, base_title as title, director, year, short_url, "timestamp", location from (
-   select s.*, concat('b/', film_ref) as short_url from SC s) where seq % 2 = 0),
-hs as (select seq, base_title as title, director, year, concat('b/', film_ref) as short_url, "timestamp", location from SC where seq % 2 = 1 and "timestamp" < '1996-01-01'),
-mv as (select * from lv where "timestamp" between '1995-01-01' and '1998-12-31 24'),
-pf as (select short_url, count(*) filter ("timestamp" between '1995-01-01' and '1998-12-31 24') as m, count(*) filter (not ("timestamp" between '1995-01-01' and '1998-12-31 24')) as k from lv group by short_url),
-al as (select short_url, "timestamp", location from hs union select short_url, "timestamp", location from mv)
+with a as (select seq, base_title as title, director, year, case when film_ref % 3 <> 0 and not (seq % 2 = 1 and film_ref % 5 = 0) then concat('b/', film_ref) end as short_url,
+   case when seq % 29 = 0 then 'someday' else "timestamp" end as "timestamp", location from SC),
+k as (select *, concat('t:', lower(trim(title)), '|', coalesce(lower(trim(director)), ''), '|', coalesce(cast(year as varchar), '')) as tup from a),
+x as (select *, coalesce('u:' || short_url, tup) as own, "timestamp" between '1995-01-01' and '1998-12-31 24' as old from k),
+lv as (select * from x where seq % 2 = 0), hs as (select * from x where seq % 2 = 1),
+mv as (select *, case when own not in (select own from hs) and tup in (select own from hs) then tup else own end as film_key from lv where old),
+pf as (select own, count(*) filter (old) as m, count(*) filter (not old) as k from lv group by own),
+al as (select own as film_key, "timestamp", location from hs union select film_key, "timestamp", location from mv)
 select cast(sum(m) as bigint) as sessions_archived, cast(sum(case when m > 0 then k end) as bigint) as sessions_kept, count(*) filter (m > 0 and k = 0) as films_fully_moved,
  count(*) filter (m > 0 and k > 0) as films_partially_moved, count(*) filter (m = 0) as films_untouched, count(*) filter (k > 0) as live_films_after,
- (select count(distinct short_url) from al) as history_films_after, (select count(*) from al) as history_sessions, (select count(*) from lv) - (select count(*) from mv) as live_sessions from pf
+ (select count(distinct film_key) from al) as history_films_after, (select count(*) from al) as history_sessions, (select count(*) from lv) - (select count(*) from mv) as live_sessions from pf
 """)
 def archive_partition(t):
-    flat = t.scraped.select("seq", F.col("base_title").alias("title"), "director", "year", F.concat(F.lit("b/"), F.col("film_ref").cast("string")).alias("short_url"), "timestamp", "location")
-    out = C.archive_partition(flat.where("seq % 2 = 0"), flat.where("seq % 2 = 1 and timestamp < '1996-01-01'"), "1995-01-01", "1998-12-31")
+    """Films with and without url, urls that only the live side has, and times that nobody can read."""
+    url = F.expr("case when film_ref % 3 <> 0 and not (seq % 2 = 1 and film_ref % 5 = 0) then concat('b/', film_ref) end")
+    flat = t.scraped.select("seq", F.col("base_title").alias("title"), "director", "year", url.alias("short_url"),
+                            F.expr("case when seq % 29 = 0 then 'someday' else timestamp end").alias("timestamp"), "location")
+    out = C.archive_partition(flat.where("seq % 2 = 0"), flat.where("seq % 2 = 1"), "1995-01-01", "1998-12-31")
     return out.counters.crossJoin(F.broadcast(out.history.agg(F.count(F.lit(1)).alias("history_sessions")))).crossJoin(
         F.broadcast(out.live.agg(F.count(F.lit(1)).alias("live_sessions"))))
 
@@ -585,12 +593,12 @@ def session_url_lookup(t):
 
 
 @query("category_gate", """
-with c as (select doc_id, case when doc_id % 5 = 0 then null when lang = 'es' then ' Cine ' else lang end as category, case when doc_id % 7 = 0 then '(sesión AGOTADA)' else left(text, 40) end as note from documents)
+with c as (select doc_id, case when doc_id % 5 = 0 then null when lang = 'es' then ' Cine ' else lang end as category, case when doc_id % 7 = 0 then '(sesión AGOTADA)' else text end as note from documents)
 select doc_id from c where (category is null or lower(trim(category)) = 'cine') and note not like '%AGOTADA%'
 """)
 def category_gate(t):
     cards = t.documents.select("doc_id", F.expr("case when doc_id % 5 = 0 then null when lang = 'es' then ' Cine ' else lang end").alias("category"),
-                               F.expr("case when doc_id % 7 = 0 then '(sesión AGOTADA)' else left(text, 40) end").alias("note"))
+                               F.expr("case when doc_id % 7 = 0 then '(sesión AGOTADA)' else text end").alias("note"))
     return J.category_gate(cards, "cine").select("doc_id")
 
 
@@ -630,15 +638,24 @@ def dim_name_lookup(t):
 
 
 @query("translate_labels", """
-with v as (select id, unnest(['genre', 'director']) as category, unnest([case id % 3 when 0 then ' Drama' when 1 then 'SCIENCE FICTION' else 'space opera' end, 'van der drama']) as value from F)
-select id, category, value, case when category = 'director' then value when lower(trim(value)) = 'drama' then 'Drama' when lower(value) = 'science fiction' then 'Ciencia Ficción' else 'Space Opera' end as translated from v
+with v as (select id, unnest(['genre', 'director', 'keyword', 'country']) as category,
+  unnest([case id % 3 when 0 then ' Drama' when 1 then 'SCIENCE FICTION' else 'space opera' end, 'van der drama', case when id % 2 = 0 then 'science fiction' else 'new york city' end, 'germany']) as value from F),
+l as (select unnest(['es', 'en']) as language)
+select id, category, value, language, case when category = 'director' then value when language = 'en' or category = 'keyword' and value = 'science fiction' then
+   case lower(value) when ' drama' then ' Drama' when 'science fiction' then case when category = 'genre' then 'SCIENCE FICTION' else 'Science Fiction' end when 'space opera' then 'Space Opera' when 'germany' then 'Germany' else 'New York City' end
+ when category = 'keyword' then 'Nueva York' when category = 'country' then 'Alemania'
+ when lower(trim(value)) = 'drama' then 'Drama' when lower(value) = 'science fiction' then 'Ciencia Ficción' else 'Space Opera' end as translated from v, l
 """)
 def translate_labels(t):
-    labels = t.spark.createDataFrame(list(lookups.GENRES_ES.items()), "label string, translation string")
+    rows = [("genre", "es", a, b) for a, b in lookups.GENRES_ES.items()] + [("keyword", "es", "new york city", "Nueva York"), ("country", "es", "germany", "Alemania")]
+    labels = t.spark.createDataFrame(rows, "category string, language string, label string, translation string")
     values = t.films.select("id", F.explode(F.array(
         F.struct(F.lit("genre").alias("category"), F.expr("case id % 3 when 0 then ' Drama' when 1 then 'SCIENCE FICTION' else 'space opera' end").alias("value")),
-        F.struct(F.lit("director").alias("category"), F.lit("van der drama").alias("value")))).alias("v")).select("id", "v.*")
-    return J.translate_labels(values, labels)
+        F.struct(F.lit("director").alias("category"), F.lit("van der drama").alias("value")),
+        F.struct(F.lit("keyword").alias("category"), F.expr("case when id % 2 = 0 then 'science fiction' else 'new york city' end").alias("value")),
+        F.struct(F.lit("country").alias("category"), F.lit("germany").alias("value")))).alias("v")).select("id", "v.*")
+    parts = [J.translate_labels(values, labels, lang).withColumn("language", F.lit(lang)) for lang in ("es", "en")]
+    return parts[0].unionByName(parts[1])
 
 
 # --- feedback -------------------------------------------------------------------------------------------
@@ -671,14 +688,12 @@ def enrichment_progress(t):
 with p as (select c_custkey as user_id, case when c_custkey % 2 = 0 then 'en' end as lang, c_custkey % 3 = 0 as wa from customer where c_custkey % 5 <> 0),
 x as (select user_id, 'watched' as kind, short_url as item from W union select user_id, 'watchlist', short_url from L
  union select user_id, 'scores', concat_ws(':', raw_film_id, cast(floor(rating * 20) as integer)) from W where rating is not null)
-select x.user_id, kind, 0 as chunk, md5(array_to_string(list_sort(list(item)), '|')) as items, count(*) as n, coalesce(max(lang), 'es') as lang, coalesce(bool_or(wa), false) as watchlist_active
-from x left join p on p.user_id = x.user_id group by x.user_id, kind
+select coalesce(x.user_id, p.user_id) as user_id, kind, item, coalesce(lang, 'es') as lang, coalesce(wa, false) as watchlist_active from x full join p on p.user_id = x.user_id
 """)
 def user_snapshot(t):
     prefs = t.raw("customer").where("c_custkey % 5 <> 0").selectExpr("c_custkey as user_id", "case when c_custkey % 2 = 0 then 'en' end as lang", "c_custkey % 3 = 0 as watchlist_active", "false as watched_active")
     scores = t.watched.where("rating is not null").select("user_id", F.col("raw_film_id").alias("film_id"), F.floor(F.col("rating") * 20).cast("int").alias("score"))
-    return B.user_snapshot(prefs, t.watched, t.watchlist, scores).select(
-        "user_id", "kind", "chunk", F.md5(F.array_join("items", "|")).alias("items"), F.size("items").alias("n"), "lang", "watchlist_active")
+    return B.user_snapshot(prefs, t.watched, t.watchlist, scores).select("user_id", "kind", "item", "lang", "watchlist_active")
 
 
 # --- audits ---------------------------------------------------------------------------------------------
@@ -824,10 +839,11 @@ def venue_directory(t):
 
 @query("daily_listing_text", f"""
 with up as (select *, cast(showtime as date) as day from S where showtime >= timestamp '{AS_OF}'), d as (select distinct day from up order by day limit 14),
-ln as (select up.day, concat_ws(' · ', strftime(showtime, '%H:%M'), location, concat(title, case when director is not null then concat(' — ', director) else '' end, case when year is not null then concat(' (', year, ')') else '' end)) as line from up join d on d.day = up.day join F on id = film_id)
-select strftime(day, '%Y-%m-%d') as day, count(*) as lines, md5(array_to_string(list_sort(list(line)), chr(10))) as text,
+ln as (select up.day, row_number() over (partition by up.day order by strftime(showtime, '%H:%M'), title, coalesce(director, ''), coalesce(cast(year as varchar), ''), location, coalesce(url_tickets, ''), seq, up.film_id) as position,
+ concat_ws(' · ', strftime(showtime, '%H:%M'), location, concat(title, case when director is not null then concat(' — ', director) else '' end, case when year is not null then concat(' (', year, ')') else '' end)) as line from up join d on d.day = up.day join F on id = film_id)
+select strftime(day, '%Y-%m-%d') as day, position, md5(line) as line,
  concat(['lunes','martes','miércoles','jueves','viernes','sábado','domingo'][isodow(day)], ' ', day(day), ' de ', ['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'][month(day)], ' de ', year(day)) as label
-from ln group by day
+from ln
 """)
 def daily_listing_text(t):
-    return E.daily_listing_text(t.films, t.screenings_from(AS_OF), AS_OF).select(F.col("day").cast("string").alias("day"), "lines", F.md5("text").alias("text"), "label")
+    return E.daily_listing_text(t.films, t.screenings_from(AS_OF), AS_OF).select(F.col("day").cast("string").alias("day"), "position", F.md5("line").alias("line"), "label")

@@ -420,7 +420,7 @@ def unweighted_ppr(t):
 with {KW} select a.user_id, count(*) as pairs, cast(sum(a.film_id) as bigint) as better_sum, cast(sum(b.film_id) as bigint) as worse_sum from kw a join kw b on a.user_id = b.user_id and a.rating > b.rating group by a.user_id
 """)
 def preference_pairs(t):
-    pairs = SC.preference_pairs(rated(t))
+    pairs = SC.preference_pairs(rated(t), limit=None)
     return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("better").alias("better_sum"), F.sum("worse").alias("worse_sum"))
 
 

@@ -116,10 +116,10 @@ def fallback_title_from_slug(t):
 
 
 @query("localized_title", """
-select id, coalesce(title_en, title) as en, coalesce(title_es, title_en, title_original, cast(id as varchar)) as es from F where film_url is not null
+select id, coalesce(title_en, title) as en, coalesce(title_es, title_en, title_original, case when film_url is not null then cast(id as varchar) end) as es from F
 """)
 def localized_title(t):
-    return t.films.where("film_url is not null").select("id", X.localized_title("en").alias("en"), X.localized_title("es").alias("es"))
+    return t.films.select("id", X.localized_title("en").alias("en"), X.localized_title("es").alias("es"))
 
 
 @query("alias_values", """
@@ -130,7 +130,8 @@ def alias_values(t):
 
 
 @query("stable_hash_bucket", """
-select id, cast(list_reduce(list_prepend(0::bigint, [ascii(c)::bigint for c in string_split(concat(id, title), '')]), lambda h, c: (h * 31 + c) % 4294967296) % 16 as integer) as bucket from F
+with h as (select id, list_reduce(list_prepend(0::bigint, [ascii(c)::bigint for c in string_split(concat(id, title), '')]), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) as h from F)
+select id, cast(abs(h) % 16 as integer) as bucket from h
 """)
 def stable_hash_bucket(t):
     return t.films.select("id", X.stable_bucket(F.col("id"), F.col("title")).alias("bucket"))

@@ -28,7 +28,7 @@ select film_id, location, count(*) as sessions, max(seq) as last_seq from S grou
 """)
 def stream_ingest_sessions(t):
     table = VersionedTable(t.spark, scratch(t, "sessions"))
-    J.stream_ingest_sessions(screening_stream(t), table, scratch(t, "cp"), "1990-01-01", "2010-12-31", watermark="4000 days").awaitTermination()
+    J.stream_ingest_sessions(screening_stream(t), table, scratch(t, "cp"), "1990-01-01", "2010-12-31").awaitTermination()
     return table.read().groupBy("film_id", "location").agg(F.count(F.lit(1)).alias("sessions"), F.max("seq").alias("last_seq"))
 
 
@@ -38,7 +38,7 @@ select strftime(time_bucket(interval 3 minutes, created_at, timestamp '1970-01-0
 def stream_queue_metrics(t):
     queue = stream_of(t, "events").selectExpr(*queue_columns(Dialect(spark=True))).withColumn("created_at", F.col("created_at").cast("timestamp"))
     table = VersionedTable(t.spark, scratch(t, "metrics"))
-    J.stream_queue_metrics(queue, table, scratch(t, "cp"), watermark="60 days").awaitTermination()
+    J.stream_queue_metrics(queue, table, scratch(t, "cp"), watermark="1 day").awaitTermination()
     return table.read().withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 

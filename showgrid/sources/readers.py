@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from showgrid import lookups, schemas
 from showgrid.functions.dates import epoch_millis_date, ticket_link
@@ -47,10 +48,15 @@ def read_scraped_csv(spark: SparkSession, path: str) -> DataFrame:
     """Scraped or matched CSV; ``seq`` is the order of files and rows, ``dates`` is parsed."""
     raw = spark.read.schema(schemas.SCRAPED_CSV).option("header", True).option("multiLine", True).option(
         "quote", '"').option("escape", '"').csv(path)
+    # the rows of a file are numbered in a row; files are put in order of their paths, whatever the packing of the scan
+    rows = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
+    files = rows.groupBy("_file").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("_file", "_first", before.alias("_before"))
+    placed = rows.join(files, "_file").withColumn("seq", F.col("_before") + F.col("_row") - F.col("_first")).drop("_file", "_row", "_first", "_before")
     return (
-        raw.withColumn("dates", parse_dates_cell(F.col("dates")))
+        placed.withColumn("dates", parse_dates_cell(F.col("dates")))
         .withColumn("year", F.col("year").try_cast("double").cast("int"))
-        .withColumn("seq", F.monotonically_increasing_id())
     )
 
 

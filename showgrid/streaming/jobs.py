@@ -30,21 +30,19 @@ SCREENING_SCHEMA = "film_id long, showtime timestamp_ntz, location string, seq l
 
 
 def stream_ingest_sessions(sessions: DataFrame, table: VersionedTable, checkpoint: str, start_day: str, end_day: str,
-                           watermark: str = "30 days", trigger: dict | None = None) -> StreamingQuery:
-    """New sessions to the stored table: repeats inside the watermark go, known sessions go, the rest is upserted.
+                           trigger: dict | None = None) -> StreamingQuery:
+    """New and changed sessions to the stored table: sessions whose urls are known go, the rest is upserted.
 
-    ``sessions`` has the screening columns plus ``seen_at``, the event time of the listing.
+    A session listed again with another ticket url or version replaces the stored row. Inside a batch the first row of a
+    key by ``seq`` counts, as in the batch job; the table holds the earlier batches, so the stream needs no state.
     """
-    keys = ["film_id", "showtime", "location"]
-    fresh = sessions.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(keys)
-
     def write(batch: DataFrame, batch_id: int) -> None:
         stored = table.read(SCREENING_SCHEMA)
         shaped = batch.withColumn("timestamp", F.date_format("showtime", "yyyy-MM-dd HH:mm"))
         new = drop_known_sessions(shaped, stored, start_day, end_day).select(*stored.columns)
         table.write(upsert_screenings(stored, new), tag=f"batch{batch_id}")
 
-    return start(fresh, write, checkpoint, trigger=trigger)
+    return start(sessions, write, checkpoint, trigger=trigger)
 
 
 def upsert_changes(changes: DataFrame, keys: list[str], schema: str, table: VersionedTable, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

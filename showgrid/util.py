@@ -98,21 +98,3 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], na
         .withColumn(name, F.col("_pos") - F.col("_start") + 1)
         .drop("_pos", "_start")
     )
-
-
-def bounded_chunks(df: DataFrame, keys: Sequence[str], spread: Sequence[str], limit: int) -> DataFrame:
-    """Add ``chunk``: 0 for ordinary keys, a hash of ``spread`` for keys with more than ``limit`` rows.
-
-    Used before ``collect_list`` so that no array grows with the frequency of one key. Only keys above
-    the limit are joined back; there are at most rows/limit of them.
-    """
-    heavy = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_chunks"))
-    )
-    return (
-        df.join(heavy, list(keys), "left")
-        .withColumn("chunk", F.when(F.col("_chunks").isNull(), F.lit(0))
-                    .otherwise(F.pmod(F.xxhash64(*spread), F.col("_chunks")).cast("int")))
-        .drop("_chunks")
-    )
