@@ -1,0 +1,191 @@
+"""Power iterations for a block of users over edges that they share. Numpy inside one task; see ``graph.personalized_pagerank``."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+OWN, SHOWN, EDGE, PRUNABLE, PAIR = range(5)
+#: Edges whose products are held at a time.
+STEP = 16_384
+
+
+class Sums:
+    """Sums of weighted rows by target: out[t] = sum of w * rows[s] over the edges (s, t, w), for all users of a block at once."""
+
+    def __init__(self, source: np.ndarray, target: np.ndarray, weight: np.ndarray, targets: int):
+        order = np.argsort(target, kind="stable")
+        self.source, self.weight, self.targets = source[order], weight[order], targets
+        self.names, self.starts = np.unique(target[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(order))
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.targets, rows.shape[1]))
+        lo = 0
+        while lo < len(self.names):
+            hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + STEP, side="right")))
+            a, b = self.starts[lo], self.ends[hi - 1]
+            out[self.names[lo:hi]] = np.add.reduceat(self.weight[a:b, None] * rows[self.source[a:b]], self.starts[lo:hi] - a, axis=0)
+            lo = hi
+        return out
+
+
+def place(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of ``wanted`` in sorted ``values``, -1 where it is missing."""
+    if not len(values):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return np.where(values[at] == wanted, at, -1)
+
+
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+
+
+def block_scores(table: pa.Table, iterations: int, hub_fraction: float | None, categories: int, similar: int, kinds, pair_weight: float) -> pa.Table:
+    """Rank of all screened films for the users of one block.
+
+    Nodes are screened films (rows of an array with a column per user), attributes (likewise), and the other watched films, of which
+    a user has few: they are entries (user, film) with edges of their own.
+    """
+    kind = table.column("kind").to_numpy()
+    user, film, other, code, x, y = (table.column(c).to_numpy(zero_copy_only=False) for c in ("user_id", "film_id", "other", "code", "x", "y"))
+    own, link, pair = kind == OWN, (kind == EDGE) | (kind == PRUNABLE), kind == PAIR
+    users, slot = np.unique(user[own].astype(np.int64), return_inverse=True)
+    n_users = len(users)
+    alpha = np.zeros(n_users)
+    alpha[slot] = y[own]
+    shown = np.unique(film[kind == SHOWN])
+    n_shown = len(shown)
+    own_film, restart = film[own], x[own]
+    at_shown = place(shown, own_film)
+    seen = at_shown >= 0
+    extra_user, extra_film, extra_restart = slot[~seen], own_film[~seen], restart[~seen]
+    n_extra = len(extra_film)
+    watched = np.zeros((n_shown, n_users), bool)
+    watched[at_shown[seen], slot[seen]] = True
+    back = np.zeros((n_shown, n_users))
+    back[at_shown[seen], slot[seen]] = restart[seen]
+
+    attrs, attr = np.unique(other[link].astype(np.int64), return_inverse=True)
+    n_attrs = len(attrs)
+    e_film, e_w, e_links, e_code, e_prunable = film[link], x[link], y[link], code[link].astype(np.int64), kind[link] == PRUNABLE
+    prunable = np.zeros(n_attrs, bool)
+    prunable[attr[e_prunable]] = True
+    category = np.zeros(n_attrs, np.int64)
+    category[attr] = e_code
+    s_film = place(shown, e_film)
+    on = s_film >= 0
+    s_film, s_attr, s_w, s_links, s_code = s_film[on], attr[on], e_w[on], e_links[on], e_code[on]
+    # edges of the entries: those of their film, for each entry
+    order = np.argsort(e_film, kind="stable")
+    lo = np.searchsorted(e_film[order], extra_film, side="left")
+    size = np.searchsorted(e_film[order], extra_film, side="right") - lo
+    entry = np.repeat(np.arange(n_extra), size)
+    pick = order[np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if n_extra else np.zeros(0, np.int64)
+    x_attr, x_w, x_links, x_user = attr[pick], e_w[pick], e_links[pick], extra_user[entry]
+    cell = x_attr * n_users + x_user  # place in an array of attributes by users
+
+    def to_attrs(values: np.ndarray) -> np.ndarray:
+        return np.bincount(cell, weights=values, minlength=n_attrs * n_users).reshape(n_attrs, n_users)
+
+    def to_entries(values: np.ndarray) -> np.ndarray:
+        return np.bincount(entry, weights=values, minlength=n_extra)
+
+    films_of = n_shown + np.bincount(extra_user, minlength=n_users)
+    degree = np.bincount(s_attr, weights=s_links, minlength=n_attrs)[:, None] + to_attrs(x_links)
+    keep = np.ones((n_attrs, n_users), bool)
+    if hub_fraction is not None:
+        keep = ~(prunable[:, None] & (degree > np.maximum(3, np.floor(films_of * hub_fraction))))
+
+    # pairs: between screened films, between an entry and a screened film of its user, between two entries of a user
+    a, b = np.concatenate([film[pair], other[pair].astype(np.int64)]), np.concatenate([other[pair].astype(np.int64), film[pair]])
+    both = (place(shown, a) >= 0) & (place(shown, b) >= 0)
+    mixed = (place(shown, a) < 0) & (place(shown, b) >= 0)
+    outside = (place(shown, a) < 0) & (place(shown, b) < 0)
+    by_film = np.argsort(extra_film, kind="stable")
+
+    def entries_of(films: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry, index into films) for all entries of the films."""
+        lo = np.searchsorted(extra_film[by_film], films, side="left")
+        n = np.searchsorted(extra_film[by_film], films, side="right") - lo
+        which = np.repeat(np.arange(len(films)), n)
+        return by_film[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64), which
+
+    m_entry, m_at = entries_of(a[mixed])
+    m_film = place(shown, b[mixed])[m_at]
+    m_cell = m_film * n_users + extra_user[m_entry]
+    o_entry, o_at = entries_of(a[outside])
+    number = {(u, f): i for i, (u, f) in enumerate(zip(extra_user.tolist(), extra_film.tolist()))}
+    o_other = np.array([number.get((u, f), -1) for u, f in zip(extra_user[o_entry].tolist(), b[outside][o_at].tolist())], np.int64)
+    o_entry, o_other = o_entry[o_other >= 0], o_other[o_other >= 0]
+    pair_sum = Sums(place(shown, a[both]), place(shown, b[both]), np.full(int(both.sum()), pair_weight), n_shown)
+
+    attr_sum, film_sum = Sums(s_film, s_attr, s_w, n_attrs), Sums(s_attr, s_film, s_w, n_shown)
+    mixed_to_shown = lambda v: np.bincount(m_cell, weights=v, minlength=n_shown * n_users).reshape(n_shown, n_users) * pair_weight
+    out_attr = (np.bincount(s_attr, weights=s_w, minlength=n_attrs)[:, None] + to_attrs(x_w)) * keep
+    out_shown = film_sum(keep.astype(float)) + pair_sum(np.ones((n_shown, n_users))) + mixed_to_shown(np.ones(len(m_entry)))
+    out_extra = (to_entries(x_w * keep[x_attr, x_user]) + pair_weight * (np.bincount(m_entry, minlength=n_extra) + np.bincount(o_entry, minlength=n_extra)))
+
+    on_shown, on_extra, on_attr = back.copy(), extra_restart.copy(), np.zeros((n_attrs, n_users))
+    stay = 1 - alpha
+    for _ in range(iterations):
+        q_shown, q_extra, q_attr = ratio(on_shown, out_shown), ratio(on_extra, out_extra), ratio(on_attr, out_attr)
+        new_attr = (attr_sum(q_shown) + to_attrs(x_w * q_extra[entry])) * keep * stay
+        new_shown = (film_sum(q_attr) + pair_sum(q_shown) + mixed_to_shown(q_extra[m_entry])) * stay + alpha * back
+        new_extra = to_entries(x_w * q_attr[x_attr, x_user]) + pair_weight * (
+            np.bincount(m_entry, weights=q_shown[m_film, extra_user[m_entry]], minlength=n_extra) + np.bincount(o_entry, weights=q_extra[o_other], minlength=n_extra))
+        on_extra = new_extra * stay[extra_user] + alpha[extra_user] * extra_restart
+        on_shown, on_attr = new_shown, new_attr
+
+    rows = n_users * n_shown
+    mass, near = pa.nulls(rows, pa.list_(pa.float64())), pa.nulls(rows, SIMILAR)
+    if categories:
+        by = np.zeros((rows, categories))
+        for c in range(categories):
+            part = s_code == c
+            by[:, c] = Sums(s_attr[part], s_film[part], s_w[part], n_shown)(on_attr).T.ravel()
+        mass = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * categories, pa.int32()), pa.array(by.ravel()))
+        limit = np.where(category == kinds[1], 0.03, np.where(np.isin(category, kinds[0]), 0.25, -1.0))
+        specific = keep & (on_attr > 0) & (degree <= limit[:, None] * films_of)
+        near = similar_films(specific, on_attr, attrs, s_film, s_attr, s_w, watched, shown, extra_film, x_user, x_attr, x_w, entry, similar, n_shown)
+    return pa.table({"user_id": np.repeat(users, n_shown), "film_id": np.tile(shown, n_users), "watched": watched.T.ravel(), "raw": on_shown.T.ravel(), "mass": mass, "similar": near})
+
+
+SIMILAR = pa.list_(pa.struct([("similar_id", pa.int64()), ("total", pa.float64()), ("attr", pa.int64())]))
+
+
+def similar_films(specific, on_attr, attrs, s_film, s_attr, s_w, watched, shown, extra_film, x_user, x_attr, x_w, entry, n, n_shown) -> pa.Array:
+    """Per user and screened film the ``n`` watched films with the largest sum over two-hop paths of attribute mass and both weights."""
+    by_attr = np.argsort(s_attr, kind="stable")
+    begin = np.searchsorted(s_attr[by_attr], np.arange(len(attrs) + 1))
+    by_user = np.argsort(x_user, kind="stable")
+    edge_of = np.searchsorted(x_user[by_user], np.arange(watched.shape[1] + 1))
+    ends, ids, totals, best = [0], [], [], []
+    for u in range(watched.shape[1]):
+        mine = by_user[edge_of[u] : edge_of[u + 1]]
+        inside = np.flatnonzero(watched[s_film, u])
+        g = np.concatenate([extra_film[entry[mine]], shown[s_film[inside]]])
+        ga, gw = np.concatenate([x_attr[mine], s_attr[inside]]), np.concatenate([x_w[mine], s_w[inside]])
+        ok = specific[ga, u]
+        g, ga, gw = g[ok], ga[ok], gw[ok]
+        n_to = begin[ga + 1] - begin[ga]
+        edge = by_attr[np.repeat(begin[ga] - np.concatenate([[0], np.cumsum(n_to)[:-1]]), n_to) + np.arange(n_to.sum())] if n_to.sum() else np.zeros(0, np.int64)
+        value = on_attr[np.repeat(ga, n_to), u] * np.repeat(gw, n_to) * s_w[edge]
+        f, g, at = s_film[edge], np.repeat(g, n_to), np.repeat(ga, n_to)
+        order = np.lexsort((at, -value, g, f))  # the best path of each two films comes first
+        f, g, at, value = f[order], g[order], at[order], value[order]
+        new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1])])) if len(f) else np.zeros(0, np.int64)
+        total = np.add.reduceat(value, new) if len(new) else np.zeros(0)
+        f, g, at = f[new], g[new], at[new]
+        order = np.lexsort((g, -np.round(total, 10), f))
+        f, g, at, total = f[order], g[order], at[order], total[order]
+        first = np.searchsorted(f, np.arange(n_shown + 1))
+        rank = np.arange(len(f)) - np.repeat(first[:-1], np.diff(first))
+        top = rank < n
+        ids.append(g[top])
+        totals.append(total[top])
+        best.append(attrs[at[top]])
+        ends += (ends[-1] + np.cumsum(np.minimum(np.diff(first), n))).tolist()
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate(v) if v else [], t) for v, t in ((ids, pa.int64()), (totals, pa.float64()), (best, pa.int64()))], names=["similar_id", "total", "attr"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)

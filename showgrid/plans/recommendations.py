@@ -11,7 +11,7 @@ from showgrid.operators import graph as G
 from showgrid.operators import scorers as SC
 from showgrid.operators import serving as V
 from showgrid.operators.recommend import missing_scores, user_candidates
-from showgrid.plans.bind import Tables
+from showgrid.plans.bind import AS_OF, Tables
 from showgrid.plans.registry import query
 
 # Films screening from the last days of the data: U x C results stay of the size of a score table.
@@ -34,6 +34,7 @@ v0 as (
 vec as materialized (select id as film_id, category, dim, max_by(w, p) as w from v0 group by id, category, dim)
 """
 
+SCR_ALL = f"scr as (select distinct film_id from S where showtime >= timestamp '{AS_OF}')"
 KW = "kw as (select user_id, film_id, rating, liked, watched_date, rewatch_count from W where film_id is not null)"
 SCR = f"scr as (select distinct film_id from S where showtime >= timestamp '{AS_OF_SCORES}')"
 PROFILE = """
@@ -68,6 +69,10 @@ def screened(t: Tables):
     return V.upcoming_sessions(t.screenings_from(AS_OF_SCORES), AS_OF_SCORES).select("film_id").distinct()
 
 
+def upcoming(t: Tables):
+    return V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF).select("film_id").distinct()
+
+
 def screened_vectors(t: Tables, v=None):
     return (vectors(t) if v is None else v).join(screened(t), "film_id", "left_semi")
 
@@ -248,7 +253,7 @@ def graph_edges(t):
 
 
 def universe_sql(fraction: float) -> str:
-    return f"""{FE}, {KW}, {SCR},
+    return f"""{FE}, {KW}, {SCR_ALL},
 uf as materialized (select user_id, film_id, bool_or(wd) as watched, bool_or(sc) as screened from (
   select user_id, film_id, true as wd, false as sc from kw union all select user_id, scr.film_id, false, true from (select distinct user_id from kw) cross join scr) group by all),
 us as (select user_id, count(*) as films from uf group by user_id),
@@ -262,23 +267,22 @@ up as materialized (select u1.user_id, ff.a, ff.b from ff join uf u1 on u1.film_
 @query("prune_hubs", f"with {universe_sql(0.15)} select user_id, attr, cast(n as bigint) as n from hub")
 def prune_hubs(t):
     films = t.films
-    universe = G.user_films(resolved(t).select("user_id", "film_id"), screened(t))
-    edges = G.film_attribute_edges(films)
-    links = universe.select("user_id", "film_id").join(edges.select("film_id", "attr", "links"), "film_id")
+    universe = G.user_films(resolved(t).select("user_id", "film_id"), upcoming(t))
+    prunable = G.film_attribute_edges(films).where(F.col("category").isin(lookups.PRUNABLE_CATEGORIES)).select("film_id", "attr", "links")
     sizes = universe.groupBy("user_id").agg(F.count(F.lit(1)).alias("films"))
-    return G.hub_links(links, sizes, edges.select("attr", "category").distinct(), 0.15)
+    return G.hub_links(universe.select("user_id", "film_id").join(prunable, "film_id"), sizes, 0.15)
 
 
-SEEDS = """
+SEEDS = f"""
 sd as (select user_id, film_id, case when rating is not null then case when rating < 3 then 0 else power((rating - 1.5) / 2.5, 2) * rw end
   when liked then 4.0 * rec * rw else 0.5625 * rec * rw end as weight from (
-  select *, case when rewatch_count > 0 then 1 + 0.3 * log2(1 + rewatch_count) else 1.0 end as rw, greatest(0.3, exp(-0.00385 * date_diff('day', watched_date, date '2001-11-01'))) as rec from kw))
+  select *, case when rewatch_count > 0 then 1 + 0.3 * log2(1 + rewatch_count) else 1.0 end as rw, greatest(0.3, exp(-0.00385 * date_diff('day', watched_date, date '{AS_OF[:10]}'))) as rec from kw))
 """
 
 
 @query("seed_weights", f"with {KW}, {SEEDS} select user_id, film_id, round(weight, 8) as weight from sd")
 def seed_weights(t):
-    return G.seed_weights(resolved(t), AS_OF_SCORES).withColumn("weight", F.round("weight", 8))
+    return G.seed_weights(resolved(t), AS_OF).withColumn("weight", F.round("weight", 8))
 
 
 def pagerank_sql(iterations: int, fraction: float = 0.30) -> str:
@@ -297,21 +301,15 @@ p0 as materialized (select user_id, node, r as p from rs),
 """
 
 
-def graph_of(t: Tables, fraction: float = lookups.MAX_HUB_FRACTION):
-    return G.build_user_graph(t.films, resolved(t).select("user_id", "film_id"), screened(t), fraction)
-
-
-def pagerank(t: Tables, graph, iterations: int):
-    watched = resolved(t)
-    return G.personalized_pagerank(G.directed_edges(graph), G.restart_mass(G.seed_weights(watched, AS_OF_SCORES)), G.damping(watched), iterations)
+def ranked(t: Tables, explain: bool = False):
+    return G.rank_all_users(t.films, upcoming(t), t.watched, AS_OF, explain=explain)[1]
 
 
 @query("personalized_pagerank", f"""
 with {pagerank_sql(25)} select uf.user_id, uf.film_id, uf.watched, round(coalesce(p, 0), 8) as raw from uf left join p25 on p25.user_id = uf.user_id and node = -1 - uf.film_id where uf.screened
 """)
 def personalized_pagerank(t):
-    graph = graph_of(t)
-    return G.screened_mass(pagerank(t, graph, 25), graph.films).withColumn("raw", F.round("raw", 8))
+    return ranked(t).select("user_id", "film_id", "watched", F.round("raw", 8).alias("raw"))
 
 
 @query("scale_scores", """
@@ -327,30 +325,30 @@ def scale_scores(t):
 
 
 @query("graph_breakdown", f"""
-with {pagerank_sql(2)}, x as (select ul.user_id, ul.film_id, ul.category, sum(coalesce(p, 0) * w) as x from ul join uf using (user_id, film_id) join ad using (attr, category) left join p2 on p2.user_id = ul.user_id and node = aid where uf.screened group by all),
+with {pagerank_sql(25)}, x as (select ul.user_id, ul.film_id, ul.category, sum(coalesce(p, 0) * w) as x from ul join uf using (user_id, film_id) join ad using (attr, category) left join p25 on p25.user_id = ul.user_id and node = aid where uf.screened group by all),
 y as (select *, sum(x) over (partition by user_id, film_id) as t, count(*) filter (x > 0) over (partition by user_id, film_id) as n from x)
-select user_id, category, count(*) filter (t > 0) as films, round(sum(case when t > 0 then x / t else 0 end), 6) as share, round(sum(case when t > 0 then n / 12.0e0 else 0 end), 6) as coverage from y group by all having count(*) filter (t > 0) > 0
+select user_id, film_id, category, round(x / t, 6) as share, round(n / 12.0e0, 6) as coverage from y where x > 0
 """)
 def graph_breakdown(t):
-    """Breakdowns of all users and films after two iterations, summarized per user and category."""
-    graph = graph_of(t)
-    rows = G.graph_breakdown(graph, pagerank(t, graph, 2)).select("user_id", "coverage", F.explode("by_category").alias("category", "share"))
-    return rows.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("films"), F.round(F.sum("share"), 6).alias("share"), F.round(F.sum("coverage"), 6).alias("coverage"))
+    """Category shares of all users and films, one row per share."""
+    rows = G.graph_breakdown(ranked(t, explain=True))
+    return rows.select("user_id", "film_id", F.round("coverage", 6).alias("coverage"), F.explode("by_category").alias("category", "share")).withColumn("share", F.round("share", 6))
 
 
 @query("similar_watched", f"""
-with {pagerank_sql(2)}, k as materialized (select * from ul join ad using (attr, category) where category in ('director', 'cinematographer', 'composer', 'writer', 'cast', 'collection', 'keyword')),
+with {pagerank_sql(25)}, k as materialized (select * from ul join ad using (attr, category) where category in ('director', 'cinematographer', 'composer', 'writer', 'cast', 'collection', 'keyword')),
 sp as materialized (select user_id, aid, category from (select user_id, aid, category, sum(links) as n from k group by all) join us using (user_id) where n <= case when category = 'keyword' then 0.03e0 else 0.25e0 end * films),
 ks as materialized (select k.user_id, k.film_id, k.aid, k.w from k semi join sp using (user_id, aid)),
-nr as materialized (select ks.user_id, ks.film_id, ks.aid, ks.w * p2.p as x1 from ks join p2 on p2.user_id = ks.user_id and p2.node = ks.aid semi join (select user_id, film_id from uf where screened) a on a.user_id = ks.user_id and a.film_id = ks.film_id),
+nr as materialized (select ks.user_id, ks.film_id, ks.aid, ks.w * r.p as x1 from ks join p25 r on r.user_id = ks.user_id and r.node = ks.aid semi join (select user_id, film_id from uf where screened) a on a.user_id = ks.user_id and a.film_id = ks.film_id where r.p > 0),
 fr as materialized (select ks.user_id, ks.film_id as similar_id, ks.aid, ks.w as w2 from ks semi join (select user_id, film_id from uf where watched) b on b.user_id = ks.user_id and b.film_id = ks.film_id),
-pt as (select nr.user_id, film_id, similar_id, x1 * w2 as x from nr join fr on nr.user_id = fr.user_id and nr.aid = fr.aid),
-tt as (select user_id, film_id, similar_id, sum(x) as total from pt group by all)
-select user_id, film_id, similar_id, position, round(total, 6) as total from (select *, row_number() over (partition by user_id, film_id order by round(total, 10) desc, similar_id) as position from tt) where position <= 3
+pt as (select nr.user_id, film_id, similar_id, nr.aid, x1 * w2 as x from nr join fr on nr.user_id = fr.user_id and nr.aid = fr.aid),
+tt as (select user_id, film_id, similar_id, sum(x) as total, min_by(aid, (round(-x, 10), aid)) as aid from pt group by all)
+select user_id, film_id, similar_id, position, round(total, 6) as total, attr from (select *, row_number() over (partition by user_id, film_id order by round(total, 10) desc, similar_id) as position from tt) join ad using (aid) where position <= 3
 """)
 def similar_watched(t):
-    graph = graph_of(t)
-    return G.similar_watched(graph, pagerank(t, graph, 2)).select("user_id", "film_id", "similar_id", "position", F.round("total", 6).alias("total"))
+    graph, rows = G.rank_all_users(t.films, upcoming(t), t.watched, AS_OF, explain=True)
+    return G.similar_watched(rows).join(graph.attributes.select("attr", "name"), "attr").select(
+        "user_id", "film_id", "similar_id", F.col("position").cast("long").alias("position"), F.round("total", 6).alias("total"), F.col("name").alias("attr"))
 
 
 @query("score_all_users", f"""
@@ -361,9 +359,9 @@ from x join b on b.user_id = x.user_id where x.user_id % 2 = 0 or x.watched
 """)
 def score_all_users(t):
     """Incremental run: odd users already have scores for the films they have not watched."""
-    done = user_candidates(resolved(t).select("user_id").distinct(), screened(t)).where("user_id % 2 = 1").join(
+    done = user_candidates(resolved(t).select("user_id").distinct(), upcoming(t)).where("user_id % 2 = 1").join(
         resolved(t).select("user_id", "film_id"), ["user_id", "film_id"], "left_anti")
-    return G.score_all_users(t.films, screened(t), t.watched, AS_OF_SCORES, stored=done).select("user_id", "film_id", "score")
+    return G.score_all_users(t.films, upcoming(t), t.watched, AS_OF, stored=done).select("user_id", "film_id", "score")
 
 
 # --- other scorers and evaluation ---------------------------------------------------------------------------

@@ -99,21 +99,19 @@ def test_pagerank_matches_plain_loops(spark):
     edges = {}
     for r in G.film_attribute_edges(catalogue).collect():
         edges.setdefault(r.film_id, []).append((r.attr, r.category, r.w))
-    watched = spark.createDataFrame([seen(1, 1, 5.0), seen(1, 2, 4.0), seen(1, 3, 2.0), seen(2, 4, 3.5), seen(2, 5, 5.0)], WATCHED)
+    watched = spark.createDataFrame([seen(1, 1, 5.0), seen(1, 2, 4.0), seen(1, 3, 2.0), seen(2, 4, 3.5), seen(2, 5, 5.0), seen(2, 7, 4.0)], WATCHED)
     screened = spark.createDataFrame([(i,) for i in range(6, 13)], "film_id long")
-    graph = G.build_user_graph(catalogue, watched.select("user_id", "film_id"), screened)
     seeds = G.seed_weights(watched, AS_OF)
-    rank = G.personalized_pagerank(G.directed_edges(graph), G.restart_mass(seeds), G.damping(watched), 25)
-    mass = {r.user_id: r.s for r in rank.groupBy("user_id").agg(F.sum("p").alias("s")).collect()}
-    assert all(0 < m <= 1 + 1e-9 for m in mass.values())
-    for user, own in ((1, {1, 2, 3}), (2, {4, 5})):
+    _, rank = G.rank_all_users(catalogue, screened, watched, AS_OF)
+    for user, own in ((1, {1, 2, 3}), (2, {4, 5, 7})):
         weights = {r.film_id: r.weight for r in seeds.where(F.col("user_id") == user).collect()}
         universe = {f: edges[f] for f in own | set(range(6, 13))}
         alpha_count = {f: w for f, w in weights.items() if w > 0}
         p = dense_pagerank_with_alpha(universe, alpha_count, len(own))
-        got = {-1 - r.node: r.p for r in rank.where((F.col("user_id") == user) & (F.col("node") < 0)).collect()}
-        for f in universe:
-            assert got.get(f, 0.0) == pytest.approx(p.get(f, 0.0), abs=1e-12)
+        got = {r.film_id: (r.raw, r.watched) for r in rank.where(F.col("user_id") == user).collect()}
+        assert set(got) == set(range(6, 13))
+        for f in got:
+            assert got[f] == (pytest.approx(p.get(f, 0.0), abs=1e-12), f in own)
 
 
 def dense_pagerank_with_alpha(universe, weights, n_watched):
@@ -145,12 +143,14 @@ def test_similar_watched_and_breakdown(spark):
     catalogue = films(spark, *[film(i, directors=[50 + i // 2], top_cast=[70 + i // 3], genres=["x"]) for i in range(2, 40)])
     watched = spark.createDataFrame([seen(1, i, 4.0) for i in range(2, 40, 2)], WATCHED)
     screened = spark.createDataFrame([(3,), (9,)], "film_id long")
-    graph = G.build_user_graph(catalogue, watched.select("user_id", "film_id"), screened)
-    rank = G.personalized_pagerank(G.directed_edges(graph), G.restart_mass(G.seed_weights(watched, AS_OF)), G.damping(watched), 25)
-    best = {(r.film_id, r.position): r.similar_id for r in G.similar_watched(graph, rank).collect()}
+    _, rank = G.rank_all_users(catalogue, screened, watched, AS_OF, explain=True)
+    best = {(r.film_id, r.position): r.similar_id for r in G.similar_watched(rank).collect()}
     assert best[3, 1] in (2, 4) and {best[9, 1], best[9, 2]} == {8, 10}
-    shares = G.graph_breakdown(graph, rank).collect()
+    shares = G.graph_breakdown(rank).collect()
     assert all(sum(r.by_category.values()) == pytest.approx(1) for r in shares)
+    rows = G.score_all_users(catalogue, screened, watched, AS_OF, explain=True).collect()
+    assert {(r.film_id, s.position): s.similar_id for r in rows for s in r.similar} == best
+    assert all(s.attr_category in ("director", "cast") and s.attr_name.startswith(s.attr_category) for r in rows for s in r.similar)
 
 
 def test_preference_pairs(spark):
