@@ -11,7 +11,7 @@ from showgrid.functions.dates import decade_bucket, popularity_boost, runtime_bu
 from showgrid.functions.metadata import union_languages
 from showgrid.operators.recommend import user_candidates
 
-SALTS = 16
+ROWS_PER_SALT = 20_000
 
 
 def steady(c: str) -> Column:
@@ -78,14 +78,14 @@ def feature_coverage(vectors: DataFrame, weights: dict[str, float] | None = None
 def user_profile(watched: DataFrame, vectors: DataFrame) -> DataFrame:
     """(user_id, dim, v): rating-weighted mean vector of the watched films; unrated films weigh 3 of 5.
 
-    ``watched`` has ``user_id, film_id, rating``; only films with a vector count.
+    ``watched`` has ``user_id, film_id, rating``; only films with a vector count. One join and one aggregation: every film has
+    exactly one runtime dimension, so the weights of those dimensions sum to the total of the user.
     """
-    films = vectors.where("category = 'runtime'").select("film_id")  # exactly one such dimension per film
-    known = watched.join(films, "film_id", "left_semi").select(
-        "user_id", "film_id", (F.coalesce("rating", F.lit(3.0)) / 5).alias("weight"))
-    totals = known.groupBy("user_id").agg(F.sum("weight").alias("total"))
-    sums = known.join(vectors, "film_id").groupBy("user_id", "dim").agg(F.sum(F.col("w") * F.col("weight")).alias("s"))
-    return sums.join(totals, "user_id").select("user_id", "dim", F.when(F.col("total") > 0, F.col("s") / F.col("total")).otherwise(F.col("s")).alias("v"))
+    weighed = watched.select("user_id", "film_id", (F.coalesce("rating", F.lit(3.0)) / 5).alias("weight"))
+    sums = weighed.join(vectors, "film_id").groupBy("user_id", "dim").agg(
+        F.sum(F.col("w") * F.col("weight")).alias("s"), F.sum(F.when(F.col("category") == "runtime", F.col("weight")).otherwise(0.0)).alias("n"))
+    total = F.sum("n").over(W.partitionBy("user_id"))  # a user has at most all dimensions of the catalogue
+    return sums.withColumn("total", total).select("user_id", "dim", F.when(F.col("total") > 0, F.col("s") / F.col("total")).otherwise(F.col("s")).alias("v"))
 
 
 def unit(vectors: DataFrame, key: str, value: str) -> DataFrame:
@@ -94,19 +94,23 @@ def unit(vectors: DataFrame, key: str, value: str) -> DataFrame:
     return vectors.join(norms, key).withColumn(value, F.col(value) / F.col("_norm")).drop("_norm")
 
 
-def salted(many: DataFrame, few: DataFrame, spread: str) -> tuple[DataFrame, DataFrame]:
-    """Split hot join keys: rows of ``many`` get a salt from ``spread``, rows of ``few`` are copied to every salt."""
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def salted(many: DataFrame, few: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame]:
+    """Split join keys by their frequency: a key with n rows in ``many`` gets one salt per ``ROWS_PER_SALT`` of them.
+
+    Rows of ``many`` take a salt from ``spread``, rows of ``few`` are copied to the salts of their key; most keys have one.
+    """
+    salts = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("int").alias("_salts"))
+    left = many.join(salts, key).withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")).drop("_salts")
+    right = few.join(salts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return left, right
 
 
 def matching_features(profile: DataFrame, vectors: DataFrame) -> DataFrame:
     """(user_id, film_id, dim, category, contribution) of shared dimensions.
 
-    Dimensions such as a decade are shared by very many users and films, so the join key is salted.
+    Dimensions such as a decade are shared by very many users and films, so frequent ones are salted.
     """
-    left, right = salted(profile, vectors, "user_id")
+    left, right = salted(profile, vectors, "dim", "user_id")
     return left.join(right, ["dim", "_salt"]).select("user_id", "film_id", "dim", "category", (F.col("v") * F.col("w")).alias("contribution"))
 
 

@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2001-09-01 00:00:00"
-AS_OF_LATE = "2001-10-25 00:00:00"
 
 
 class Dialect:

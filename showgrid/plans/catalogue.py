@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from showgrid import lookups
 from showgrid.operators import serving as V
-from showgrid.plans.bind import AS_OF, AS_OF_LATE, Tables
+from showgrid.plans.bind import AS_OF, Tables
 from showgrid.plans.registry import query
 
 T = f"timestamp '{AS_OF}'"
@@ -179,7 +179,7 @@ def year_bounds(t):
 select 'instant' as mode, film_id from S where showtime >= timestamp '2001-10-25 15:00:00' group by film_id
 having max(showtime) <= timestamp '2001-10-28 15:00:00'
 union all
-select 'calendar', film_id from S where showtime >= timestamp '2001-10-25 00:00:00' group by film_id
+select 'calendar', film_id from S where showtime >= {T} group by film_id
 having max(showtime) <= timestamp '2001-10-28 23:59:59'
 """)
 def last_chance(t):
@@ -318,8 +318,8 @@ def complement_selection(t):
     return V.complement_selection(t.raw("supplier").selectExpr("s_name as location"), ["Supplier#000000001", "Supplier#000000005"])
 
 
-@query("candidate_universe", """
-with u as (select distinct film_id from S where showtime >= timestamp '2001-10-25 00:00:00'),
+@query("candidate_universe", f"""
+with u as (select distinct film_id from S where showtime >= {T}),
 x as (select user_id, film_id, false as s from W where film_id is not null
  union all select user_id, u.film_id, true from (select distinct user_id from W where film_id is not null) cross join u)
 select user_id, film_id, bool_or(s) as is_screened from x group by all
@@ -328,7 +328,7 @@ def candidate_universe(t):
     from showgrid.operators.recommend import user_candidates
 
     watched = t.watched.where("film_id is not null").select("user_id", "film_id")
-    screened = V.upcoming_sessions(t.screenings_from(AS_OF_LATE), AS_OF_LATE).select("film_id").distinct()
+    screened = V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF).select("film_id").distinct()
     return V.candidate_universe(watched, user_candidates(watched, screened))
 
 

@@ -193,8 +193,11 @@ select user_id, short_url, rating from W where user_id not in (select user_id fr
 union all select user_id, short_url, rating from fresh
 """)
 def full_replace_partition(t):
-    fresh = t.watchlist.withColumn("rating", F.lit(5.0))
-    return Wr.replace_users(t.watched.select("user_id", "short_url", "rating"), fresh)
+    """Store all users, replace those with a watchlist, and read everything back."""
+    path = scratch(t, "user_rows")
+    Wr.write_user_buckets(t.watched.select("user_id", "short_url", "rating"), path)
+    Wr.replace_stored_users(t.spark, path, t.watchlist.select("user_id", "short_url", F.lit(5.0).alias("rating")))
+    return t.spark.read.parquet(path).select("user_id", "short_url", "rating")
 
 
 @query("sources_by_period", """

@@ -14,9 +14,6 @@ from showgrid.operators.recommend import missing_scores, user_candidates
 from showgrid.plans.bind import AS_OF, Tables
 from showgrid.plans.registry import query
 
-# Films screening from the last days of the data: U x C results stay of the size of a score table.
-AS_OF_SCORES = "2001-11-01 00:00:00"
-
 VEC = """
 v0 as (
  select id, 'genre' as category, concat('genre:', lower(x)) as dim, 0.10e0 / greatest(len(genres), 3) as w, 0 as p from F, unnest(genres) as t(x)
@@ -34,9 +31,8 @@ v0 as (
 vec as materialized (select id as film_id, category, dim, max_by(w, p) as w from v0 group by id, category, dim)
 """
 
-SCR_ALL = f"scr as (select distinct film_id from S where showtime >= timestamp '{AS_OF}')"
+SCR = f"scr as (select distinct film_id from S where showtime >= timestamp '{AS_OF}')"
 KW = "kw as (select user_id, film_id, rating, liked, watched_date, rewatch_count from W where film_id is not null)"
-SCR = f"scr as (select distinct film_id from S where showtime >= timestamp '{AS_OF_SCORES}')"
 PROFILE = """
 pw as (select user_id, sum(coalesce(rating, 3.0) / 5) as t from kw group by user_id),
 pro as materialized (select kw.user_id, dim, sum(w * coalesce(rating, 3.0) / 5) / any_value(pw.t) as v from kw join vec on vec.film_id = kw.film_id join pw on pw.user_id = kw.user_id group by kw.user_id, dim)
@@ -66,10 +62,6 @@ def resolved(t: Tables):
 
 
 def screened(t: Tables):
-    return V.upcoming_sessions(t.screenings_from(AS_OF_SCORES), AS_OF_SCORES).select("film_id").distinct()
-
-
-def upcoming(t: Tables):
     return V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF).select("film_id").distinct()
 
 
@@ -253,7 +245,7 @@ def graph_edges(t):
 
 
 def universe_sql(fraction: float) -> str:
-    return f"""{FE}, {KW}, {SCR_ALL},
+    return f"""{FE}, {KW}, {SCR},
 uf as materialized (select user_id, film_id, bool_or(wd) as watched, bool_or(sc) as screened from (
   select user_id, film_id, true as wd, false as sc from kw union all select user_id, scr.film_id, false, true from (select distinct user_id from kw) cross join scr) group by all),
 us as (select user_id, count(*) as films from uf group by user_id),
@@ -267,7 +259,7 @@ up as materialized (select u1.user_id, ff.a, ff.b from ff join uf u1 on u1.film_
 @query("prune_hubs", f"with {universe_sql(0.15)} select user_id, attr, cast(n as bigint) as n from hub")
 def prune_hubs(t):
     films = t.films
-    universe = G.user_films(resolved(t).select("user_id", "film_id"), upcoming(t))
+    universe = G.user_films(resolved(t).select("user_id", "film_id"), screened(t))
     prunable = G.film_attribute_edges(films).where(F.col("category").isin(lookups.PRUNABLE_CATEGORIES)).select("film_id", "attr", "links")
     sizes = universe.groupBy("user_id").agg(F.count(F.lit(1)).alias("films"))
     return G.hub_links(universe.select("user_id", "film_id").join(prunable, "film_id"), sizes, 0.15)
@@ -302,7 +294,7 @@ p0 as materialized (select user_id, node, r as p from rs),
 
 
 def ranked(t: Tables, explain: bool = False):
-    return G.rank_all_users(t.films, upcoming(t), t.watched, AS_OF, explain=explain)[1]
+    return G.rank_all_users(t.films, screened(t), t.watched, AS_OF, explain=explain)[1]
 
 
 @query("personalized_pagerank", f"""
@@ -346,7 +338,7 @@ tt as (select user_id, film_id, similar_id, sum(x) as total, min_by(aid, (round(
 select user_id, film_id, similar_id, position, round(total, 6) as total, attr from (select *, row_number() over (partition by user_id, film_id order by round(total, 10) desc, similar_id) as position from tt) join ad using (aid) where position <= 3
 """)
 def similar_watched(t):
-    graph, rows = G.rank_all_users(t.films, upcoming(t), t.watched, AS_OF, explain=True)
+    graph, rows = G.rank_all_users(t.films, screened(t), t.watched, AS_OF, explain=True)
     return G.similar_watched(rows).join(graph.attributes.select("attr", "name"), "attr").select(
         "user_id", "film_id", "similar_id", F.col("position").cast("long").alias("position"), F.round("total", 6).alias("total"), F.col("name").alias("attr"))
 
@@ -359,9 +351,9 @@ from x join b on b.user_id = x.user_id where x.user_id % 2 = 0 or x.watched
 """)
 def score_all_users(t):
     """Incremental run: odd users already have scores for the films they have not watched."""
-    done = user_candidates(resolved(t).select("user_id").distinct(), upcoming(t)).where("user_id % 2 = 1").join(
+    done = user_candidates(resolved(t).select("user_id").distinct(), screened(t)).where("user_id % 2 = 1").join(
         resolved(t).select("user_id", "film_id"), ["user_id", "film_id"], "left_anti")
-    return G.score_all_users(t.films, upcoming(t), t.watched, AS_OF, stored=done).select("user_id", "film_id", "score")
+    return G.score_all_users(t.films, screened(t), t.watched, AS_OF, stored=done).select("user_id", "film_id", "score")
 
 
 # --- other scorers and evaluation ---------------------------------------------------------------------------

@@ -7,6 +7,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from showgrid.util import cut_lineage
+
 
 def write_catalog(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Write to a new path; readers never see a half-written one because ``_SUCCESS`` comes last."""
@@ -75,7 +77,22 @@ def replace_users(stored: DataFrame, fresh: DataFrame, key: str = "user_id") ->
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def user_bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 def write_user_buckets(df: DataFrame, path: str, buckets: int = 256, key: str = "user_id") -> None:
-    """Overwrite only the buckets of users present in ``df``; the caller supplies whole buckets."""
-    bucketed = df.withColumn("user_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    bucketed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)
+    """Write rows partitioned by a hash of the user; only the buckets of users in ``df`` are overwritten."""
+    bucketed = df.withColumn("user_bucket", user_bucket(key, buckets))
+    # one task a bucket keeps the files few; a bucket is cut further by user where it is large
+    bucketed.repartition("user_bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)
+
+
+def replace_stored_users(spark, path: str, fresh: DataFrame, buckets: int = 256, key: str = "user_id") -> None:
+    """Replace the stored rows of the users in ``fresh`` and keep all others; only touched buckets are read and written.
+
+    The new content of the buckets is checkpointed before they are overwritten, so a failed write can be repeated.
+    """
+    touched = fresh.select(user_bucket(key, buckets).alias("user_bucket")).distinct()
+    stored = spark.read.parquet(path).join(touched, "user_bucket", "left_semi").drop("user_bucket")
+    write_user_buckets(cut_lineage(replace_users(stored, fresh)), path, buckets, key)
