@@ -49,15 +49,18 @@ def block_scores(table: pa.Table, iterations: int, hub_fraction: float | None, c
     a user has few: they are entries (user, film) with edges of their own.
     """
     kind = table.column("kind").to_numpy()
-    user, film, other, code, x, y = (table.column(c).to_numpy(zero_copy_only=False) for c in ("user_id", "film_id", "other", "code", "x", "y"))
     own, link, pair = kind == OWN, (kind == EDGE) | (kind == PRUNABLE), kind == PAIR
-    users, slot = np.unique(user[own].astype(np.int64), return_inverse=True)
+
+    def pick(column: str, rows: np.ndarray) -> np.ndarray:  # filtered first, so that ids are never read as floats beside nulls
+        return table.column(column).filter(pa.array(rows)).to_numpy(zero_copy_only=False)
+
+    users, slot = np.unique(pick("user_id", own), return_inverse=True)
     n_users = len(users)
     alpha = np.zeros(n_users)
-    alpha[slot] = y[own]
-    shown = np.unique(film[kind == SHOWN])
+    alpha[slot] = pick("y", own)
+    shown = np.unique(pick("film_id", kind == SHOWN))
     n_shown = len(shown)
-    own_film, restart = film[own], x[own]
+    own_film, restart = pick("film_id", own), pick("x", own)
     at_shown = place(shown, own_film)
     seen = at_shown >= 0
     extra_user, extra_film, extra_restart = slot[~seen], own_film[~seen], restart[~seen]
@@ -67,9 +70,9 @@ def block_scores(table: pa.Table, iterations: int, hub_fraction: float | None, c
     back = np.zeros((n_shown, n_users))
     back[at_shown[seen], slot[seen]] = restart[seen]
 
-    attrs, attr = np.unique(other[link].astype(np.int64), return_inverse=True)
+    attrs, attr = np.unique(pick("other", link), return_inverse=True)
     n_attrs = len(attrs)
-    e_film, e_w, e_links, e_code, e_prunable = film[link], x[link], y[link], code[link].astype(np.int64), kind[link] == PRUNABLE
+    e_film, e_w, e_links, e_code, e_prunable = pick("film_id", link), pick("x", link), pick("y", link), pick("code", link), kind[link] == PRUNABLE
     prunable = np.zeros(n_attrs, bool)
     prunable[attr[e_prunable]] = True
     category = np.zeros(n_attrs, np.int64)
@@ -82,8 +85,8 @@ def block_scores(table: pa.Table, iterations: int, hub_fraction: float | None, c
     lo = np.searchsorted(e_film[order], extra_film, side="left")
     size = np.searchsorted(e_film[order], extra_film, side="right") - lo
     entry = np.repeat(np.arange(n_extra), size)
-    pick = order[np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if n_extra else np.zeros(0, np.int64)
-    x_attr, x_w, x_links, x_user = attr[pick], e_w[pick], e_links[pick], extra_user[entry]
+    where = order[np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if n_extra else np.zeros(0, np.int64)
+    x_attr, x_w, x_links, x_user = attr[where], e_w[where], e_links[where], extra_user[entry]
     cell = x_attr * n_users + x_user  # place in an array of attributes by users
 
     def to_attrs(values: np.ndarray) -> np.ndarray:
@@ -99,7 +102,8 @@ def block_scores(table: pa.Table, iterations: int, hub_fraction: float | None, c
         keep = ~(prunable[:, None] & (degree > np.maximum(3, np.floor(films_of * hub_fraction))))
 
     # pairs: between screened films, between an entry and a screened film of its user, between two entries of a user
-    a, b = np.concatenate([film[pair], other[pair].astype(np.int64)]), np.concatenate([other[pair].astype(np.int64), film[pair]])
+    one, two = pick("film_id", pair), pick("other", pair)
+    a, b = np.concatenate([one, two]), np.concatenate([two, one])
     both = (place(shown, a) >= 0) & (place(shown, b) >= 0)
     mixed = (place(shown, a) < 0) & (place(shown, b) >= 0)
     outside = (place(shown, a) < 0) & (place(shown, b) < 0)
@@ -149,7 +153,7 @@ def block_scores(table: pa.Table, iterations: int, hub_fraction: float | None, c
         limit = np.where(category == kinds[1], 0.03, np.where(np.isin(category, kinds[0]), 0.25, -1.0))
         specific = keep & (on_attr > 0) & (degree <= limit[:, None] * films_of)
         near = similar_films(specific, on_attr, attrs, s_film, s_attr, s_w, watched, shown, extra_film, x_user, x_attr, x_w, entry, similar, n_shown)
-    return pa.table({"user_id": np.repeat(users, n_shown), "film_id": np.tile(shown, n_users), "watched": watched.T.ravel(), "raw": on_shown.T.ravel(), "mass": mass, "similar": near})
+    return pa.table({"user_id": pa.array(np.repeat(users, n_shown), table.schema.field("user_id").type), "film_id": np.tile(shown, n_users), "watched": watched.T.ravel(), "raw": on_shown.T.ravel(), "mass": mass, "similar": near})
 
 
 SIMILAR = pa.list_(pa.struct([("similar_id", pa.int64()), ("total", pa.float64()), ("attr", pa.int64())]))

@@ -436,6 +436,42 @@ def pairwise_ltr(t):
     return SC.pairwise_ltr(vectors(t), rated(t)).withColumn("weight", F.round("weight", 8))
 
 
+LTR_ROWS = f"{SCR}, rows as (select u.user_id, vec.film_id, category, w * coalesce(weight, 0.01e0) as x from (select distinct user_id from rt) u cross join (select * from vec where film_id in (select film_id from scr)) vec left join w15 o on o.user_id = u.user_id and o.dim = vec.dim)"
+
+
+def learned(t: Tables):
+    v = vectors(t)
+    return SC.pairwise_ltr(v, rated(t)), screened_vectors(t, v), user_candidates(rated(t), screened(t))
+
+
+@query("ltr_scores", f"with {ltr_sql()}, {LTR_ROWS} select user_id, film_id, round(sum(x), 6) as raw from rows group by all")
+def ltr_scores(t):
+    return SC.ltr_scores(*learned(t)).withColumn("raw", F.round("raw", 6))
+
+
+@query("ltr_breakdown", f"""
+with {ltr_sql()}, {LTR_ROWS}, g as (select user_id, film_id, category, sum(abs(x)) as x from rows group by all)
+select user_id, film_id, category, round(x / sum(x) over (partition by user_id, film_id), 6) as share from g
+""")
+def ltr_breakdown(t):
+    return SC.ltr_breakdown(*learned(t)).withColumn("share", F.round("share", 6))
+
+
+PENALTY = ", ".join(f"'{c}'" for c in lookups.IDF_PENALTY_CATEGORIES)
+
+
+@query("penalty_idf_scores", f"""
+with {VEC}, {KW}, {SCR}, {FACTOR}, n as (select count(distinct film_id) as n from vec), d as (select dim, least(1.0, ln(any_value(n) / cast(count(*) as double))) as idf from vec, n group by dim having count(*) < any_value(n)),
+tv as materialized (select film_id, category, vec.dim, case when split_part(vec.dim, ':', 1) in ({PENALTY}) then w * idf else w end as w from vec join d on d.dim = vec.dim),
+{PROFILE}, pv as materialized (select user_id, pro.dim, case when split_part(pro.dim, ':', 1) in ({PENALTY}) then v * idf else v end as v from pro join d on d.dim = pro.dim),
+{cosine_sql('tv', 'pv')}
+select sim.user_id, sim.film_id, round(sim * factor * 100, 6) as raw from sim join fac on fac.film_id = sim.film_id
+""")
+def penalty_idf_scores(t):
+    pairs = user_candidates(resolved(t), screened(t))
+    return SC.tfidf_scorer(t.films, resolved(t), pairs, "penalty").select("user_id", "film_id", F.round("raw", 6).alias("raw"))
+
+
 @query("holdout_split", f"""
 with {KW}, r as (select s as split, user_id, film_id, row_number() over (partition by s, user_id order by md5(concat_ws('|', s, user_id, film_id)), film_id) as r, count(*) over (partition by s, user_id) as n
  from kw cross join (select unnest(generate_series(1, 5)) as s) where rating is not null)
@@ -459,8 +495,13 @@ def ranking_metrics(t):
 
 @query("holdout_evaluation")
 def holdout_evaluation(t):
-    m = EV.evaluate(SC.content_scorer, t.films, t.watched)
-    return m.agg(F.count(F.lit(1)).alias("cases"), *[F.avg(c).alias(c) for c in ("spearman", "p5", "p10")])
+    """Mean metrics of the interchangeable scorers over all users and splits."""
+    scorers = {"content": SC.content_scorer, "tfidf": SC.tfidf_scorer, "pagerank": SC.pagerank_scorer, "ucb": SC.ucb_scorer}
+    parts = [EV.evaluate(f, t.films, t.watched).agg(F.lit(n).alias("scorer"), F.count(F.lit(1)).alias("cases"), *[F.avg(c).alias(c) for c in ("spearman", "p5", "p10")]) for n, f in scorers.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("embedding_similarity", """

@@ -1,6 +1,6 @@
 """Every registered query with checking SQL, on the smallest tables.
 
-The 25-iteration graph queries take minutes; they run when SHOWGRID_ALL is set.
+The queries that train the pairwise learner take long; they run when SHOWGRID_ALL is set.
 """
 
 import os
@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 import oracle
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"personalized_pagerank", "score_all_users", "unweighted_ppr", "similar_watched", "graph_breakdown", "pairwise_ltr"}
+SLOW = {"pairwise_ltr", "ltr_scores", "ltr_breakdown", "holdout_evaluation"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 CHOSEN = [q for q in QUERIES if q not in entry.LLM_QUERIES if os.environ.get("SHOWGRID_ALL") or q not in SLOW]
 
