@@ -25,9 +25,6 @@ def ascii_fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
 
 
-NON_ASCII = r"[^\x00-\x7F]"
-
-
 def normalize_text(c: Column) -> Column:
     """Lower case without accents."""
     return F.lower(strip_accents(c))

@@ -6,22 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from showgrid.util import lookup
 
-# --- Fixed values: sources (key, name, refresh period) ---------------------------------------
-SOURCES = [
-    ("dore", "Cine Doré", "monthly"),
-    ("cineteca", "Cineteca Madrid", "monthly"),
-    ("circulo-bellas-artes", "Cine Estudio", "monthly"),
-    ("renoir", "Cines Renoir", "weekly"),
-    ("golem", "Golem Madrid", "weekly"),
-    ("sala-berlanga", "Sala Berlanga", "monthly"),
-    ("embajadores", "Cines Embajadores", "weekly"),
-    ("cine-paz", "Cine Paz Madrid", "weekly"),
-    ("verdi", "Cines Verdi Madrid", "weekly"),
-    ("sala-equis", "Sala Equis", "weekly"),
-    ("yelmo", "Cines Yelmo", "weekly"),
-    ("cinesa", "Cinesa", "weekly"),
-]
-
 # --- Fixed values: venue groups and their locations -------------------------------------------
 VENUE_GROUPS = {
     "Renoir": ["Princesa", "Retiro", "Plaza de España"],
@@ -36,7 +20,6 @@ VENUE_GROUPS = {
         "Yelmo Plaza Norte 2", "Yelmo Planetocio", "Yelmo Plenilunio", "Yelmo Rivas H2O", "Yelmo TresAguas",
     ],
 }
-SINGLE_VENUES = ["Cineteca Madrid", "Cine Doré", "Cine Estudio", "Golem", "Sala Berlanga", "Cine Paz", "Sala Equis", "Verdi"]
 
 # Legacy chain label -> group whose locations replace it
 LEGACY_CHAINS = {"Cines Renoir": "Renoir", "Cines Embajadores": "Embajadores", "Cinesa": "Cinesa", "Cines Yelmo": "Yelmo"}
@@ -158,10 +141,6 @@ SPECIAL_TITLE_RULES = [
 VARIOUS_AUTHORS_PATTERN = r"(?i)^(varios/as autores/as|vv\.\s?aa\.|varios autores)"
 
 
-def sources(spark: SparkSession) -> DataFrame:
-    return lookup(spark, SOURCES, "source_key string, name string, update_period string")
-
-
 def venue_groups(spark: SparkSession) -> DataFrame:
     rows = [(group, place) for group, places in VENUE_GROUPS.items() for place in places]
     return lookup(spark, rows, "venue_group string, location string")

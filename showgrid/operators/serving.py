@@ -398,7 +398,3 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def dedup_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_by(keys, order, df, last=True)
-
-
-def grouped_position(df: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
-    return rank_within(df, keys, order, name)

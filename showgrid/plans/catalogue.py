@@ -265,13 +265,20 @@ def location_summary(t):
         "to_day", F.col("to_day").cast("string"))
 
 
+PLACE = "case cast(right(location, 3) as int) % 5 when 0 then 'Princesa' when 1 then 'Golem' when 2 then 'Cinesa Xanadu' when 3 then 'Yelmo Ideal' else location end"
+
+
 @query("sessions_by_venue_day", f"""
-select seq, film_id, 999 as venue_order,
- row_number() over (order by location, cast(showtime as date), showtime, film_id, seq) as position
-from S where showtime >= {T}
+with v as (select *, {PLACE} as place from S where showtime >= {T}),
+o as (select *, case place when 'Princesa' then 5 when 'Golem' then 4 when 'Cinesa Xanadu' then 10 when 'Yelmo Ideal' then 11 else 999 end as vo from v)
+select 'venue' as mode, seq, film_id, vo as venue_order, row_number() over (order by vo, place, cast(showtime as date), showtime, film_id, seq) as position from o
+union all select 'day', seq, film_id, vo, row_number() over (order by cast(showtime as date), showtime, vo, place, film_id, seq) from o
 """)
 def sessions_by_venue_day(t):
-    return V.sessions_by_venue_day(V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF)).select("seq", "film_id", "venue_order", "position")
+    """Both listings over venues of which most have a place in the display order."""
+    named = V.upcoming_sessions(t.screenings_from(AS_OF), AS_OF).withColumn("location", F.expr(PLACE))
+    parts = [V.sessions_by_venue_day(named, mode).select(F.lit(mode).alias("mode"), "seq", "film_id", "venue_order", "position") for mode in ("venue", "day")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("next_session", f"""

@@ -622,12 +622,16 @@ def version_counterpart(t):
 with ss as (select seq, film_id, case l % 4 when 0 then 'Cine Embajadores' when 1 then 'Cine Embajadores Río' when 2 then 'Cines Embajadores' else 'Elsewhere' end as raw from (select *, cast(right(location, 3) as integer) as l from S))
 select seq, film_id, 'Embajadores Glorieta' as location from ss where raw in ('Cine Embajadores', 'Cines Embajadores')
 union all select seq, film_id, 'Embajadores Ercilla' from ss where raw in ('Cine Embajadores Río', 'Cines Embajadores')
+union all select seq, film_id, case seq % 3 when 2 then null else 'dubbed' end from ss
 """)
 def label_map_join(t):
     raw = t.screenings.select("seq", "film_id", F.expr("case cast(right(location, 3) as int) % 4 when 0 then 'Cine Embajadores' when 1 then 'Cine Embajadores Río' when 2 then 'Cines Embajadores' else 'Elsewhere' end").alias("location"))
     labels = t.spark.createDataFrame(list(lookups.LOCATION_LABELS.items()), "location string, value string").unionByName(
         lookups.legacy_chains(t.spark).select(F.col("chain").alias("location"), F.col("location").alias("value")))
-    return J.label_map_join(raw, labels, "location", "value", drop_unmapped=True)
+    places = J.label_map_join(raw, labels, "location", "value", drop_unmapped=True)
+    versions = t.spark.createDataFrame(list(lookups.VERSION_LABELS.items()), "version string, value string")
+    told = t.screenings.select("seq", "film_id", F.expr("case seq % 3 when 0 then 'DIGITAL' when 1 then '3D DIGITAL' else 'OTHER' end").alias("version"))
+    return places.unionByName(J.label_map_join(told, versions, "version", "value", drop_unmapped=False).withColumnRenamed("version", "location"))
 
 
 @query("dim_name_lookup", """

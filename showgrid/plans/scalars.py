@@ -75,15 +75,16 @@ def strip_director_prefix(t):
 
 
 @query("parse_credit_line", """
-select id, director, cast(year as varchar) as year, director as pipe_director, cast(year as varchar) as pipe_year
-from F where director is not null and year is not null
+select id, case when director is not null and year is not null then director else 'VOSE' end as director, case when director is not null and year is not null then cast(year as varchar) else '1999' end as year,
+ case when year is not null then director end as pipe_director, case when director is not null then cast(year as varchar) end as pipe_year
+from F
 """)
 def parse_credit_line(t):
-    known = t.films.where("director is not null and year is not null")
+    """A film without director or year has no line of its own; the next line that looks like a credit counts then."""
     year = F.col("year").cast("string")
     para = F.array(F.col("title"), F.concat("director", F.lit(" / "), F.element_at("country", 1), F.lit(" / "), year), F.lit("VOSE / 2 / 1999"))
     pipe = F.concat("director", F.lit(" | "), year, F.lit(" | 100'"))
-    return known.select("id", X.parse_credit_lines(para).alias("a"), X.parse_pipe_credit(pipe).alias("b")).select(
+    return t.films.select("id", X.parse_credit_lines(para).alias("a"), X.parse_pipe_credit(pipe).alias("b")).select(
         "id", "a.director", "a.year", F.col("b.director").alias("pipe_director"), F.col("b.year").alias("pipe_year"))
 
 

@@ -89,11 +89,6 @@ def read_store(table: DataFrame, filters: list[tuple] = (), columns: list[str] |
     return table.select(*columns) if columns else table
 
 
-def read_jdbc_store(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, parts: int, **options: str) -> DataFrame:
-    """Parallel database scan split on a numeric key."""
-    return spark.read.jdbc(url, table, column=key, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=options)
-
-
 def read_user_export(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The five CSVs of one or many unpacked exports below ``folder/<user_id>/``.
 
