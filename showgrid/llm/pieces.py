@@ -48,6 +48,9 @@ class Pieces:
         self.unknown_id = next((i for i, k in enumerate(self.kind) if k == UNKNOWN), 0)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        #: UTF-8 bytes of every id; control pieces are empty.
+        self.raw = [bytes([self.byte_of[i]]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else " ⁇ ".encode() if k == UNKNOWN else b""
+                    for i, (p, k) in enumerate(zip(self.text, self.kind))]
         self.automaton = ahocorasick.Automaton()
         best = max(scores) if scores else 0.0
         for i, p in enumerate(proto.pieces):
@@ -90,13 +93,12 @@ class Pieces:
         return path
 
     def word(self, s: str) -> array:
-        found = self.seen.get(s)
-        if found is None:
-            found = self.viterbi(s)
-            if len(s) <= REMEMBER_CHARS:
-                if len(self.seen) >= REMEMBER:
-                    self.seen.clear()
-                self.seen[s] = found
+        """Ids of a word behind one space mark, remembered if it is short."""
+        found = self.viterbi(SPACE + s)
+        if len(s) <= REMEMBER_CHARS:
+            if len(self.seen) >= REMEMBER:
+                self.seen.clear()
+            self.seen[s] = found
         return found
 
     def normalize(self, text: str) -> str:
@@ -112,35 +114,24 @@ class Pieces:
             return
         parts = s.split(SPACE)
         if parts[0]:
-            out.extend(self.word(parts[0]))
-        marks = SPACE
+            out.extend(self.viterbi(parts[0]))
+        seen, add, marks = self.seen.get, out.extend, SPACE
         for p in parts[1:]:
-            if p:
-                out.extend(self.word(marks + p))
-                marks = SPACE
-            else:
+            if not p:
                 marks += SPACE
+            elif marks is SPACE:
+                found = seen(p)
+                add(self.word(p) if found is None else found)
+            else:
+                add(self.viterbi(marks + p))
+                marks = SPACE
         if len(parts) > 1 and not parts[-1]:  # spaces at the end
-            out.extend(self.viterbi(marks[1:]))
+            add(self.viterbi(marks[1:]))
 
     def decode(self, ids) -> str:
-        """Text of the ids: bytes joined to characters, marks to spaces, without the one that encoding puts in front."""
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if self.kind[i] in (NORMAL, USER):
-                out.append(self.text[i])
-            elif self.kind[i] == UNKNOWN:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        """Text of the ids: pieces and bytes joined, marks as spaces, without the one that encoding puts in front."""
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
