@@ -320,7 +320,7 @@ def scale_scores(t):
 with {pagerank_sql(25)}, x as (select ul.user_id, ul.film_id, ul.category, sum(coalesce(p, 0) * w) as x from ul join uf using (user_id, film_id) join ad using (attr, category) left join p25 on p25.user_id = ul.user_id and node = aid where uf.screened group by all),
 y as (select *, sum(x) over (partition by user_id, film_id) as t, count(*) filter (x > 0) over (partition by user_id, film_id) as n from x)
 select user_id, film_id, category, round(x / t, 6) as share, round(n / 12.0e0, 6) as coverage from y where x > 0
-""")
+""", small=True)
 def graph_breakdown(t):
     """Category shares of all users and films, one row per share."""
     rows = G.graph_breakdown(ranked(t, explain=True))
@@ -336,7 +336,7 @@ fr as materialized (select ks.user_id, ks.film_id as similar_id, ks.aid, ks.w as
 pt as (select nr.user_id, film_id, similar_id, nr.aid, x1 * w2 as x from nr join fr on nr.user_id = fr.user_id and nr.aid = fr.aid),
 tt as (select user_id, film_id, similar_id, sum(x) as total, min_by(aid, (round(-x, 10), aid)) as aid from pt group by all)
 select user_id, film_id, similar_id, position, round(total, 6) as total, attr from (select *, row_number() over (partition by user_id, film_id order by round(total, 10) desc, similar_id) as position from tt) join ad using (aid) where position <= 3
-""")
+""", small=True)
 def similar_watched(t):
     graph, rows = G.rank_all_users(t.films, screened(t), t.watched, AS_OF, explain=True)
     return G.similar_watched(rows).join(graph.attributes.select("attr", "name"), "attr").select(

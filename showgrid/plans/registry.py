@@ -11,9 +11,11 @@ from showgrid.plans.bind import DUCK_DEPENDENCIES, Tables, duck_views
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: SQL that is too slow on whole tables of size; the tests run it on the smallest ones.
+SMALL_ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, small: bool = False):
     """Register ``fn(tables) -> DataFrame`` under ``name`` with an optional equivalent SQL text."""
 
     def add(fn):
@@ -21,7 +23,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            (SMALL_ORACLES if small else ORACLES)[name] = with_views(sql)
         return fn
 
     return add

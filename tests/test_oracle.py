@@ -9,10 +9,11 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from showgrid.plans.registry import SMALL_ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"pairwise_ltr", "ltr_scores", "ltr_breakdown", "holdout_evaluation"}
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.queries(), entry.oracle_sql() | SMALL_ORACLES
 CHOSEN = [q for q in QUERIES if q not in entry.LLM_QUERIES if os.environ.get("SHOWGRID_ALL") or q not in SLOW]
 
 
