@@ -20,8 +20,8 @@ ADDED = ["random"]
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
-#: Strings that may be random: a whole run of 20 to 200 characters with digits and letters.
-RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=-])"
+#: Strings that may be random: every whole run of 20 characters or more. It is entered at its start only and never given back, so a scan is linear.
+RANDOM = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 #: Documents whose words are the ordinary class and whose ids seed the random class: a bounded, fixed sample by id hash.
@@ -48,8 +48,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of every character step; ``SIZE * SIZE`` numbers.
 
     The sample is the ``sample_docs`` documents with the smallest id hash; of rows that share an id the smallest text counts. Random strings are digests of their ids in hexadecimal
-    and base64, ordinary ones their distinct words joined in pairs like identifiers, with a number now and then. Counts are smoothed by one, so an
-    empty table gives ratios of 0. Only the counts, at most ``SIZE * SIZE`` a class, reach the driver.
+    and base64, ordinary ones their distinct words joined in pairs like identifiers, paths and constants, with a number now and then. Counts are smoothed by one, so an
+    empty table gives ratios of 0. A character that repeats itself (rules, padding) never speaks for chance: its ratio is at most 0. Only the counts, at most ``SIZE * SIZE`` a class, reach the driver.
     """
     # ids first, texts after: what meets in one task is narrow, and the ids are few enough to be broadcast
     ids = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs)
@@ -59,13 +59,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
                                              F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)))).alias("s"), F.lit(1).alias("random"))
     words = picked.select("doc_id", F.explode(F.array_distinct(F.transform(word_array(F.col("text")), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")))).alias("w")).where("length(w) > 2")
     number = F.pmod(F.xxhash64("doc_id", "w"), F.lit(1000))
-    ordinary = words.select(F.explode(F.array(F.col("w"), F.concat("w", F.lit("_"), F.lower("w")), F.concat(F.lower("w"), F.lit("-"), number.cast("string")))).alias("s"), F.lit(0).alias("random"))
+    low, high, title, digits = F.lower("w"), F.upper("w"), F.concat(F.upper(F.substring("w", 1, 1)), F.lower(F.substring("w", 2, 1 << 30))), number.cast("string")
+    forms = [F.col("w"), F.concat("w", F.lit("_"), low), F.concat(low, F.lit("-"), digits), F.concat(low, F.lit("-"), low), F.concat(low, F.lit("/"), low),
+             F.concat(low, title), F.concat(high, F.lit("_"), high), F.concat(digits, F.lit("-"), digits, F.lit("/"), digits, F.lit("/"), low)]
+    ordinary = words.select(F.explode(F.array(*forms)).alias("s"), F.lit(0).alias("random"))
     counts = (random.union(ordinary).select("random", F.explode(step_codes(F.col("s"))).alias("step")).groupBy("random", "step").count().collect())
     table = [[1.0] * (SIZE * SIZE), [1.0] * (SIZE * SIZE)]
     for r in counts:
         table[r["random"]][r["step"]] += r["count"]
     rows = [[sum(t[i * SIZE : (i + 1) * SIZE]) for i in range(SIZE)] for t in table]
-    return [math.log(table[1][k] / rows[1][k // SIZE]) - math.log(table[0][k] / rows[0][k // SIZE]) for k in range(SIZE * SIZE)]
+    ratios = [math.log(table[1][k] / rows[1][k // SIZE]) - math.log(table[0][k] / rows[0][k // SIZE]) for k in range(SIZE * SIZE)]
+    return [min(x, 0.0) if k % (SIZE + 1) == 0 else x for k, x in enumerate(ratios)]
 
 
 def likelihood_ratio(s: Column, model: list[float]) -> Column:

@@ -1,5 +1,8 @@
 """Personal data, secrets and mixing."""
 
+import random
+import string
+
 import brute
 import oracle
 import pytest
@@ -47,6 +50,21 @@ def test_models_tell_random_strings(spark, small):
     assert found == {1: ["random"], 2: [], 3: []}
     assert secrets.train(small.limit(0)) == [0.0] * secrets.SIZE**2
 
+@pytest.mark.parametrize("alphabet", [string.ascii_letters + string.digits + "+/", string.ascii_letters])
+def test_random_strings_of_any_length(spark, small, alphabet):
+    model, dice = secrets.train(small), random.Random(7)
+    keys = {n: "".join(dice.choices(alphabet, k=n)) for n in (40, 200, 201, 300, 5000)}
+    docs = spark.createDataFrame([(n, f"the key {k} ends here") for n, k in keys.items()], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["text"]) for s in r["spans"]] for r in secrets.secret_spans(docs, model).collect()}
+    assert found == {n: [("random", k)] for n, k in keys.items()}
+    assert {r["text"] for r in secrets.redact(docs, model).collect()} == {"the key [SECRET] ends here"}
+
+
+def test_long_ordinary_runs_are_kept(spark, small):
+    texts = ["-" * 60, "_" * 300, "=" * 5000, "z" * 300, "the/people/from/other/places", "THE_PEOPLE_FROM_OTHER_PLACES", "the-people-from-other-places", "2024-01-02-2024-01-02/report"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs, secrets.train(small)).collect()} == dict(enumerate(texts))
+
 
 def test_redaction(edge, small):  # row 11 is one long hexadecimal run
     got = {r["doc_id"]: r for r in secrets.redact(edge, secrets.train(small)).collect()}
