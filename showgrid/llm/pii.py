@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from showgrid.llm.common import documents
 from showgrid.llm.queries import query
-from showgrid.llm.spans import count_kind, find_spans, span_list, spans_if
+from showgrid.llm.spans import SPAN, count_kind, find_spans, span_list, spans_if
 
 BASE = ["email", "ip", "card", "phone"]
 ADDED = ["iban", "idnum"]
@@ -20,7 +20,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: A whole run of digits with single separators that has 12 to 19 digits; other runs fail as wholes and need no match.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Where a code may start, and the longest run from there: 15 to 34 characters with single spaces.
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+IBAN_LEAST, IBAN_REACH = 15, 65
 IDNUM = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 
 #: Prior of a confirmed span, and words near it that raise or lower its score by ``STEP``.
@@ -52,6 +55,22 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), step) == 1
 
 
+def iban_spans(text: Column) -> Column:
+    """Codes that pass mod-97. Words or numbers may follow a code in capitals: of the run from its start, the longest valid
+    part that ends before a space or with the run counts. A start inside an earlier code is not a code of its own."""
+    def longest(head):
+        run = F.split(F.regexp_extract(F.substring(text, head["start"] + 1, F.lit(IBAN_REACH)), IBAN, 0), " ")
+        parts = F.transform(F.sequence(F.size(run), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(run, F.lit(1), n), " "))
+        code = F.get(F.filter(parts, lambda p: (F.length(F.regexp_replace(p, r"\x20", "")) >= IBAN_LEAST) & mod97(p)), F.lit(0))
+        return F.struct(F.lit("iban").alias("kind"), head["start"].alias("start"), (head["start"] + F.length(code)).alias("end"), code.alias("text"))
+
+    found = F.filter(F.transform(find_spans(text, IBAN_HEAD, "iban"), longest), lambda s: s["text"].isNotNull())
+    def apart(out, s):
+        return F.when(F.exists(out, lambda o: o["end"] > s["start"]), out).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(found, F.array().cast(f"array<{SPAN}>"), apart)
+
+
 def n_digits(c: Column) -> Column:
     return F.length(F.regexp_replace(c, "[^0-9]", ""))
 
@@ -79,7 +98,7 @@ def pii_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
         "ip": spans_if(digit, F.filter(find_spans(t, IP, "ip"), lambda s: s["text"].rlike(octets))),
         "card": spans_if(digit, F.filter(find_spans(t, CARD, "card"), lambda s: luhn(F.regexp_replace(s["text"], "[^0-9]", "")))),
         "phone": spans_if(t.contains("+"), F.filter(find_spans(t, PHONE, "phone"), lambda s: n_digits(s["text"]).between(9, 15))),
-        "iban": spans_if(digit, F.filter(find_spans(t, IBAN, "iban"), lambda s: mod97(s["text"]))),
+        "iban": spans_if(digit, iban_spans(t)),
         "idnum": spans_if(digit, find_spans(t, IDNUM, "idnum")),
     }
     out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("whole")).select(*keep, "whole", *[v.alias(f"raw_{k}") for k, v in raw.items()])

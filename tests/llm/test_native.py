@@ -30,6 +30,16 @@ def test_pii_adds_checked_spans(spark):
     assert found[3][0][0] == "idnum" and found[3][0][1] == pytest.approx(0.6)
 
 
+def test_iban_before_capital_words_and_numbers(spark):
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    rows = {1: (f"IBAN {de} BIC COBADEFFXXX", [de]), 2: (f"{gb} CARD 4111", [gb]), 3: (f"REF AB12 {gb} AND {de} END", [gb, de]), 4: (f"{gb}", [gb]),
+            5: ("GB83 WEST 1234 5698 7654 32 CARD 4111", []), 6: (f"{de}X", [])}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")
+    for r in pii.pii_spans(docs).collect():
+        found = [s for s in r["spans"] if s["kind"] == "iban"]
+        assert [s["text"] for s in found] == rows[r["doc_id"]][1] and all(r["whole"][s["start"]:s["end"]] == s["text"] for s in found)
+
+
 def test_pii_long_runs(spark):
     """Linear patterns: long runs of one kind neither overflow the stack nor take long."""
     texts = ["a" * 60000, "1" * 60000, "a@" + "b." * 30000 + "c", "1." * 30000, "+1" + "-" * 60000, "4" * 60000 + "@", "a@b." * 5000]
