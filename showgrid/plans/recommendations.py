@@ -496,7 +496,7 @@ def ranking_metrics(t):
 @query("holdout_evaluation")
 def holdout_evaluation(t):
     """Mean metrics of the interchangeable scorers over all users and splits."""
-    scorers = {"content": SC.content_scorer, "tfidf": SC.tfidf_scorer, "pagerank": SC.pagerank_scorer, "ucb": SC.ucb_scorer}
+    scorers = {"content": SC.content_scorer, "tfidf": SC.tfidf_scorer, "pagerank": SC.pagerank_scorer, "ltr": SC.ltr_scorer, "ucb": SC.ucb_scorer}
     parts = [EV.evaluate(f, t.films, t.watched).agg(F.lit(n).alias("scorer"), F.count(F.lit(1)).alias("cases"), *[F.avg(c).alias(c) for c in ("spearman", "p5", "p10")]) for n, f in scorers.items()]
     out = parts[0]
     for p in parts[1:]:

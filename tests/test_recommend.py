@@ -1,6 +1,7 @@
 """Scenario, invariant and brute-force tests of the recommenders."""
 
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from showgrid.operators import evaluate as EV
 from showgrid.operators import features as X
 from showgrid.operators import graph as G
 from showgrid.operators import scorers as S
+from showgrid.plans.recommendations import holdout_evaluation
 
 PEOPLE = "array<struct<id:long,name:string>>"
 FILM = (f"id long, title string, genres array<string>, director string, directors {PEOPLE}, cinematographers {PEOPLE}, composers {PEOPLE}, writers {PEOPLE}, top_cast {PEOPLE}, keywords {PEOPLE}, "
@@ -203,3 +205,11 @@ def test_holdout_is_disjoint_and_sized(spark):
     rated = spark.createDataFrame([(u, f, 3.0) for u in (1, 2) for f in range(10 * u + 3)], "user_id long, film_id long, rating double")
     got = {(r.split, r.user_id): (r.n, r.t) for r in EV.holdout_split(rated, 3).groupBy("split", "user_id").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
     assert got == {(s, u): (10 * u + 3, 10 * u + 3 - int((10 * u + 3) * 0.8)) for s in (1, 2, 3) for u in (1, 2)}
+
+
+def test_holdout_evaluation_has_a_row_of_every_scorer(spark):
+    catalogue = films(spark, *[film(i, directors=[1 + i % 2], genres=[f"g{i % 3}"], country=["ES"], year=1990 + i, rating=3.0) for i in range(1, 21)])
+    watched = spark.createDataFrame([seen(1, i, 5.0 if i % 2 else 2.0) for i in range(1, 21)], WATCHED)
+    got = {r.scorer: r for r in holdout_evaluation(SimpleNamespace(films=catalogue, watched=watched)).collect()}
+    assert set(got) == {"content", "tfidf", "pagerank", "ltr", "ucb"} and all(r.cases == 5 for r in got.values())
+    assert got["ltr"].spearman > 0.5
