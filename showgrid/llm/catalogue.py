@@ -1,3 +1,17 @@
 """Imports every operator module, so that its queries are registered."""
 
-from showgrid.llm import debruijn, mixing, ngrams, pieces, pii, quality, secrets, spotsigs, suffixes, vectors  # noqa: F401
+from showgrid.llm import (  # noqa: F401
+    debruijn,
+    maxsketch,
+    mixing,
+    ngrams,
+    pieces,
+    pii,
+    quality,
+    secrets,
+    spotsigs,
+    suffixes,
+    tokenfiles,
+    vectors,
+    whitening,
+)

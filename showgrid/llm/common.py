@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -90,3 +92,13 @@ def group_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
         v = table.column(k).to_numpy()
         new[1:] |= v[1:] != v[:-1]
     return np.append(np.flatnonzero(new), n)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables below ``spark.checkpoint.dir``; only a local session without that setting gets one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        base = tempfile.mkdtemp(prefix="showgrid-tables-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
