@@ -45,11 +45,12 @@ class Table:
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         self.slot = np.repeat(np.arange(k, dtype=np.int32), freq)
         self.pad = int(np.argmax(freq)) if k else 0
+        self.place = np.full(int(self.ids.max(initial=-1)) + 1, -1, np.int32)
+        self.place[self.ids] = np.arange(k)
         self.checksum = zlib.crc32(np.concatenate([self.ids, freq, [bits]]).astype("<i8").tobytes())
 
     def symbols(self, ids: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
-        if len(ids) and (not len(self.ids) or (self.ids[at] != ids).any()):
+        if len(ids) and int(ids.max()) >= len(self.place) or len(at := self.place[ids]) and int(at.min()) < 0:
             raise ValueError("an id is not in the table")
         return at
 
@@ -61,24 +62,23 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, steps: int = STEPS
         lanes //= 2
     segments = max(1, -(-n // (lanes * steps)))
     steps = -(-n // (lanes * segments))
-    sym = np.full(segments * steps * lanes, table.pad)
+    sym = np.full(segments * steps * lanes, table.pad, np.int32)
     sym[:n] = table.symbols(ids)
-    sym = np.ascontiguousarray(sym.reshape(segments, steps, lanes).transpose(1, 0, 2))
-    freq, start = table.freq[sym], table.start[sym]
-    bits, half = np.uint64(table.bits), np.uint64(32)
-    top = freq << np.uint64(63 - table.bits)  # a state from here on gives off a word first
-    x = np.full((segments, lanes), LOW)
-    out_words, out_segment = [], []
+    sym = np.ascontiguousarray(sym.reshape(segments, steps, lanes).transpose(1, 0, 2)).reshape(steps, segments * lanes)
+    bits, half, room = np.uint64(table.bits), np.uint64(32), np.uint64(63 - table.bits)
+    x = np.full(segments * lanes, LOW)
+    out_words, out_lane = [], []
     for t in range(steps - 1, -1, -1):
-        full = x >= top[t]
-        seg, lane = np.nonzero(full)
-        out_words.append(x[seg, lane].astype(np.uint32))
-        out_segment.append(seg)
-        x[full] >>= half
-        q, r = np.divmod(x, freq[t])
-        x = (q << bits) + r + start[t]
+        f = table.freq[sym[t]]
+        full = np.flatnonzero(x >= f << room)  # these states give off a word first
+        out = x[full]
+        out_words.append(out.astype(np.uint32))
+        out_lane.append(full)
+        x[full] = out >> half
+        q = x // f
+        x += q * ((np.uint64(1) << bits) - f) + table.start[sym[t]]
     words = np.concatenate(out_words[::-1]) if steps else np.zeros(0, np.uint32)
-    segment = np.concatenate(out_segment[::-1]) if steps else np.zeros(0, np.int64)
+    segment = np.concatenate(out_lane[::-1]) // lanes if steps else np.zeros(0, np.int64)
     words = words[np.argsort(segment, kind="stable")]
     size = np.bincount(segment, minlength=segments)
     first = np.cumsum(size) - size
@@ -108,16 +108,18 @@ def decode(block: bytes, table: Table, begin: int = 0, end: int | None = None) -
     at += 8 * segments
     x = np.frombuffer(block, "<u8", segments * lanes, at).reshape(segments, lanes)[lo:hi].astype(np.uint64)
     words = np.frombuffer(block, "<u4", n_words, at + 8 * segments * lanes).astype(np.uint64)
-    out = np.empty((steps, hi - lo, lanes), np.int32)
+    x = x.ravel()
+    out = np.empty((steps, len(x)), np.int32)
     bits, half, mask = np.uint64(table.bits), np.uint64(32), np.uint64((1 << table.bits) - 1)
     for t in range(steps):
         slot = x & mask
-        s = table.slot[slot.astype(np.int64)]
-        out[t] = s
+        s = out[t] = table.slot[slot.view(np.int64)]
         x = table.freq[s] * (x >> bits) + slot - table.start[s]
-        low = x < LOW
-        nth = np.cumsum(low, axis=1)
-        x[low] = (x[low] << half) | words[(pos[:, None] + nth - 1)[low]]
-        pos += nth[:, -1]
-    ids = table.ids[out.transpose(1, 0, 2).ravel()]
+        low = np.flatnonzero(x < LOW)
+        seg = low // lanes
+        count = np.bincount(seg, minlength=hi - lo)
+        word = np.arange(len(low)) + (pos - np.cumsum(count) + count)[seg]
+        x[low] = (x[low] << half) | words[word]
+        pos += count
+    ids = table.ids[out.reshape(steps, hi - lo, lanes).transpose(1, 0, 2).ravel()]
     return ids[begin - lo * size : end - lo * size]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -21,17 +22,19 @@ from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
 from showgrid.llm import rans
-from showgrid.llm.common import cut_lineage, documents, list_rows, shared_folder
+from showgrid.llm.common import documents, list_rows, remove, shared_folder
 from showgrid.llm.queries import query
 
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 #: A block is closed by the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
-#: Characters of texts that are put together at a time, and pieces and ids of the cache of a task, which starts anew beyond.
-CHUNK_CHARS, CACHE_PIECES, CACHE_IDS = 1 << 21, 1 << 20, 1 << 23
+#: Characters of texts that are put together at a time, characters of new pieces that the library gets at once, and pieces and ids of the
+#: cache of a task, which forgets half of them beyond.
+CHUNK_CHARS, TOGETHER, CACHE_PIECES, CACHE_IDS = 1 << 21, 1 << 15, 3 << 19, 1 << 23
 BLOCKS = "part int, first long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
 #: A space with white space beside it; a space between two other characters.
+SECOND = itemgetter(1)
 NEAR_SPACE, LONE_SPACE = re.compile(r" (?:\s|(?<=\s ))"), re.compile(r" (?<=\S )(?=\S)")
 
 
@@ -59,28 +62,53 @@ class TextEncoder:
     def __init__(self, model: str, end: int):
         self.library = Tokenizer.from_file(model)
         self.library.encode_special_tokens = True
-        self.end = end
-        self.reset()
-
-    def reset(self) -> None:
         self.first, self.later = Pieces(self, ""), Pieces(self, " ")
         self.count, self.waiting = 1, []  # piece 0 is the end id
-        self.flat, self.starts, self.sizes = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.flat, self.starts, self.sizes, self.uses = np.array([end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Drops the pieces used least, so that at most half of the cache stays."""
+        least = max(2, int(np.partition(self.uses, len(self.uses) // 2)[len(self.uses) // 2]) + 1)
+        keep = self.uses >= least
+        keep[0] = True
+        if self.sizes[keep].sum() > CACHE_IDS // 2:
+            keep[1:] = False
+        number = np.cumsum(keep) - 1
+        for pieces in (self.first, self.later):
+            kept = [(p, int(number[n])) for p, n in pieces.items() if keep[n]]
+            pieces.clear()
+            pieces.update(kept)
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[keep] - (ends - sizes), sizes)]
+        self.starts, self.sizes, self.uses, self.count = ends - sizes, sizes, np.zeros(len(sizes), np.int64), len(sizes)
 
     def learn(self) -> None:
-        if not self.waiting:
-            return
-        found = [e.ids for e in self.library.encode_batch_fast(self.waiting, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
-        self.waiting = []
+        """Asks for the ids of new pieces. Those that begin with a space and have none after it or at the end are asked for many at a time, as parts of one text."""
+        starts, sizes, flat, have = np.zeros(len(self.waiting), np.int64), np.zeros(len(self.waiting), np.int64), [self.flat], len(self.flat)
+        joined = np.array([i for i, p in enumerate(self.waiting) if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()], np.int64)
+        for i in np.setdiff1d(np.arange(len(self.waiting)), joined).tolist():
+            flat.append(np.array(self.library.encode(self.waiting[i], add_special_tokens=False).ids, np.uint32))
+            starts[i], sizes[i] = have, len(flat[-1])
+            have += len(flat[-1])
+        ends = np.cumsum([len(self.waiting[i]) for i in joined.tolist()])
+        for run in np.split(joined, np.flatnonzero(np.diff(ends // TOGETHER)) + 1) if len(joined) else []:
+            pieces = [self.waiting[i] for i in run.tolist()]
+            found = self.library.encode("".join(pieces), add_special_tokens=False)
+            flat.append(np.array(found.ids, np.uint32))
+            last = np.fromiter(map(SECOND, found.offsets), np.int64, len(flat[-1])) - 1  # a leading space may have been taken off the offsets, never the end
+            cuts = np.searchsorted(last, np.cumsum(list(map(len, pieces))))
+            sizes[run] = np.diff(cuts, prepend=0)
+            starts[run] = have + cuts - sizes[run]
+            have += len(flat[-1])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+        self.flat, self.waiting = np.concatenate(flat), []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and the number of ids of each."""
         if self.count > CACHE_PIECES or len(self.flat) > CACHE_IDS:
-            self.reset()
+            self.forget()
         codes, ends = [], []
         first, later = self.first.__getitem__, self.later.__getitem__
         for t in texts:
@@ -91,6 +119,7 @@ class TextEncoder:
             ends.append(len(codes))
         self.learn()
         codes = np.array(codes, np.int64)
+        self.uses += np.bincount(codes, minlength=self.count)
         sizes = self.sizes[codes]
         total = np.cumsum(sizes)
         where = np.arange(total[-1] if len(total) else 0) + np.repeat(self.starts[codes] - (total - sizes), sizes)
@@ -168,7 +197,9 @@ def write_tokens(docs: DataFrame, folder: str, model: str = MODEL, end: int = EN
     a number dealt before the sort lets many of them be split over parts. Other columns are left out; an empty table gives a folder without blocks.
     """
     spark, kind = docs.sparkSession, id_type(model, end)
-    tokens = cut_lineage(encoded(docs, model, end, text, doc_id).withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()))
+    numbered = encoded(docs, model, end, text, doc_id).withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").parquet(f"{folder}/unsorted")
+    tokens = spark.read.parquet(f"{folder}/unsorted")
     id_counts(tokens, kind).write.parquet(f"{folder}/table")
     table = frequency_table(spark.read.parquet(f"{folder}/table"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("tie"), F.col("row")]
@@ -197,7 +228,8 @@ def write_tokens(docs: DataFrame, folder: str, model: str = MODEL, end: int = EN
             yield block(docs_of, sizes, data, part, first)
 
     sorted_rows = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    sorted_rows.select("doc_id", "n", "ids").mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
+    sorted_rows.select("doc_id", "n", "ids").mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    remove(spark, f"{folder}/unsorted")
 
 
 def part_starts(blocks: DataFrame) -> DataFrame:
