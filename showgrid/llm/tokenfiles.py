@@ -35,6 +35,8 @@ CHUNK_CHARS, TOGETHER, CACHE_PIECES, CACHE_IDS = 1 << 21, 1 << 15, 3 << 19, 1 <<
 BLOCKS = "part int, first long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
 #: A space with white space beside it; a space between two other characters.
 SECOND = itemgetter(1)
+#: Letters and then marks: the tokenizer cuts between the two, so the parts have ids of their own. The apostrophe is left out, as contractions begin with it.
+WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 NEAR_SPACE, LONE_SPACE = re.compile(r" (?:\s|(?<=\s ))"), re.compile(r" (?<=\S )(?=\S)")
 
 
@@ -84,26 +86,47 @@ class TextEncoder:
         self.starts, self.sizes, self.uses, self.count = ends - sizes, sizes, np.zeros(len(sizes), np.int64), len(sizes)
 
     def learn(self) -> None:
-        """Asks for the ids of new pieces. Those that begin with a space and have none after it or at the end are asked for many at a time, as parts of one text."""
+        """Ids of all new pieces; a word with marks is put together from those of its parts."""
+        if not self.waiting:
+            return
+        matches = [(i, m) for i, p in enumerate(self.waiting) if p[:1] == " " and (m := WORD_AND_MARKS.fullmatch(p, 1))]
+        made, base = np.array([i for i, _ in matches], np.int64), len(self.sizes)
+        parts = np.array([(self.later[m[1]], self.first[m[2]]) for _, m in matches], np.int64).reshape(-1, 2)  # new parts wait behind
+        whole = np.ones(len(self.waiting), bool)
+        whole[made] = False
+        starts, sizes, flat = self.asked(np.flatnonzero(whole))
+        starts, sizes, flat = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes]), np.concatenate(flat)
+        if len(made):
+            of_parts = sizes[parts].ravel()
+            ends = np.cumsum(of_parts)
+            where = np.arange(ends[-1]) + np.repeat(starts[parts].ravel() - (ends - of_parts), of_parts)
+            sizes[base + made] = of_parts.reshape(-1, 2).sum(axis=1)
+            starts[base + made] = len(flat) + (ends - of_parts)[::2]
+            flat = np.concatenate([flat, flat[where]])
+        self.starts, self.sizes, self.flat, self.waiting = starts, sizes, flat, []
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes) - base, np.int64)])
+
+    def asked(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Starts and sizes of waiting pieces and all ids. Pieces that begin with a space and have none after it or at the end are
+        asked for many at a time, as parts of one text."""
         starts, sizes, flat, have = np.zeros(len(self.waiting), np.int64), np.zeros(len(self.waiting), np.int64), [self.flat], len(self.flat)
-        joined = np.array([i for i, p in enumerate(self.waiting) if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()], np.int64)
-        for i in np.setdiff1d(np.arange(len(self.waiting)), joined).tolist():
-            flat.append(np.array(self.library.encode(self.waiting[i], add_special_tokens=False).ids, np.uint32))
+        pieces = self.waiting
+        joined = np.array([i for i in numbers.tolist() if (p := pieces[i])[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()], np.int64)
+        for i in np.setdiff1d(numbers, joined).tolist():
+            flat.append(np.array(self.library.encode(pieces[i], add_special_tokens=False).ids, np.uint32))
             starts[i], sizes[i] = have, len(flat[-1])
             have += len(flat[-1])
-        ends = np.cumsum([len(self.waiting[i]) for i in joined.tolist()])
+        ends = np.cumsum([len(pieces[i]) for i in joined.tolist()])
         for run in np.split(joined, np.flatnonzero(np.diff(ends // TOGETHER)) + 1) if len(joined) else []:
-            pieces = [self.waiting[i] for i in run.tolist()]
-            found = self.library.encode("".join(pieces), add_special_tokens=False)
+            texts = [pieces[i] for i in run.tolist()]
+            found = self.library.encode("".join(texts), add_special_tokens=False)
             flat.append(np.array(found.ids, np.uint32))
             last = np.fromiter(map(SECOND, found.offsets), np.int64, len(flat[-1])) - 1  # a leading space may have been taken off the offsets, never the end
-            cuts = np.searchsorted(last, np.cumsum(list(map(len, pieces))))
+            cuts = np.searchsorted(last, np.cumsum(list(map(len, texts))))
             sizes[run] = np.diff(cuts, prepend=0)
             starts[run] = have + cuts - sizes[run]
             have += len(flat[-1])
-        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
-        self.flat, self.waiting = np.concatenate(flat), []
+        return starts, sizes, flat
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and the number of ids of each."""
@@ -119,7 +142,7 @@ class TextEncoder:
             ends.append(len(codes))
         self.learn()
         codes = np.array(codes, np.int64)
-        self.uses += np.bincount(codes, minlength=self.count)
+        self.uses += np.bincount(codes, minlength=self.count)  # parts of words with marks count where they stand alone
         sizes = self.sizes[codes]
         total = np.cumsum(sizes)
         where = np.arange(total[-1] if len(total) else 0) + np.repeat(self.starts[codes] - (total - sizes), sizes)

@@ -63,13 +63,22 @@ def test_long_block_is_small_and_guarded():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("ab' \n\t 　\x1c é1.,'st<|endoftext|>😀"), max_size=60))
+@given(st.text(st.sampled_from("ab' .,$#é\n\t 　\x1c é1.,'st<|endoftext|>😀"), max_size=60))
 def test_cut_texts_have_the_ids_of_whole_texts(text):
     ids, n = tokenfiles.text_encoder(tokenfiles.MODEL, 2).encode([text, text])
     want = library().encode(text, add_special_tokens=False).ids + [2]
     assert ids.tolist() == want * 2 and n.tolist() == [len(want)] * 2
 
 
+def test_full_cache_changes_nothing(monkeypatch, small_rows):
+    monkeypatch.setattr(tokenfiles, "CACHE_PIECES", 300)
+    monkeypatch.setattr(tokenfiles, "TOGETHER", 500)
+    encoder = tokenfiles.TextEncoder(tokenfiles.MODEL, 2)
+    for _, t in small_rows[:60] + [(i, t) for i, t, _ in EDGE]:
+        ids, n = encoder.encode([t or ""])
+        assert ids.tolist() == library().encode(t or "", add_special_tokens=False).ids + [2] and n.tolist() == [len(ids)]
+
+
 def test_whole_table_against_the_library(spark):
     folder = "/root/testdata/sf0.01"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
