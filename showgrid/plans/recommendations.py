@@ -293,15 +293,15 @@ p0 as materialized (select user_id, node, r as p from rs),
 """
 
 
-def ranked(t: Tables, explain: bool = False):
-    return G.rank_all_users(t.films, screened(t), t.watched, AS_OF, explain=explain)[1]
+def ranked(t: Tables):
+    return G.rank_all_users(t.films, screened(t), t.watched, AS_OF)
 
 
 @query("personalized_pagerank", f"""
 with {pagerank_sql(25)} select uf.user_id, uf.film_id, uf.watched, round(coalesce(p, 0), 8) as raw from uf left join p25 on p25.user_id = uf.user_id and node = -1 - uf.film_id where uf.screened
 """)
 def personalized_pagerank(t):
-    return ranked(t).select("user_id", "film_id", "watched", F.round("raw", 8).alias("raw"))
+    return G.film_ranks(ranked(t)).select("user_id", "film_id", "watched", F.round("raw", 8).alias("raw"))
 
 
 @query("scale_scores", """
@@ -323,7 +323,7 @@ select user_id, film_id, category, round(x / t, 6) as share, round(n / 12.0e0, 6
 """, small=True)
 def graph_breakdown(t):
     """Category shares of all users and films, one row per share."""
-    rows = G.graph_breakdown(ranked(t, explain=True))
+    rows = G.graph_breakdown(ranked(t))
     return rows.select("user_id", "film_id", F.round("coverage", 6).alias("coverage"), F.explode("by_category").alias("category", "share")).withColumn("share", F.round("share", 6))
 
 
@@ -338,8 +338,8 @@ tt as (select user_id, film_id, similar_id, sum(x) as total, min_by(aid, (round(
 select user_id, film_id, similar_id, position, round(total, 6) as total, attr from (select *, row_number() over (partition by user_id, film_id order by round(total, 10) desc, similar_id) as position from tt) join ad using (aid) where position <= 3
 """, small=True)
 def similar_watched(t):
-    graph, rows = G.rank_all_users(t.films, screened(t), t.watched, AS_OF, explain=True)
-    return G.similar_watched(rows).join(graph.attributes.select("attr", "name"), "attr").select(
+    ranking = ranked(t)
+    return G.similar_watched(ranking).join(ranking.graph.attributes.select("attr", "name"), "attr").select(
         "user_id", "film_id", "similar_id", F.col("position").cast("long").alias("position"), F.round("total", 6).alias("total"), F.col("name").alias("attr"))
 
 
@@ -497,11 +497,8 @@ def ranking_metrics(t):
 def holdout_evaluation(t):
     """Mean metrics of the interchangeable scorers over all users and splits."""
     scorers = {"content": SC.content_scorer, "tfidf": SC.tfidf_scorer, "pagerank": SC.pagerank_scorer, "ltr": SC.ltr_scorer, "ucb": SC.ucb_scorer}
-    parts = [EV.evaluate(f, t.films, t.watched).agg(F.lit(n).alias("scorer"), F.count(F.lit(1)).alias("cases"), *[F.avg(c).alias(c) for c in ("spearman", "p5", "p10")]) for n, f in scorers.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = EV.evaluate_all(scorers, t.films, t.watched)
+    return rows.groupBy("scorer").agg(F.count(F.lit(1)).alias("cases"), *[F.avg(c).alias(c) for c in ("spearman", "p5", "p10")])
 
 
 @query("embedding_similarity", """

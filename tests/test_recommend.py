@@ -104,7 +104,10 @@ def test_pagerank_matches_plain_loops(spark):
     watched = spark.createDataFrame([seen(1, 1, 5.0), seen(1, 2, 4.0), seen(1, 3, 2.0), seen(2, 4, 3.5), seen(2, 5, 5.0), seen(2, 7, 4.0)], WATCHED)
     screened = spark.createDataFrame([(i,) for i in range(6, 13)], "film_id long")
     seeds = G.seed_weights(watched, AS_OF)
-    _, rank = G.rank_all_users(catalogue, screened, watched, AS_OF)
+    ranking = G.rank_all_users(catalogue, screened, watched, AS_OF)
+    rank = G.film_ranks(ranking)
+    alone = G.rank_all_users(catalogue, screened, watched, AS_OF, candidates=G.user_candidates(watched, screened), lanes=1)
+    assert sorted(map(repr, rank.withColumn("raw", F.round("raw", 12)).collect())) == sorted(map(repr, G.film_ranks(alone).withColumn("raw", F.round("raw", 12)).collect()))
     for user, own in ((1, {1, 2, 3}), (2, {4, 5, 7})):
         weights = {r.film_id: r.weight for r in seeds.where(F.col("user_id") == user).collect()}
         universe = {f: edges[f] for f in own | set(range(6, 13))}
@@ -121,6 +124,18 @@ def dense_pagerank_with_alpha(universe, weights, n_watched):
     return dense_pagerank({**universe, **{k: [] for k in pad}}, {**weights, **pad}, 25, fraction=0.30 * len(universe) / (len(universe) + len(pad)))
 
 
+def test_hubs_in_slots_change_nothing(spark, monkeypatch):
+    """A node with more edges than a slot holds is dealt over several; no task meets all its edges."""
+    catalogue = films(spark, *[film(i, directors=[5 + i % 2], genres=["x"], country=["ES"]) for i in range(1, 25)])
+    watched, screened = spark.createDataFrame([seen(u, u + k, 4.0 + k / 2) for u in (1, 2, 3) for k in (0, 1)], WATCHED), spark.createDataFrame([(i,) for i in range(4, 25)], "film_id long")
+    ranks = lambda: sorted(map(repr, G.film_ranks(G.rank_all_users(catalogue, screened, watched, AS_OF, 6, lanes=2)).withColumn("raw", F.round("raw", 12)).collect()))
+    whole = ranks()
+    monkeypatch.setattr(G, "SLOT_EDGES", 3)
+    assert ranks() == whole
+    edges, slots = G.slotted(G.build_graph(catalogue, screened).edges.select(F.col("attr").alias("src"), F.col("film_id").alias("dst"), "w"))
+    assert edges.groupBy("src", "slot").count().agg(F.max("count")).first()[0] < 24 and slots.agg(F.max("slots")).first()[0] == 8
+
+
 def test_graph_scenarios(spark):
     base = [film(1, directors=[5]), film(2, directors=[5]), film(3, directors=[6]), film(4, directors=[6]), film(5, directors=[7], year=1971)]
     catalogue = films(spark, *base)
@@ -145,7 +160,7 @@ def test_similar_watched_and_breakdown(spark):
     catalogue = films(spark, *[film(i, directors=[50 + i // 2], top_cast=[70 + i // 3], genres=["x"]) for i in range(2, 40)])
     watched = spark.createDataFrame([seen(1, i, 4.0) for i in range(2, 40, 2)], WATCHED)
     screened = spark.createDataFrame([(3,), (9,)], "film_id long")
-    _, rank = G.rank_all_users(catalogue, screened, watched, AS_OF, explain=True)
+    rank = G.rank_all_users(catalogue, screened, watched, AS_OF)
     best = {(r.film_id, r.position): r.similar_id for r in G.similar_watched(rank).collect()}
     assert best[3, 1] in (2, 4) and {best[9, 1], best[9, 2]} == {8, 10}
     shares = G.graph_breakdown(rank).collect()
