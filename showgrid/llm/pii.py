@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from showgrid.llm.common import documents
 from showgrid.llm.queries import query
-from showgrid.llm.spans import SPAN, count_kind, find_spans, span_list, spans_if
+from showgrid.llm.spans import SPAN, chunks, count_kind, find_spans, larger, let, part, running, span_list, spans_if
 
 BASE = ["email", "ip", "card", "phone"]
 ADDED = ["iban", "idnum"]
@@ -58,27 +58,32 @@ def mod97(code: Column) -> Column:
 def iban_spans(text: Column) -> Column:
     """Codes that pass mod-97. Words or numbers may follow a code in capitals: of the run from its start, the longest valid
     part that ends before a space or with the run counts. A start inside an earlier code is not a code of its own."""
-    def longest(head):
-        run = F.split(F.regexp_extract(F.substring(text, head["start"] + 1, F.lit(IBAN_REACH)), IBAN, 0), " ")
+    def longest(pieces, head):
+        run = F.split(F.regexp_extract(part(pieces, head["start"], head["start"] + IBAN_REACH), IBAN, 0), " ")
         parts = F.transform(F.sequence(F.size(run), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(run, F.lit(1), n), " "))
         code = F.get(F.filter(parts, lambda p: (F.length(F.regexp_replace(p, r"\x20", "")) >= IBAN_LEAST) & mod97(p)), F.lit(0))
-        return F.struct(F.lit("iban").alias("kind"), head["start"].alias("start"), (head["start"] + F.length(code)).alias("end"), code.alias("text"))
+        return F.struct(F.lit("iban").alias("kind"), head["start"].alias("start"), (head["start"] + F.length(code)).cast("int").alias("end"), code.alias("text"))
 
-    found = F.filter(F.transform(find_spans(text, IBAN_HEAD, "iban"), longest), lambda s: s["text"].isNotNull())
-    def apart(out, s):
-        return F.when(F.exists(out, lambda o: o["end"] > s["start"]), out).otherwise(F.concat(out, F.array(s)))
+    def codes(heads):
+        return let(chunks(text), lambda pieces: F.filter(F.transform(heads, lambda h: longest(pieces, h)), lambda s: s["text"].isNotNull()))
 
-    return F.aggregate(found, F.array().cast(f"array<{SPAN}>"), apart)
+    def apart(found):  # codes that stand one in another are rare: only where there are some, they are gone through one by one
+        last = F.concat(F.array(F.lit(0)), running(F.transform(found, lambda s: s["end"]), 0, larger))
+        clash = F.exists(F.zip_with(found, F.slice(last, F.lit(1), F.size(found)), lambda s, e: s["start"] < e), lambda x: x)
+        step = lambda out, s: F.when(F.coalesce(F.element_at(out, -1)["end"] > s["start"], F.lit(False)), out).otherwise(F.concat(out, F.array(s)))
+        none = F.array().cast(f"array<{SPAN}>")
+        return F.when(clash, F.aggregate(found, none, lambda out, s: F.when(F.size(out) == 0, F.array(s)).otherwise(step(out, s)))).otherwise(found)
+
+    return let(find_spans(text, IBAN_HEAD, "iban"), lambda heads: F.when(F.size(heads) > 0, let(codes(heads), apart)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def n_digits(c: Column) -> Column:
     return F.length(F.regexp_replace(c, "[^0-9]", ""))
 
 
-def context_score(text: Column, kind: str, start: Column, end: Column) -> Column:
+def context_score(pieces: Column, kind: str, start: Column, end: Column) -> Column:
     """Prior of the kind, plus or minus ``STEP`` for words that stand within ``REACH`` characters; within 0 and 1."""
-    begin = F.greatest(start - REACH, F.lit(0))
-    near = F.lower(F.concat(F.substring(text, begin + 1, start - begin), F.lit(" "), F.substring(text, end + 1, F.lit(REACH))))
+    near = F.lower(F.concat(part(pieces, F.greatest(start - REACH, F.lit(0)), start), F.lit(" "), part(pieces, end, end + REACH)))
     score = (F.lit(PRIOR[kind]) + F.when(near.rlike(RAISES[kind]), STEP).otherwise(0.0) - F.when(near.rlike(LOWERS[kind]), STEP).otherwise(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
@@ -87,7 +92,7 @@ def pii_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     """``keep`` columns with ``whole`` (the text, null as empty) and ``spans``: array of struct<kind, start, end, text, score>.
 
     Base kinds stay whatever their score; ``iban`` needs mod-97 and ``idnum`` a score of ``ADD_FROM`` from its context. Empty
-    and null texts have no spans. A document is one row throughout, so repeated rows and hot sources need no care. Other
+    and null texts have no spans, very long ones and many matches take time in proportion. A document is one row throughout, so repeated rows and hot sources need no care. Other
     columns are left out.
     """
     t = F.col("whole")
@@ -104,9 +109,10 @@ def pii_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("whole")).select(*keep, "whole", *[v.alias(f"raw_{k}") for k, v in raw.items()])
 
     def scored(kind):
-        return F.transform(F.col(f"raw_{kind}"), lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
-            context_score(t, kind, s["start"], s["end"]).alias("score")))
+        raw = F.col(f"raw_{kind}")
+        of = lambda pieces: F.transform(raw, lambda s: F.struct(
+            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), context_score(pieces, kind, s["start"], s["end"]).alias("score")))
+        return F.when(F.size(raw) > 0, let(chunks(t), of)).otherwise(F.array().cast(f"array<{SPAN[:-1]},score:double>>"))
 
     parts = [scored(k) for k in raw if k != "idnum"] + [F.filter(scored("idnum"), lambda s: s["score"] >= ADD_FROM)]
     return out.select(*keep, "whole", F.concat(*parts).alias("spans"))

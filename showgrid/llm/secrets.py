@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from showgrid.llm.common import documents, word_array
 from showgrid.llm.queries import query
-from showgrid.llm.spans import count_kind, find_spans, replace_spans, span_list, spans_if
+from showgrid.llm.spans import apart_from, count_kind, find_spans, let, replace_spans, span_list, spans_if
 
 BASE = ["assign", "access", "hex"]
 ADDED = ["random"]
@@ -24,45 +24,40 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 RANDOM = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
-#: Documents whose words are the ordinary class and whose ids seed the random class: a bounded, fixed sample by id hash.
-SAMPLE_DOCS = 2000
 #: Mean log-likelihood ratio of a step, in nats, from which a string counts as random.
 RANDOM_FROM = 0.5
 
 
 def step_codes(s: Column) -> Column:
-    """Number of each character step of a string; characters outside the alphabet share one code."""
-    return F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: code_pair(s, i))).otherwise(F.array().cast("array<int>"))
+    """Number of each character step of a string, cut into characters once; characters outside the alphabet share one code."""
+    code = F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda c: F.call_function("instr", F.lit(ALPHABET), c).cast("int"))
+    return F.when(F.length(s) > 1, let(code, lambda k: F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k)), lambda a, b: a * SIZE + b))).otherwise(
+        F.array().cast("array<int>"))
 
 
-def code_pair(s: Column, i: Column) -> Column:
-    return code_at(s, i) * SIZE + code_at(s, i + 1)
-
-
-def code_at(s: Column, i: Column) -> Column:
-    # position in the alphabet, 0 for any other character
-    return F.call_function("instr", F.lit(ALPHABET), F.substring(s, i, F.lit(1))).cast("int")
-
-
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
+def train(docs: DataFrame) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of every character step; ``SIZE * SIZE`` numbers.
 
-    The sample is the ``sample_docs`` documents with the smallest id hash; of rows that share an id the smallest text counts. Random strings are digests of their ids in hexadecimal
-    and base64, ordinary ones their distinct words joined in pairs like identifiers, paths and constants, with a number now and then. Counts are smoothed by one, so an
-    empty table gives ratios of 0. A character that repeats itself (rules, padding) never speaks for chance: its ratio is at most 0. Only the counts, at most ``SIZE * SIZE`` a class, reach the driver.
+    Both classes are counted over all documents. Random strings, known to be so, are digests of the document ids in hexadecimal, base64 and base 36; ordinary ones are the distinct
+    words of all texts, each once, in one of the shapes of identifiers, paths and constants that its hash picks. Words are made distinct before they are counted, and steps are summed before
+    the shuffle. Counts are smoothed by one, so an empty table gives ratios of 0. A character that repeats itself (rules, padding)
+    never speaks for chance: its ratio is at most 0. Only the counts, at most ``SIZE * SIZE`` a class, reach the driver.
     """
-    # ids first, texts after: what meets in one task is narrow, and the ids are few enough to be broadcast
-    ids = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
     digest = F.sha2(F.concat(F.lit("random:"), F.col("doc_id").cast("string")), 512)
-    random = picked.select(F.explode(F.array(F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.substring(digest, 1, 40),
-                                             F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)))).alias("s"), F.lit(1).alias("random"))
-    words = picked.select("doc_id", F.explode(F.array_distinct(F.transform(word_array(F.col("text")), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")))).alias("w")).where("length(w) > 2")
-    number = F.pmod(F.xxhash64("doc_id", "w"), F.lit(1000))
+    random = ids.select(F.explode(F.array(F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.substring(digest, 1, 40),
+                                          F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)))).alias("s"), F.lit(1).alias("random"))
+    plain = F.array_distinct(F.transform(word_array(F.col("text")), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")))
+    words = docs.select(F.explode(plain).alias("w")).where("length(w) > 2").distinct().withColumn("h", F.xxhash64("w"))
+    number = F.pmod("h", F.lit(1000))
     low, high, title, digits = F.lower("w"), F.upper("w"), F.concat(F.upper(F.substring("w", 1, 1)), F.lower(F.substring("w", 2, 1 << 30))), number.cast("string")
     forms = [F.col("w"), F.concat("w", F.lit("_"), low), F.concat(low, F.lit("-"), digits), F.concat(low, F.lit("-"), low), F.concat(low, F.lit("/"), low),
              F.concat(low, title), F.concat(high, F.lit("_"), high), F.concat(digits, F.lit("-"), digits, F.lit("/"), digits, F.lit("/"), low)]
-    ordinary = words.select(F.explode(F.array(*forms)).alias("s"), F.lit(0).alias("random"))
+    shape = F.pmod(F.shiftright("h", 20), F.lit(len(forms)))
+    picked = forms[0]
+    for i, form in enumerate(forms[1:], 1):
+        picked = F.when(shape == i, form).otherwise(picked)
+    ordinary = words.select(picked.alias("s"), F.lit(0).alias("random"))
     counts = (random.union(ordinary).select("random", F.explode(step_codes(F.col("s"))).alias("step")).groupBy("random", "step").count().collect())
     table = [[1.0] * (SIZE * SIZE), [1.0] * (SIZE * SIZE)]
     for r in counts:
@@ -84,7 +79,8 @@ def secret_spans(docs: DataFrame, model: list[float], text: str = "text", keep:
     """``keep`` columns with ``whole`` (the text, null as empty) and ``spans``: array of struct<kind, start, end, text>.
 
     Base kinds stay whatever the models say; ``random`` is added for strings from ``RANDOM_FROM`` on that no base span
-    overlaps. A document is one row throughout. Empty and null texts have no spans; other columns are left out.
+    overlaps. A document is one row throughout, so repeated rows and ties need no care. Empty and null texts have no spans; very long texts and runs take time
+    in proportion; an empty table gives no rows. Other columns are left out.
     """
     t = F.col("whole")
     key = t.rlike("(?i)passw|secret|token|api_?key")
@@ -95,13 +91,15 @@ def secret_spans(docs: DataFrame, model: list[float], text: str = "text", keep:
         find_spans(t, HEX, "hex").alias("hex"),
         find_spans(t, RANDOM, "random").alias("random"))
     out = out.select(*keep, "whole", "random", F.concat("assign", "access", "hex").alias("base"))
-    extra = F.filter("random", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-                     & (likelihood_ratio(s["text"], model) >= RANDOM_FROM))
+    extra = F.filter(apart_from(F.col("random"), F.col("base")), lambda s: likelihood_ratio(s["text"], model) >= RANDOM_FROM)
     return out.select(*keep, "whole", F.concat("base", F.when(F.size("random") > 0, extra).otherwise(F.col("random"))).alias("spans"))
 
 
 def redact(docs: DataFrame, model: list[float]) -> DataFrame:
-    """Documents with every secret replaced by ``[SECRET]``; the columns and clean texts stay as they are."""
+    """Documents with every secret replaced by ``[SECRET]``; the columns and clean texts stay as they are.
+
+    Null and empty texts stay so, repeated rows give repeated rows, very long texts are searched whole, an empty table stays empty, and columns of any name are kept.
+    """
     found = secret_spans(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, keep=("row",))
     some = F.size("spans") > 0
     found = found.select("row", "spans", F.when(some, replace_spans(F.col("whole"), F.col("spans"), "SECRET")).otherwise(F.col("row").getField("text")).alias("new"))

@@ -1,14 +1,18 @@
 """Personal data, secrets and mixing."""
 
+import itertools
 import random
 import string
+import time
 
 import brute
 import oracle
 import pytest
 from cases import EDGE, FOLDER
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from showgrid.llm import mixing, pii, secrets
+from showgrid.llm import mixing, pii, secrets, spans
 from showgrid.llm.spans import span_list
 
 
@@ -47,6 +51,44 @@ def test_pii_long_runs(spark):
     assert base_of(pii.pii_spans(docs), pii.BASE) == {i: brute.pii(t) for i, t in enumerate(texts)}
 
 
+def test_many_matches_and_long_runs_take_time_in_proportion(spark):
+    """200,000 mail addresses in one text, 60,000 short secrets in one text, and a run of a million random characters."""
+    dice = random.Random(3)
+    many = " ".join(f"a{i}@b{i % 7}.org" for i in range(200_000))
+    keys = " ".join(f"{dice.getrandbits(80):020x}" for _ in range(60_000))
+    run = "".join(dice.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, many), (2, keys), (3, "see " + run + " end")], "doc_id long, text string").repartition(3)
+    began = time.time()
+    found = {r["doc_id"]: r["n"] for r in pii.pii_spans(docs).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert found[1] == 200_000
+    model = [0.6] * secrets.SIZE**2
+    got = {r["doc_id"]: r for r in secrets.secret_spans(docs, model).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got[2]["n"] == 60_000 and got[3]["n"] == 1
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model).collect()}
+    assert texts[2] == " ".join(["[SECRET]"] * 60_000) and texts[3] == "see [SECRET] end"
+    assert time.time() - began < 120
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 700), st.integers(1, 40)), max_size=600), st.lists(st.tuples(st.integers(0, 700), st.integers(1, 40)), max_size=20))
+def test_span_arithmetic(spark, some, others):
+    """Running sums over several blocks, parts of a text, replaced and separate spans against plain loops."""
+    text = "".join(chr(0x1F600 + i % 50) if i % 3 else chr(97 + i % 26) for i in range(760))
+    rows = lambda spans: [("k", a, a + n, text[a : a + n]) for a, n in spans]
+    frame = spark.createDataFrame([(text, rows(some), rows(others))], f"t string, s array<{spans.SPAN}>, o array<{spans.SPAN}>")
+    r = frame.select(spans.running(F.transform("s", lambda x: x["start"]), 0, lambda a, x: a + x).alias("sums"), spans.replace_spans(F.col("t"), F.col("s"), "X").alias("new"),
+                     spans.apart_from(F.col("s"), F.col("o")).alias("free"),
+                     F.transform("s", lambda x: spans.part(spans.chunks(F.col("t")), x["start"], x["end"])).alias("parts")).first()
+    assert r["sums"] == list(itertools.accumulate(a for a, _ in some)) and r["parts"] == [text[a : a + n] for a, n in some]
+    at, out = 0, []
+    for a, b in sorted((a, a + n) for a, n in some):
+        if a >= at:
+            out += [text[at:a], "[X]"]
+        at = max(at, b)
+    assert r["new"] == "".join(out) + text[at:]
+    assert sorted((x["start"], x["end"]) for x in r["free"]) == sorted((a, a + n) for a, n in some if not any(c < a + n and c + m > a for c, m in others))
+
+
 def test_secret_base_spans(edge, small, small_rows):
     model = secrets.train(small)
     assert base_of(secrets.secret_spans(edge, model), secrets.BASE) == {i: brute.secrets(t) for i, t, _ in EDGE}
