@@ -132,6 +132,27 @@ def carry_forward_headers(tokens: DataFrame, page: str, order: str, headers: dic
     return tokens
 
 
+def carried_in_row(tokens: Column, is_header) -> Column:
+    """Array of (pos, token, header): each token of an array with the latest header at or before it, null before the first.
+
+    Tokens between two headers are cut out as one slice, so nothing leaves its row: no shuffle, no window, and it runs on streams.
+    """
+    def cut(items):
+        heads = F.filter(F.transform(items, lambda x, i: F.when(F.coalesce(is_header(x), F.lit(False)), i)), lambda i: i.isNotNull())
+
+        def segments(starts):
+            ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(items)))
+            spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            return F.flatten(F.transform(spans, lambda s: F.transform(F.slice(items, s["a"] + 1, s["b"] - s["a"]), lambda x, i: F.struct(
+                (s["a"] + i).alias("pos"), x.alias("token"), F.when(F.coalesce(is_header(F.get(items, s["a"])), F.lit(False)), F.get(items, s["a"])).alias("header")))))
+
+        first = F.array_distinct(F.concat(F.array(F.lit(0)), heads))  # what stands before the first header is a segment without one
+        return F.get(F.transform(F.array(first), segments), F.lit(0))
+
+    some = F.filter(F.array(tokens), lambda x: F.size(x) > 0)
+    return F.get(F.transform(some, cut), F.lit(0))
+
+
 def extract_sessions(tokens: DataFrame, text: str, day: str) -> DataFrame:
     """Session rows of tokens that start with a time (an optional VOSE mark before it); others are dropped."""
     clean = F.regexp_replace(F.col(text), r"(?i)^VOSE\s*", "")

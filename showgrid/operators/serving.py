@@ -207,9 +207,13 @@ def publication_cliff(screenings: DataFrame, ratio: float = 0.5) -> DataFrame:
     Sessions are reduced to one row per venue and day first; the windows run over these daily rows,
     whose number per venue is bounded by the calendar, and all share one shuffle.
     """
+    return cliff_of_daily(screenings.groupBy("location", F.to_date("showtime").alias("day")).agg(F.count(F.lit(1)).alias("n")), ratio)
+
+
+def cliff_of_daily(daily: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """The same from rows (location, day, n), of all venues or some."""
     from pyspark.sql import Window as W
 
-    daily = screenings.groupBy("location", F.to_date("showtime").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     venue = W.partitionBy("location")
     before = F.sum("n").over(venue.orderBy("day").rowsBetween(W.unboundedPreceding, -1))
     # days without sessions add nothing to the sum but count in the mean, so no calendar has to be filled in

@@ -73,9 +73,8 @@ with ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate
 select doc_id, pos, md5(last_value(case when length(line) < 60 then line end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row)) as header from ln
 """)
 def carry_forward_headers(t):
-    tokens = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    header = F.when(F.length("line") < 60, F.col("line"))
-    return E.carry_forward_headers(tokens, "doc_id", "pos", {"header": header}).select("doc_id", "pos", F.md5("header").alias("header"))
+    lines = E.carried_in_row(F.split("text", "\n"), lambda x: F.length(x) < 60)
+    return t.documents.select("doc_id", F.explode(lines).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.md5("x.header").alias("header"))
 
 
 @query("extract_sessions", """

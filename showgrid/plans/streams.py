@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from showgrid.plans.bind import Dialect, Tables, queue_columns, screenings_columns
 from showgrid.plans.ingest import scratch
 from showgrid.plans.registry import query
-from showgrid.sources.writers import VersionedTable
+from showgrid.sources.readers import stream_pages
+from showgrid.sources.writers import BucketedTable, VersionedTable
 from showgrid.streaming import jobs as J
 
 
@@ -27,7 +28,7 @@ def screening_stream(t: Tables) -> DataFrame:
 select film_id, location, count(*) as sessions, max(seq) as last_seq from S group by all
 """)
 def stream_ingest_sessions(t):
-    table = VersionedTable(t.spark, scratch(t, "sessions"))
+    table = BucketedTable(t.spark, scratch(t, "sessions"), J.SCREENING_KEYS[::2], J.SCREENING_SCHEMA)
     J.stream_ingest_sessions(screening_stream(t), table, scratch(t, "cp"), "1990-01-01", "2010-12-31").awaitTermination()
     return table.read().groupBy("film_id", "location").agg(F.count(F.lit(1)).alias("sessions"), F.max("seq").alias("last_seq"))
 
@@ -37,7 +38,7 @@ select strftime(time_bucket(interval 3 minutes, created_at, timestamp '1970-01-0
 """)
 def stream_queue_metrics(t):
     queue = stream_of(t, "events").selectExpr(*queue_columns(Dialect(spark=True))).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    table = VersionedTable(t.spark, scratch(t, "metrics"))
+    table = BucketedTable(t.spark, scratch(t, "metrics"), ["window_start"], J.METRICS)
     J.stream_queue_metrics(queue, table, scratch(t, "cp"), watermark="1 day").awaitTermination()
     return table.read().withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
@@ -46,18 +47,57 @@ def stream_queue_metrics(t):
 select location, count(*) as sessions, strftime(cast(max(showtime) as date), '%Y-%m-%d') as last_day, count(special) as special from S group by location
 """)
 def stream_venue_coverage(t):
-    table = VersionedTable(t.spark, scratch(t, "daily"))
-    sessions = screening_stream(t).withColumn("showtime", F.col("showtime").cast("timestamp"))
-    J.stream_venue_coverage(sessions, table, scratch(t, "cp")).awaitTermination()
+    table = BucketedTable(t.spark, scratch(t, "daily"), ["location"], J.DAILY)
+    J.stream_venue_coverage(screening_stream(t), table, scratch(t, "cp")).awaitTermination()
     return J.coverage_from_daily(table.read()).withColumn("last_day", F.col("last_day").cast("string"))
 
 
+@query("stream_publication_cliff", """
+with daily as (select location, cast(showtime as date) as day, count(*) as n from S group by all),
+b as (select *, sum(n) over (partition by location order by day rows between unbounded preceding and 1 preceding) / nullif(date_diff('day', min(day) over (partition by location), day), 0) as base from daily),
+c as (select *, min(case when n < 0.5 * base then day end) over (partition by location) as cliff from b)
+select location, strftime(any_value(cliff), '%Y-%m-%d') as cliff_day, strftime(coalesce(any_value(cliff) - 1, max(day)), '%Y-%m-%d') as last_full_day,
+ cast(date_diff('day', min(day), coalesce(any_value(cliff) - 1, max(day))) + 1 - count(*) filter (cliff is null or day < cliff) as integer) as gap_days from c group by location
+""")
+def stream_publication_cliff(t):
+    daily, cliffs = BucketedTable(t.spark, scratch(t, "daily"), ["location"], J.DAILY), BucketedTable(t.spark, scratch(t, "cliffs"), ["location"], J.CLIFF)
+    J.stream_venue_coverage(screening_stream(t), daily, scratch(t, "cp"), cliffs).awaitTermination()
+    return cliffs.read().select("location", F.col("cliff_day").cast("string").alias("cliff_day"), F.col("last_full_day").cast("string").alias("last_full_day"), "gap_days")
+
+
+ITEM = '<li class="s">([^<]*)</li>'
+
+
+def listing_day(item):
+    """Date headed by an item like ``Domingo 07/03``."""
+    return F.when(item.rlike(r"^[A-Z][a-z]+ \d\d/\d\d$"), F.to_date(F.concat(F.lit("2001-"), F.substring(item, -2, 2), F.lit("-"), F.substring(F.regexp_extract(item, r"(\d\d)/", 1), 1, 2)), "yyyy-MM-dd"))
+
+
+@query("stream_page_sessions", """
+with k as (select page_id as p, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as location from pages), x as (select * from k, unnest([0, 1, 2, 3]) as t(i))
+select p as film_id, location, strftime(make_date(2001, cast(case when i < 2 then p % 9 + 1 else p % 9 + 2 end as int), cast(p % 27 + 1 as int)), '%Y-%m-%d') || ' ' || lpad(cast((p + 5 * i) % 24 as varchar), 2, '0') || ':30' as showtime,
+ case when i = 1 then 'VOSE' end as version from x
+""")
+def stream_page_sessions(t):
+    """Every page gets a listing of two days with two times each, made from its id; the stream starts at the pages."""
+    pages = stream_pages(t.spark, t.folder, name="pages.parquet")
+    p = F.col("page_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    day = lambda month: F.concat(F.lit('<li class="s">Domingo '), two(p % 27 + 1), F.lit("/"), two(month), F.lit("</li>"))
+    time = lambda i, mark: F.concat(F.lit(f'<li class="s">{mark}'), two((p + 5 * i) % 24), F.lit(":30</li>"))
+    listing = F.concat(F.lit('<li class="s">12:00</li>'), day(p % 9 + 1), time(0, ""), time(1, "VOSE "), F.lit('<li class="s">agotado</li>'), day(p % 9 + 2), time(2, ""), time(3, ""))
+    pages = pages.withColumn("html", F.concat("html", listing)).withColumn("seen_at", F.timestamp_seconds(p))
+    table = BucketedTable(t.spark, scratch(t, "page-sessions"), J.SCREENING_KEYS[::2], J.SCREENING_SCHEMA)
+    J.stream_page_sessions(pages, table, scratch(t, "cp"), ITEM, listing_day, "2001-01-01", "2001-12-31").awaitTermination()
+    return table.read().select("film_id", "location", F.date_format("showtime", "yyyy-MM-dd HH:mm").alias("showtime"), "version")
+
+
 @query("stream_resolve_ids", """
 select user_id, short_url, film_id from W
 """)
 def stream_resolve_ids(t):
-    table = VersionedTable(t.spark, scratch(t, "feedback"))
-    table.write(t.watched.select("user_id", "short_url", F.lit(None).cast("long").alias("film_id")))
+    table = BucketedTable(t.spark, scratch(t, "feedback"), ["short_url"], "user_id long, short_url string, film_id long")
+    table.merge(t.watched.select("user_id", "short_url", F.lit(None).cast("long").alias("film_id")), lambda stored, new: stored.unionByName(new))
     films = stream_of(t, "part").selectExpr("p_partkey as id", "case when p_partkey % 13 <> 0 then concat('b/', p_partkey) end as short_url")
     J.stream_resolve_ids(films, table, scratch(t, "cp")).awaitTermination()
     return table.read().select("user_id", "short_url", "film_id")

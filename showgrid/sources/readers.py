@@ -158,8 +158,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGES).parquet(path)
 
 
-def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schemas.PAGES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 100, name: str | None = None) -> DataFrame:
+    """Pages as they arrive in a folder; ``name`` is a pattern of the file names that count."""
+    reader = spark.readStream.schema(schemas.PAGES).option("maxFilesPerTrigger", files_per_trigger)
+    return (reader.option("pathGlobFilter", name) if name else reader).parquet(path)
 
 
 def sources_by_period(sources: DataFrame, period: str) -> DataFrame:
