@@ -19,29 +19,47 @@ ORACLE_SQL = None
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier predicts as good; those it rejects go."""
+    """Documents that the compression classifier predicts as good; those it rejects go.
+
+    Null and empty texts get the score of the feature 0 and follow it; very long texts are scored whole; repeated rows are decided alike and all stay or all go; an empty
+    table stays empty; columns of any name are kept.
+    """
     model = quality.fit(docs, quality.read_labels(spark, sf_dir))
     kept = quality.predictions(docs, model).where("predicted = 1")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one with the smallest doc_id.
+
+    Texts without words, null and empty ones included, are in no group and stay; very long texts are compared whole; of equal rows one stays; an empty table stays empty.
+    """
     return ngrams.one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays.
+
+    Null and empty texts stay as they are; very long texts are searched whole; repeated rows stay repeated; an empty table stays empty.
+    """
     return secrets.redact(docs, secrets.train(docs))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by source weights, repeated where a target is above its source, cut at the exact budget."""
+    """Documents by source weights, repeated where a target is above its source, cut at the exact budget.
+
+    Null and empty texts have no words and are not taken; a null source is a source of its own; ties of the hash keys go by doc_id and content; repeated rows are rows of
+    their own; an empty table gives an empty mix.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encoded_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mix, and whether decoding them gives the text again."""
+    """Piece ids of every document of the mix, and whether decoding them gives the text again.
+
+    A null text is empty and has no pieces; very long texts are encoded whole; equal best segmentations go to the one found first, so repeated rows agree; an empty
+    table gives no rows.
+    """
     return pieces.encode_decode(docs)
 
 
