@@ -48,7 +48,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by source weights, repeated where a target is above its source, cut at the exact budget.
 
-    Null and empty texts have no words and are not taken; a null source is a source of its own; ties of the hash keys go by doc_id and content; repeated rows are rows of
+    Null and empty texts have no words and are not taken; a null source is a source of its own; ties of the hash keys go by doc_id and size; repeated rows are rows of
     their own; an empty table gives an empty mix.
     """
     return mixing.mixed_documents(docs)
