@@ -105,6 +105,15 @@ def stretches(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def shared_parts(shared: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first, last shared string) of the runs, which end at ``ends``, that hold a shared string."""
+    at = np.flatnonzero(shared)
+    owner = np.searchsorted(ends, at, side="right")
+    turn = np.flatnonzero(owner[1:] != owner[:-1])
+    first, last = np.concatenate([[0], turn + 1])[: len(at)], np.append(turn, len(at) - 1)[: len(at)]
+    return owner[first], at[first], at[last]
+
+
 def opened_runs(runs: Runs, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(indices of runs to open, whether each is the first of its anchor and content here, number of runs of its anchor anywhere)."""
     order, bounds, contents = by_anchor(runs)
@@ -117,8 +126,9 @@ def opened_runs(runs: Runs, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.
     if len(known):
         is_open = is_open | (hit & told.column("open").to_numpy(zero_copy_only=False)[o][at])
         total = np.where(hit, told.column("total").to_numpy()[o][at], total)
-    _, index = find(anchors, runs.anchor)
-    which = np.flatnonzero(is_open[index]) if len(anchors) else np.zeros(0, np.int64)
+    index = np.empty(len(order), np.int64)
+    index[order] = np.repeat(np.arange(len(anchors)), np.diff(bounds))
+    which = np.flatnonzero(is_open[index])
     a, c = runs.anchor[which], runs.content[which]
     both = np.lexsort((which, c, a))
     fresh = np.concatenate([[True], (a[both][1:] != a[both][:-1]) | (c[both][1:] != c[both][:-1])]) if len(which) else np.zeros(0, bool)
@@ -170,25 +180,32 @@ def marks_of(table: pa.Table, k: int) -> pa.Table:
     shared = np.zeros(len(text), bool)
     shared[at] = count[number] > 1  # a string whose hash stands alone has no copy here
     marked = np.zeros(len(text), bool)
-    has = np.add.reduceat(shared, starts) > 0 if len(starts) else np.zeros(0, bool)
-    bin_rows, held = [], 0
-    edge = np.flatnonzero(has)
-    for n, r in enumerate(edge.tolist()):
-        bin_rows.append(r)
-        held += int(size[rows[r]])
-        last = n + 1 == len(edge)
-        if last or held >= ARRAY_BYTES and anchor[rows[edge[n + 1]]] != anchor[rows[r]]:
-            span = []  # of each run only the part between its first and last shared string
-            for q in bin_rows:
-                s = np.flatnonzero(shared[starts[q] : ends[q]])
-                span.append((starts[q] + s[0], starts[q] + s[-1] + k))
+    # Of a run only the part between its first and last shared string can matter. A part that came before, byte for byte, is a
+    # copy as a whole, like a run that came before; what is left and still shares a string goes into the arrays.
+    row, low, high = shared_parts(shared, ends)
+    seen: set[bytes] = set()
+    for a, b in zip(low.tolist(), (high + k).tolist()):
+        part = text[a:b]
+        if part in seen:
+            marked[a : b - k + 1] = True
+        else:
+            seen.add(part)
+    left = ~marked[at]
+    count = np.bincount(number[left], minlength=len(count))
+    shared[at] = left & (count[number] > 1)
+    row, low, high = shared_parts(shared, ends)
+    span, held = [], 0
+    for n, (r, a, b) in enumerate(zip(row.tolist(), low.tolist(), (high + k).tolist())):
+        span.append((a, b))
+        held += b - a
+        if n + 1 == len(row) or held >= ARRAY_BYTES and anchor[rows[row[n + 1]]] != anchor[rows[r]]:
             piece = b"".join(text[a:b] for a, b in span)
             ok = np.concatenate([np.append(shared[a : b - k + 1], np.zeros(k - 1, bool)) for a, b in span])
             hit, p = later_copies(piece, ok, k), 0
             for a, b in span:
-                marked[a:b] = hit[p : p + b - a]
+                marked[a:b] |= hit[p : p + b - a]
                 p += b - a
-            bin_rows, held = [], 0
+            span, held = [], 0
     lo, hi = stretches(marked)
     owner = np.searchsorted(ends, lo, side="right")
     put(rows[owner], lo - starts[owner], hi - starts[owner])
@@ -234,12 +251,12 @@ def remove_repeated_bytes(docs: DataFrame, k: int = K, m: int = ANCHOR) -> DataF
     least = F.min(order).over(W.partitionBy(F.coalesce("h1", F.xxhash64("anchor", "content", "doc", "lo")), F.coalesce("h2", F.xxhash64("doc", "seq", "hi"))))
     marks = marks.withColumn("least", least).where(F.col("h1").isNull() | (order > F.col("least")))
     none = F.lit(None)
-    both = answers.select("g", "anchor", "first", "open", none.cast("long").alias("content"), none.cast("int").alias("lo"), none.cast("int").alias("hi"), "total").union(
-        marks.select(group_number(F.col("doc"), groups), "anchor", none.cast("long"), none.cast("boolean"), "content", "lo", "hi", none.cast("long")))
+    both = answers.select("g", "anchor", "first", "open", none.cast("long").alias("seq"), none.cast("int").alias("lo"), none.cast("int").alias("hi"), "total").union(
+        marks.select(group_number(F.col("doc"), groups), "anchor", none.cast("long"), none.cast("boolean"), "seq", "lo", "hi", none.cast("long")))
 
     def settle(texts_table: pa.Table, told: pa.Table) -> pa.Table:
         place, texts = text_rows(texts_table)
-        is_mark = told.column("content").is_valid()
+        is_mark = told.column("seq").is_valid()
         paths, found = told.filter(pa.compute.invert(is_mark)), told.filter(is_mark)
         runs = group_runs(texts, shape)
         which, first, _ = opened_runs(runs, paths)
@@ -254,19 +271,19 @@ def remove_repeated_bytes(docs: DataFrame, k: int = K, m: int = ANCHOR) -> DataF
         earlier = (hit & (paths.column("first").to_numpy()[o][at] < place[runs.doc[head]])) if len(known) else hit
         gone[head] = earlier
         gone[which] = ~first  # open runs: copies of a run that came before here go; the first ones have marks
-        marked = [np.zeros(max(len(t) - k + 1, 0), bool) for t in texts]
-        for i in np.flatnonzero(gone).tolist():
-            marked[runs.doc[i]][runs.start[i] : runs.end[i]] = True
-        if found.num_rows:
-            run = which[first]
-            o = np.lexsort((runs.content[run], runs.anchor[run]))
-            run = run[o]
-            at = {(a, c): r for a, c, r in zip(runs.anchor[run].view(np.int64).tolist(), runs.content[run].view(np.int64).tolist(), run.tolist())}
-            for a, c, lo, hi in zip(*(found.column(x).to_pylist() for x in ("anchor", "content", "lo", "hi"))):
-                r = at[a, c]
-                marked[runs.doc[r]][runs.start[r] + lo : runs.start[r] + hi] = True
+        windows = np.array([max(len(t) - k + 1, 0) for t in texts], np.int64)
+        base = np.cumsum(windows) - windows
+        step = np.zeros(int(windows.sum()) + 1, np.int8)  # up where a stretch of marks begins, down behind it; no string is marked twice
+        begin = base[runs.doc] + runs.start
+        np.add.at(step, begin[gone], 1)
+        np.add.at(step, begin[gone] + (runs.end - runs.start)[gone], -1)
+        run = found.column("seq").to_numpy()
+        np.add.at(step, begin[run] + found.column("lo").to_numpy(), 1)
+        np.add.at(step, begin[run] + found.column("hi").to_numpy(), -1)
+        marked = np.cumsum(step, dtype=np.int8) > 0
         n_removed, n_spans, kept = [], [], []
-        for t, m_ in zip(texts, marked):
+        for t, b, n in zip(texts, base.tolist(), windows.tolist()):
+            m_ = marked[b : b + n]
             if m_.any():
                 c = cover(m_, k)
                 n_removed.append(int(c.sum()))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from showgrid.llm.common import mix64
 
 #: Bytes of text that a group should hold, and tokens that are hashed at a time.
-GROUP_BYTES, CHUNK = 16 << 20, 1 << 20
+GROUP_BYTES, CHUNK = 16 << 20, 1 << 17
 #: Place of a null doc_id: after all others.
 LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -217,10 +217,15 @@ def by_anchor(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = runs.anchor[order]
     new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if n else np.zeros(0, np.int64)
     bounds = np.append(new, n)
-    both = np.lexsort((runs.content, runs.anchor))
-    a2, c2 = runs.anchor[both], runs.content[both]
-    fresh = np.concatenate([[True], (a2[1:] != a2[:-1]) | (c2[1:] != c2[:-1])]) if n else np.zeros(0, bool)
-    contents = np.add.reduceat(fresh, new).astype(np.int64) if n else np.zeros(0, np.int64)
+    contents = np.ones(len(new), np.int64)
+    count = np.diff(bounds)
+    more = np.flatnonzero(np.repeat(count > 1, count))  # an anchor that stands alone has one run
+    if len(more):
+        owner, c = np.repeat(np.arange(len(new)), count)[more], runs.content[order[more]]
+        both = np.lexsort((c, owner))
+        owner, c = owner[both], c[both]
+        fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (c[1:] != c[:-1])])
+        contents += np.bincount(owner[fresh], minlength=len(new)) - (count > 1)
     extra = np.maximum.reduceat(runs.several[order], new) if n else np.zeros(0, bool)
     return order, bounds, contents + extra
 
@@ -272,7 +277,7 @@ def cover(marked: np.ndarray, k: int) -> np.ndarray:
     """Tokens covered by the windows that are marked; one token row is ``k - 1`` longer than the windows."""
     n = len(marked) + k - 1
     step = np.zeros(n + 1, np.int32)
-    at = np.flatnonzero(marked)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + k, -1)
+    turn = np.diff(np.concatenate([[0], marked.astype(np.int8), [0]]))
+    np.add.at(step, np.flatnonzero(turn == 1), 1)
+    np.add.at(step, np.flatnonzero(turn == -1) + k - 1, -1)
     return np.cumsum(step[:n]) > 0
