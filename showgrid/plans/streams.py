@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from showgrid import lookups
 from showgrid.plans.bind import Dialect, Tables, queue_columns, screenings_columns
 from showgrid.plans.ingest import scratch
 from showgrid.plans.registry import query
@@ -103,9 +104,22 @@ def stream_resolve_ids(t):
     return table.read().select("user_id", "short_url", "film_id")
 
 
-@query("queue_stream_state")
+@query("queue_stream_state", f"""
+with recursive e as materialized (select concat('u/', user_id) as k, cast(ts as timestamp) as tm, row_number() over (partition by user_id order by ts, event_id, a) as n, a
+ from (select *, case event_type when 'signup' then 'request' when 'view' then 'request' when 'click' then 'take' when 'purchase' then 'ok' else 'fail' end as a from events) where ts is not null),
+s as (select k, 0::bigint as n, null::varchar as status, 0 as retries, null::timestamp as locked, null::timestamp as tm, null::varchar as cause from (select distinct k from e)
+ union all select k, n, case when not ok then status when a = 'take' then 'processing' when a = 'ok' then 'done' when a = 'request' then case when retries >= {lookups.MAX_RETRIES} then 'failed' else 'pending' end
+   when retries + 1 >= {lookups.MAX_RETRIES} then 'failed' else 'pending' end,
+  case when ok and a = 'fail' then retries + 1 else retries end, case when not ok then locked when a = 'take' then tm end, tm, case when ok then a end
+ from (select *, coalesce(case a when 'request' then coalesce(now_status, 'done') in ('done', 'failed') when 'take' then now_status = 'pending' and retries < {lookups.MAX_RETRIES} else now_status = 'processing' end, false) as ok
+  from (select s.k, e.n, e.tm, e.a, s.status, s.retries, s.locked, case when s.status = 'processing' and e.tm - s.locked > interval {lookups.LEASE_MINUTES} minutes then 'pending' else s.status end as now_status
+   from s join e on e.k = s.k and e.n = s.n + 1))),
+z as (select k, max_by(status, n) as status, max_by(retries, n) as retries, max(tm) filter (cause = 'take') as locked from s group by k)
+select k as short_url, strftime(tm, '%Y-%m-%d %H:%M:%S.%f') as "at", status, retries as retry_count, cause from s where cause is not null
+union all select k, strftime(locked + interval {lookups.LEASE_MINUTES} minutes, '%Y-%m-%d %H:%M:%S.%f'), 'pending', retries, 'lease expired' from z where status = 'processing'
+""")
 def queue_stream_state(t):
-    """Every event moves the queue entry of its user: signup requests, click takes, purchase and error settle."""
+    """Every event moves the queue entry of its user: signup requests, click takes, purchase and error settle; leases still open at the end run out by their timers."""
     events = stream_of(t, "events").selectExpr(
         "concat('u/', user_id) as short_url", "event_id", "cast(ts as timestamp) as at",
         "case event_type when 'signup' then 'request' when 'view' then 'request' when 'click' then 'take' when 'purchase' then 'ok' else 'fail' end as action")
@@ -114,5 +128,5 @@ def queue_stream_state(t):
     def write(batch, batch_id):
         table.write(table.read(J.CHANGE).unionByName(batch), tag=f"batch{batch_id}")
 
-    J.start(J.queue_stream_state(events), write, scratch(t, "cp")).awaitTermination()
-    return table.read()
+    J.start_queue(J.queue_stream_state(events), write, scratch(t, "cp")).awaitTermination()
+    return table.read().withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))

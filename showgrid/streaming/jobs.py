@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from showgrid import lookups
 from showgrid.operators.consolidate import drop_known_sessions, resolve_film_ids, upsert_screenings
@@ -172,7 +172,8 @@ def match_feedback(feedback: DataFrame, films: DataFrame, wait: str = "1 day", w
 
 # --- queue as keyed state -----------------------------------------------------------------------------------
 
-STATE = "status string, retry_count int, locked_at timestamp"
+STATE = "status string, retry_count int, locked_us long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGE = "short_url string, at timestamp, status string, retry_count int, cause string"
 
 
@@ -197,34 +198,88 @@ def next_state(status: str | None, retries: int, locked_at, action: str, at):
     return None
 
 
-def queue_transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, retries, locked = state.get if state.exists else (None, 0, None)
-    out = []
-    if state.hasTimedOut:
-        now = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        if status == "processing":
-            status, locked = "pending", None
-            out.append((key[0], now, status, retries, "lease expired"))
-    else:
-        rows = sorted((row.at, row.event_id, row.action) for batch in batches for row in batch.itertuples(index=False))
-        for at, _, action in rows:
-            moved = next_state(status, retries, locked, action, at)
+def instant(us: int | None) -> pd.Timestamp | None:
+    return None if us is None or pd.isna(us) else pd.Timestamp(us, unit="us")
+
+
+class QueueEntry(StatefulProcessor):
+    """The entry of one url: three values with a time to live, and a timer for its lease."""
+
+    columns = ["short_url", "us", "status", "retry_count", "cause"]
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", STATE, ttlDurationMs=self.keep_ms)
+
+    def load(self):
+        status, retries, locked = self.entry.get() if self.entry.exists() else (None, 0, None)
+        return status, retries, instant(locked)
+
+    def save(self, status, retries, locked) -> None:
+        self.entry.update((status, retries, None if locked is None else locked.value // 1000))
+
+    @staticmethod
+    def due_ms(locked: pd.Timestamp) -> int:
+        """First millisecond after the lease."""
+        return (locked + pd.Timedelta(minutes=lookups.LEASE_MINUTES)).value // 1_000_000 + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        status, retries, locked = self.load()
+        held = locked
+        events = pd.concat([r[["us", "event_id", "action"]] for r in rows], ignore_index=True).sort_values(["us", "event_id", "action"])
+        out = []
+        for us, action in zip(events["us"].tolist(), events["action"].tolist()):
+            at = instant(us)
+            moved = None if at is None else next_state(status, retries, locked, action, at)
             if moved is not None:
                 status, retries, locked = moved
-                out.append((key[0], at, status, retries, action))
-    state.update((status, retries, locked))
-    if status == "processing":
-        due = int((locked + pd.Timedelta(minutes=lookups.LEASE_MINUTES)).timestamp() * 1000) + 1
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-    yield pd.DataFrame(out, columns=["short_url", "at", "status", "retry_count", "cause"])
+                out.append((key[0], us, status, retries, action))
+        if out:
+            self.save(status, retries, locked)
+            if held is not None:
+                self.handle.deleteTimer(self.due_ms(held))
+            if status == "processing":
+                self.handle.registerTimer(self.due_ms(locked))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, retries, locked = self.load()
+        out = []
+        if status == "processing" and self.due_ms(locked) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.save("pending", retries, None)
+            out.append((key[0], locked.value // 1000 + lookups.LEASE_MINUTES * 60_000_000, "pending", retries, "lease expired"))
+        yield pd.DataFrame(out, columns=self.columns)
+
+
+def queue_stream_state(events: DataFrame, keep_days: float | None = 365) -> DataFrame:
+    """Queue transitions as keyed state, with a lease timer an entry that fires without new events.
+
+    ``events`` has ``short_url, event_id, at, action``. Events of a key in one micro-batch are taken in order of time, then id; an event without time moves
+    nothing. Timers run by the clock: a lease that is over at the end of a micro-batch returns the entry to pending, dated to the end of the lease. An entry
+    that nothing moved for ``keep_days`` is forgotten, its retries too. Start it by ``start_queue``, which sets what the stream needs.
+    """
+    keyed = events.select("short_url", "event_id", F.unix_micros("at").alias("us"), "action").groupBy("short_url")
+    keep_ms = None if keep_days is None else int(keep_days * 86_400_000)
+    moved = keyed.transformWithStateInPandas(QueueEntry(keep_ms), "short_url string, us long, status string, retry_count int, cause string", "Append", "ProcessingTime")
+    return moved.select("short_url", F.timestamp_micros("us").alias("at"), "status", "retry_count", "cause")
 
 
-def queue_stream_state(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Queue transitions as keyed state with lease timers in event time.
+def start_queue(transitions: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Starts ``queue_stream_state`` on the RocksDB store, which keeps states on disk. The session's own settings are the same afterwards.
 
-    ``events`` has ``short_url, event_id, at, action``. The state of a key is three values; its events within one
-    micro-batch are ordered by time. A lease that runs out without an outcome returns the entry to pending.
+    A stream that goes on gets micro-batches without data, in which timers fire; one that drains what is there must not, since timers by the clock would always ask for one more.
     """
-    keyed = events.withWatermark("at", watermark).groupBy("short_url")
-    return keyed.applyInPandasWithState(queue_transitions, CHANGE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    conf = transitions.sparkSession.conf
+    drains = "availableNow" in (trigger or AVAILABLE_NOW)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(not drains).lower()}
+    before = {k: conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        conf.set(k, v)
+    try:
+        return start(transitions, write, checkpoint, trigger=trigger)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)

@@ -33,18 +33,35 @@ def test_transitions():
 EVENT = "short_url string, event_id long, at timestamp, action string"
 
 
-def test_stream_state_with_lease(spark, tmp_path):
-    batches = [[("a", 1, at(0), "request"), ("a", 2, at(1), "take"), ("b", 3, at(1), "request")], [("b", 4, at(2), "take"), ("b", 5, at(3), "ok")], [("c", 6, at(60), "request")], [("c", 7, at(61), "take")]]
-    src, table = tmp_path / "in", VersionedTable(spark, str(tmp_path / "t"))
+def drain_queue(spark, folder, batches, **options):
+    """Transitions after each file, the stream started anew on the same checkpoint for every file."""
+    src, table = folder / "in", VersionedTable(spark, str(folder / "t"))
+
     def write(batch, batch_id):
         table.write(table.read(J.CHANGE).unionByName(batch), tag=str(batch_id))
-    for i, rows in enumerate(batches):
+
+    for rows in batches:
         spark.createDataFrame([(u, e, a.to_pydatetime(), x) for u, e, a, x in rows], EVENT).coalesce(1).write.mode("append").parquet(str(src))
-        stream = J.queue_stream_state(spark.readStream.schema(EVENT).parquet(str(src)), watermark="1 minute")
-        J.start(stream, write, str(tmp_path / "cp")).awaitTermination()
-    got = [(r.short_url, r.status, r.cause) for r in table.read().orderBy("at", "short_url").collect()]
-    assert ("a", "pending", "lease expired") in got and ("b", "done", "ok") in got and ("c", "processing", "take") in got
-    assert ("b", "pending", "lease expired") not in got
+        stream = J.queue_stream_state(spark.readStream.schema(EVENT).parquet(str(src)), **options)
+        J.start_queue(stream, write, str(folder / "cp")).awaitTermination()
+        yield [(r.short_url, r.status, r.retry_count, r.cause) for r in table.read().orderBy("at", "short_url").collect()]
+
+
+def test_stream_state_with_lease(spark, tmp_path):
+    now = pd.Timestamp.now("UTC").tz_localize(None).floor("s")
+    batches = [[("b", 5, at(3), "ok"), ("a", 2, at(1), "take"), ("b", 3, at(1), "request"), ("a", 1, at(0), "request"), ("b", 4, at(2), "take")],
+               [("c", 6, now, "request"), ("c", 7, now, "take"), ("a", 8, at(9), "take"), ("a", 9, at(10), "fail")], [("c", 10, now, "ok"), ("d", 11, at(0), "ok")]]
+    one, two, three = drain_queue(spark, tmp_path, batches)
+    assert one == [("a", "pending", 0, "request"), ("a", "processing", 0, "take"), ("b", "pending", 0, "request"), ("b", "processing", 0, "take"), ("b", "done", 0, "ok"),
+                   ("a", "pending", 0, "lease expired")]
+    assert sorted(two) == sorted(one + [("a", "processing", 0, "take"), ("a", "pending", 1, "fail"), ("c", "pending", 0, "request"), ("c", "processing", 0, "take")])
+    assert sorted(three) == sorted(two + [("c", "done", 0, "ok")])  # a lease that still runs is no timer yet, and the state outlives the restart
+
+
+def test_stream_state_forgets(spark, tmp_path):
+    again = [[("a", 1, at(0), "request")], [("a", 2, at(1), "request")]]
+    assert [len(r) for r in drain_queue(spark, tmp_path / "kept", again)] == [1, 1]
+    assert [len(r) for r in drain_queue(spark, tmp_path / "short", again, keep_days=2e-8)] == [1, 2]
 
 
 SESSION = J.SCREENING_SCHEMA + ", seen_at timestamp"
