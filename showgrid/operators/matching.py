@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from showgrid import lookups
 from showgrid.functions.text import search_key, slugify
+from showgrid.operators.fuzzy import fuzzy_titles
 from showgrid.util import blank_to_null, first_by
 
 
@@ -50,10 +51,11 @@ def match_cascade(entries: DataFrame, films: DataFrame, screenings: DataFrame, s
     return entries.join(best, "entry_id", "left")
 
 
-def search_cascade(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
+def search_cascade(entries: DataFrame, catalogue: DataFrame, fuzzy: bool = False) -> DataFrame:
     """Local search: title with year, title with each director, title alone; the first strategy with a hit wins.
 
-    Within a strategy the most viewed film wins, then the smallest id. A missing year is filled from the hit.
+    Within a strategy the most viewed film wins, then the smallest id. A missing year is filled from the hit. With ``fuzzy`` entries
+    without a hit get the nearest title within the edits that ``fuzzy_titles`` allows.
     """
     def director_keys(c: Column) -> Column:
         return F.split(c, r"\s*,\s*")
@@ -84,6 +86,10 @@ def search_cascade(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
         F.min(F.struct("priority", "kind", "film_url", "hit_year")).alias("b"))
     best = hits.select("entry_id", F.col("b.film_url").alias("matched_url"), F.concat(F.lit("title + "), F.col("b.kind")).alias("strategy"), F.col("b.hit_year").alias("hit_year"))
     best = best.withColumn("strategy", F.when(F.col("strategy") == "title + title", F.lit("title only")).otherwise(F.col("strategy")))
+    if fuzzy:
+        open_titles = wanted.join(best, "entry_id", "left_anti").select("entry_id", "t")
+        nearest = open_titles.join(fuzzy_titles(open_titles, base), "t").select("entry_id", F.col("film_url").alias("matched_url"), F.lit("fuzzy title").alias("strategy"), "hit_year")
+        best = best.unionByName(nearest)
     return entries.join(best, "entry_id", "left").withColumn("year", F.coalesce(year, "hit_year")).drop("hit_year")
 
 

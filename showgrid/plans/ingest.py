@@ -554,6 +554,24 @@ def search_cascade(t):
     return J.search_cascade(entries, t.films).select("entry_id", "matched_url", "strategy", "year")
 
 
+@query("search_cascade_fuzzy", """
+with e as (select concat_ws('/', seq, film_ref, location) as entry_id, case seq % 4 when 0 then base_title when 1 then concat(left(base_title, 2), substring(base_title, 4)) when 2 then concat(left(base_title, 4), 'x', substring(base_title, 6)) else concat(base_title, ' zq') end as t from SC),
+c as (select lower(title) as r, max_by(film_url, (coalesce(viewers, -1), -id)) as u, max((coalesce(viewers, -1), -id)) as k from F where film_url is not null group by 1),
+d as (select distinct t from e where t not in (select r from c)),
+h as (select t, levenshtein(t, r) as far, u, k from d join c on abs(length(t) - length(r)) <= 2 where length(t) >= 6 and levenshtein(t, r) <= case when length(t) >= 12 then 2 else 1 end),
+b as (select t, arg_max(u, (-far, k)) as u from h group by t)
+select entry_id, coalesce(c.u, b.u) as matched_url, case when c.u is not null then 'title only' when b.u is not null then 'fuzzy title' end as strategy from e left join c on c.r = e.t left join b on b.t = e.t
+""")
+def search_cascade_fuzzy(t):
+    """Listings whose titles lost a letter, hold a wrong one, or have two more characters."""
+    title, left = F.col("base_title"), lambda n: F.substring("base_title", 1, n)
+    bent = F.when(F.col("seq") % 4 == 0, title).when(F.col("seq") % 4 == 1, F.concat(left(2), F.substring(title, 4, 10_000))).when(
+        F.col("seq") % 4 == 2, F.concat(left(4), F.lit("x"), F.substring(title, 6, 10_000))).otherwise(F.concat(title, F.lit(" zq")))
+    entries = t.scraped.select(F.concat_ws("/", F.col("seq").cast("string"), F.col("film_ref").cast("string"), "location").alias("entry_id"), bent.alias("title"),
+                               F.lit(None).cast("string").alias("year"), F.lit(None).cast("string").alias("director"))
+    return J.search_cascade(entries, t.films, fuzzy=True).select("entry_id", "matched_url", "strategy")
+
+
 @query("prefill_metadata", """
 select x.seq, x.location, x.film_url, coalesce(x.year, f.year) as year, coalesce(x.director, f.director) as director, f.rating
 from SC x left join F f on f.film_url = x.film_url
