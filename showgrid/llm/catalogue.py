@@ -9,7 +9,7 @@ from showgrid.llm import (  # noqa: F401
     pii,
     quality,
     secrets,
-    spotsigs,
+    spotnear,
     suffixes,
     tokenfiles,
     vectors,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from typing import Iterator
 
@@ -18,8 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showgrid.llm.common import cut_lineage, documents, sorted_groups
-from showgrid.llm.queries import query
 
 CHAIN = 3
 # Common words of English, French, Spanish and German that serve as anchors.
@@ -29,6 +28,7 @@ ANCHORS = frozenset(
     "el los las del y un una por con para es al lo como no su sus se más o pero "
     "der die das den dem des ein eine einer einem einen und zu im ist mit von auf für nicht sich auch es an als".split())
 WORDS = re.compile(r"\w+")
+NEAR = ["d1", "d2", "class_id", "n_near"]
 
 
 def signatures(text: str | None) -> frozenset[int]:
@@ -49,9 +49,18 @@ def signatures(text: str | None) -> frozenset[int]:
     return frozenset(crc(" ".join((a, *content[k : k + CHAIN])).encode("utf-8", "replace")) for a, k in anchors)
 
 
+def sorted_array(sigs: frozenset[int]) -> np.ndarray:
+    return np.sort(np.fromiter(sigs, np.uint32, len(sigs)))
+
+
 def fingerprint(sigs: frozenset[int]) -> str:
     """Number of signatures and their sorted hashes; equal sets give equal strings."""
-    return f"{len(sigs)}:" + np.sort(np.fromiter(sigs, np.uint32, len(sigs))).astype(">u4").tobytes().hex()
+    return f"{len(sigs)}:" + sorted_array(sigs).astype(">u4").tobytes().hex()
+
+
+def digest(ordered: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit halves of a digest of a sorted set; equal sets give equal digests."""
+    return struct.unpack("<qq", hashlib.blake2b(ordered.astype("<u4").tobytes(), digest_size=16).digest())
 
 
 def jaccard(a: frozenset[int], b: frozenset[int], least: float = 0.0) -> float:
@@ -65,54 +74,13 @@ def jaccard(a: frozenset[int], b: frozenset[int], least: float = 0.0) -> float:
     return both / (small + large - both)
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_signatures, signatures array<long>) of every document; null texts have none. No shuffle."""
-
-    def run(batches):
-        for b in batches:
-            sets = [sorted(signatures(t.as_py())) for t in b.column(text)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n_signatures", "signatures"])
-
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_signatures int, signatures array<long>")
-
-
-def near_classes(prints: DataFrame) -> DataFrame:
-    """(class_id, n_copies, n_signatures, signatures): equal non-empty fingerprints are one class, named by its smallest doc_id."""
-    return (prints.where("n_signatures > 0").groupBy("n_signatures", "signatures")
-            .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies")))
-
-
-def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b, similarity) of classes whose Jaccard similarity is ``threshold`` or more; all of them, each once.
-
-    Classes are dealt into bands of set length such that partners are in the same or the next band. Only the rarest
-    signatures of a set, as many as a partner cannot miss, are joined; candidates are pruned by length and then compared in full.
-    """
-    classes = cut_lineage(near_classes(prints))
-    band = F.floor(F.log(F.col("n_signatures").cast("double")) / F.lit(-float(np.log(threshold)))).cast("int")
-    long = classes.select("class_id", "n_signatures", band.alias("band"), F.explode("signatures").alias("sig"))
-    df = long.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (long.join(df, "sig").groupBy("class_id", "n_signatures", "band")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("sigs")))
-    prefix = (F.col("n_signatures") - F.ceil(F.col("n_signatures") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    rare = ranked.select("class_id", F.col("n_signatures").alias("n"), "band", F.explode(F.slice("sigs", F.lit(1), prefix)).alias("s")).select("class_id", "n", "band", "s.sig")
-    left = rare.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "sig")
-    right = rare.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "band", "sig")
-    short = F.least("na", "nb") >= F.greatest("na", "nb") * threshold
-    pairs = left.join(right, ["band", "sig"]).where((F.col("a") != F.col("b")) & short).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sets = classes.select("class_id", "signatures")
-    pairs = (pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def edited_fingerprints(docs: DataFrame, ranges_per_task: int = 4) -> DataFrame:
-    """Fingerprints of every text and of its edited text, see ``op8``.
+def edited_fingerprints(docs: DataFrame, near: DataFrame | None = None, ranges_per_task: int = 4) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with class_id and n_near of ``near``.
 
     Documents are dealt into ranges of doc_id between approximate quantiles, so the next document is in the same range; the
     first document of the next range, one per range, is sent along. The texts are shuffled once. Null ids come
-    after all others, equal ids are ordered by text. An empty table has no rows.
+    after all others, equal ids are ordered by text. An empty table has no rows. Rows of ``near_documents`` travel along by range, without the
+    texts being shuffled again; a row that has none there, or no ``near`` given, is a class of its own without near ones.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -145,39 +113,45 @@ def edited_fingerprints(docs: DataFrame, ranges_per_task: int = 4) -> DataFrame:
     placed = base.select("doc_id", "text", own.alias("own"), guest.alias("to")).select(
         "doc_id", "text", F.explode(F.array_compact(F.array("own", F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("range"), F.lit(1).alias("guest")))))).alias("at"))
     placed = placed.select(F.col("at.range").alias("range"), F.col("at.guest").alias("guest"), "doc_id", "text")
+    placed = placed.select("range", "guest", "doc_id", "text", *[F.lit(None).cast("long").alias(c) for c in NEAR])
+    if near is not None:  # rows without text, before those with
+        told = near.where("class_id <> doc_id or n_near > 0").select("doc_id", *NEAR).distinct()
+        placed = placed.union(told.select(range_of("doc_id").alias("range"), F.lit(0).alias("guest"), "doc_id", F.lit(None).cast("string").alias("text"), *NEAR))
     placed = placed.repartition(parts, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches):
         hold, first = None, None  # the row that waits for its next one; whether a guest of this range was met
+        about, notes = None, {}  # the id that rows without text told of, and what they told by digest
         for b in batches:
             for small in (b.slice(i, 128) for i in range(0, b.num_rows, 128)):
                 rows = []
-                for where, is_guest, doc, text in zip(*(small.column(c).to_pylist() for c in ("range", "guest", "doc_id", "text"))):
+                for where, is_guest, doc, text, *note in zip(*(small.column(c).to_pylist() for c in ("range", "guest", "doc_id", "text", *NEAR))):
+                    if text is None:
+                        if about != doc:
+                            about, notes = doc, {}
+                        notes[tuple(note[:2])] = note[2:]
+                        continue
                     if is_guest and first == where:
                         continue
                     sigs = signatures(text)
                     if hold is not None and hold[0] == where:
                         rows.append((*hold[1:], text, sigs))
-                    hold = None if is_guest else (where, doc, text, sigs)
+                    told = notes.get(digest(sorted_array(sigs)), (doc, 0)) if about == doc else (doc, 0)
+                    hold = None if is_guest else (where, doc, told, text, sigs)
                     first = where if is_guest else None
                 yield output(rows)
 
-    return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, n_near long")
 
 
 def output(rows: list[tuple]) -> pa.RecordBatch:
-    out = {k: [] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-    for doc, text, sigs, after, after_sigs in rows:
+    out = {k: [] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "n_near")}
+    for doc, told, text, sigs, after, after_sigs in rows:
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         edited_sigs = signatures(edited)
         for k, v in zip(out, (doc, len(text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), fingerprint(sigs), fingerprint(edited_sigs),
-                              jaccard(sigs, edited_sigs), jaccard(sigs, after_sigs))):
+                              jaccard(sigs, edited_sigs), jaccard(sigs, after_sigs), *told)):
             out[k].append(v)
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
-
-
-@query("op8_spotsigs")
-def op8(spark, folder):
-    return edited_fingerprints(documents(spark, folder))

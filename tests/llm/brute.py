@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -117,3 +118,21 @@ def vector_links(rows, threshold=0.93):
             good.append((i, x / np.linalg.norm(x), label))
     links = [(a[0], b[0]) for a, b in itertools.combinations(good, 2) if a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= threshold]
     return Counter(x for p in links for x in p), components([r[0] for r in rows], links)
+
+
+def spot_signatures(text, anchors):
+    """Signatures as strings: every anchor with the three content words after it."""
+    words = re.findall(r"\w+", text.lower())
+    content = [k for k, w in enumerate(words) if w not in anchors]
+    if len(content) in (0, len(words)):
+        return {" ".join(["", *words[k : k + 3]]) for k in range(len(words))}
+    return {" ".join([w, *[words[c] for c in content if c > k][:3]]) for k, w in enumerate(words) if w in anchors}
+
+
+def spot_print(sigs):
+    hashes = sorted({zlib.crc32(s.encode()) for s in sigs})
+    return f"{len(hashes)}:" + "".join(f"{h:08x}" for h in hashes)
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0

@@ -8,7 +8,7 @@ import sentencepiece
 from cases import EDGE
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
-from showgrid.llm import pieces, quality, spotsigs
+from showgrid.llm import pieces, quality, spotnear, spotsigs
 
 
 @pytest.fixture(scope="module")
@@ -104,8 +104,8 @@ def edited_rows(rows):
         t, after = t or "", ordered[(n + 1) % len(ordered)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        a, b, c = (spotsigs.signatures(x) for x in (t, edited, after))
-        out[i] = (len(t), brute.sha(edited), spotsigs.fingerprint(a), spotsigs.fingerprint(b), spotsigs.jaccard(a, b), spotsigs.jaccard(a, c))
+        a, b, c = (brute.spot_signatures(x, spotsigs.ANCHORS) for x in (t, edited, after))
+        out[i] = (len(t), brute.sha(edited), brute.spot_print(a), brute.spot_print(b), brute.likeness(a, b), brute.likeness(a, c), i, 0)
     return out
 
 
@@ -123,11 +123,45 @@ def test_equal_texts_have_equal_fingerprints():
     assert spotsigs.jaccard(frozenset(), frozenset()) == 1.0 and spotsigs.jaccard(frozenset([1]), frozenset()) == 0.0
 
 
-def test_near_pairs_by_brute_force(small, small_rows):
-    sets = {}
-    for i, t in sorted(small_rows):
-        sets.setdefault(spotsigs.signatures(t), i)
-    sets.pop(frozenset(), None)
-    items = list(sets.items())
-    want = {(min(a, b), max(a, b)) for n, (x, a) in enumerate(items) for y, b in items[:n] if spotsigs.jaccard(x, y) >= 0.5}
-    assert {(r["a"], r["b"]) for r in spotsigs.near_pairs(spotsigs.fingerprints(small), 0.5).collect()} == want
+def near_rows(rows, threshold):
+    """doc_id -> (class_id, n_near) by comparing all pairs of plain sets of signatures."""
+    sets = [(i, brute.spot_signatures(t or "", spotsigs.ANCHORS)) for i, t in rows]
+    out = {}
+    for i, s in sets:
+        alike = [j for j, o in sets if s and len(s & o) >= threshold * len(s | o) - 1e-9]
+        out[i] = (min((j for j, o in sets if o == s), default=i) if s else i, max(0, len(alike) - 1))
+    return out
+
+
+@pytest.mark.parametrize("threshold, block", [(0.8, 256), (0.5, 256), (0.5, 3)])
+def test_near_documents_by_brute_force(small, small_rows, edge, threshold, block):
+    for docs, rows in ((small, small_rows), (edge, [(i, t) for i, t, _ in EDGE])):
+        got = {r["doc_id"]: (r["class_id"], r["n_near"]) for r in spotnear.near_documents(docs, threshold, block).collect()}
+        want = near_rows(rows, threshold)
+        assert {i: got.get(i, (i, 0)) for i in want} == want
+
+
+def test_near_documents_of_hot_groups(spark):
+    """Hundreds of variants of one text, exact copies and texts of half the length among them."""
+    words = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        w = words[: 60 if i % 3 else 30] + ([f"own{i}"] if i % 5 else [])
+        w[i % 25] = f"other{i % 40}"
+        rows.append((i, " ".join(f"the {x}" for x in w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_near"]) for r in spotnear.near_documents(docs, 0.8, 16).collect()}
+    want = near_rows(rows, 0.8)
+    assert got == want and max(n for _, n in want.values()) > 30
+
+
+def test_edited_fingerprints_with_near_documents(edge, empty, small, small_rows):
+    got = spotsigs.edited_fingerprints(small, spotnear.near_documents(small)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_near"]) for r in got} == near_rows(small_rows, 0.8) and len(got) == len(small_rows)
+    twice = edge.union(edge)
+    got = spotsigs.edited_fingerprints(twice, spotnear.near_documents(twice)).collect()
+    want = near_rows([(i, t) for i, t, _ in EDGE], 0.8)
+    assert len(got) == 2 * len(EDGE)
+    assert all(r["class_id"] == want[r["doc_id"]][0] for r in got)
+    assert all(r["n_near"] == (2 * want[r["doc_id"]][1] + 1 if brute.spot_signatures(dict((i, t or "") for i, t, _ in EDGE)[r["doc_id"]], spotsigs.ANCHORS) else 0) for r in got)
+    assert spotsigs.edited_fingerprints(empty, spotnear.near_documents(empty)).count() == 0
