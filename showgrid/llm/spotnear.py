@@ -22,6 +22,8 @@ COUNTERS = 1 << 16  # counters of signatures: bounded, whatever the corpus
 BANDS = 1 << 16  # numbers kept for bands in a bucket key
 BLOCK, BLOCK_SIGS = 256, 400_000
 BLOCK_KEYS = ["bucket", "part_a", "part_b"]
+MORE = 4  # signatures beyond the needed ones, by which sets that meet others by chance are told
+SMALL_ROWS = 500_000  # narrow tables up to this many rows are sent to all tasks, longer ones are joined by a shuffle
 
 
 def prints_and_counts(docs: DataFrame) -> DataFrame:
@@ -36,13 +38,14 @@ def prints_and_counts(docs: DataFrame) -> DataFrame:
             seen += np.bincount(np.concatenate(sets) & np.uint32(COUNTERS - 1), minlength=COUNTERS)
             halves = np.array([digest(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(s) for s in sets], pa.int32()),
-                                              pa.nulls(len(sets), pa.list_(pa.int64()))], names=["doc_id", "d1", "d2", "n", "counts"])
+                                              pa.nulls(len(sets), pa.list_(pa.int32()))], names=["doc_id", "d1", "d2", "n", "counts"])
         if seen.any():
+            seen = np.minimum(seen, 2**31 - 1)
             none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.int32()), pa.array([seen], pa.list_(pa.int64()))],
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.int32()), pa.array([seen], pa.list_(pa.int32()))],
                                              names=["doc_id", "d1", "d2", "n", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n int, counts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n int, counts array<int>")
 
 
 def levels(prints: DataFrame) -> np.ndarray:
@@ -81,6 +84,11 @@ def needed(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
 
 
+def by_size(df: DataFrame) -> DataFrame:
+    """The table with a broadcast hint where its counted rows are few; any other is left to the planner."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def band_of(n: Column, threshold: float) -> Column:
     """Partners are in the same band of set length or in neighbouring ones."""
     return F.floor(F.log(n.cast("double")) / F.lit(-float(np.log(threshold))) + 1e-9).cast("int")
@@ -130,7 +138,7 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, block: int = BLOCK)
     or more, those of the class included, repeated rows too. ``d1`` and ``d2`` are the digest of the set, for rows that share a doc_id. Null and empty
     texts, texts without words and null ids give no row and link with nothing; an empty table has no rows. Very long texts only make large sets.
 
-    Signatures that make the same sets meet in a band are one bucket. Pairs are compared inside blocks and counted, never emitted.
+    Sets that share too few of their rarest signatures with any other are left out first. Signatures that make the same sets meet in a band are one bucket. Pairs are compared inside blocks and counted, never emitted.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = cut_lineage(prints_and_counts(docs))
@@ -138,21 +146,26 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, block: int = BLOCK)
     known = prints.where("n > 0 and doc_id is not null").select("doc_id", "d1", "d2")
     classes = cut_lineage(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).withColumn("cid", F.monotonically_increasing_id()))
     key = ["doc_id", "d1", "d2"]
-    rare = sets.select(*key, "n", F.slice("sigs", F.lit(1), needed(F.col("n"), threshold)).alias("rare"))
+    need, more = needed(F.col("n"), threshold), F.least(F.col("n"), needed(F.col("n"), threshold) + MORE)
+    rare = sets.select(*key, "n", F.slice("sigs", F.lit(1), more).alias("rare"))
     heads = cut_lineage(rare.join(classes, key).dropDuplicates(key).select("cid", "n", "rare"))
-    members = heads.select("cid", "n", F.explode("rare").alias("sig"))
+    members = heads.select("cid", "n", F.posexplode("rare").alias("place", "sig"))
     shared = cut_lineage(members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"))
+    found = members.join(by_size(shared), "sig")
+    # a set with a near partner shares all of its rarest signatures but need - 1
+    likely = cut_lineage(found.groupBy("cid", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > more - need).select("cid"))
+    likely = by_size(likely)
     band = band_of(F.col("n"), threshold)
-    stands = members.join(shared, "sig").select("cid", "n", "sig", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")),
-                                                                                   F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("at"))
+    stands = found.where(F.col("place") < need).join(likely, "cid").select("cid", "n", "sig", F.explode(F.array(
+        F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("at"))
     stands = stands.select("cid", "n", (F.pmod(F.col("sig").cast("long"), F.lit(1 << 32)) * BANDS + F.col("at.band")).alias("bucket"), "at.home")
     kinds = stands.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.max("home").alias("homes"), F.bit_xor(F.xxhash64("cid")).alias("x"),
                                          F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("y")).where("c > 1 and homes")
     first = kinds.groupBy(F.pmod("bucket", F.lit(BANDS)), "c", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
     chosen = cut_lineage(stands.join(first, "bucket").select("cid", "bucket", "home", F.col("n").alias("weight")))
     blocks = bucket_blocks(chosen, "cid", block, BLOCK_SIGS)
-    meeting = chosen.select("cid").distinct().join(classes, "cid")
-    full = sets.join(meeting, key).dropDuplicates(key).select("cid", "copies", "n", "sigs", band.alias("band"), needed(F.col("n"), threshold).alias("need"))
+    meeting = by_size(cut_lineage(chosen.select("cid").distinct().join(classes, "cid")))
+    full = sets.join(meeting, key).dropDuplicates(key).select("cid", "copies", "n", "sigs", band.alias("band"), need.alias("need"))
     dealt = blocks.join(full, "cid").withColumn("home", F.pmod("bucket", F.lit(BANDS)) == F.col("band")).drop("band", "n")
     dealt = dealt.repartition(tasks, *BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
 
