@@ -9,13 +9,13 @@ from showgrid import lookups
 from showgrid.plans.bind import Dialect, Tables, queue_columns, screenings_columns
 from showgrid.plans.ingest import scratch
 from showgrid.plans.registry import query
-from showgrid.sources.readers import stream_pages
+from showgrid.sources.readers import stream_pages, table_pattern
 from showgrid.sources.writers import BucketedTable, VersionedTable
 from showgrid.streaming import jobs as J
 
 
 def stream_of(t: Tables, name: str) -> DataFrame:
-    return t.spark.readStream.schema(t.raw(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    return t.spark.readStream.schema(t.raw(name).schema).parquet(table_pattern(t.folder, f"{name}.parquet"))
 
 
 def screening_stream(t: Tables) -> DataFrame:
@@ -87,7 +87,7 @@ def stream_page_sessions(t):
     day = lambda month: F.concat(F.lit('<li class="s">Domingo '), two(p % 27 + 1), F.lit("/"), two(month), F.lit("</li>"))
     time = lambda i, mark: F.concat(F.lit(f'<li class="s">{mark}'), two((p + 5 * i) % 24), F.lit(":30</li>"))
     listing = F.concat(F.lit('<li class="s">12:00</li>'), day(p % 9 + 1), time(0, ""), time(1, "VOSE "), F.lit('<li class="s">agotado</li>'), day(p % 9 + 2), time(2, ""), time(3, ""))
-    pages = pages.withColumn("html", F.concat("html", listing)).withColumn("seen_at", F.timestamp_seconds(p + 1_000_000_000))
+    pages = pages.withColumn("html", F.concat("html", listing)).withColumn("seen_at", F.current_timestamp())
     table = BucketedTable(t.spark, scratch(t, "page-sessions"), J.SCREENING_KEYS[::2], J.SCREENING_SCHEMA)
     J.stream_page_sessions(pages, table, scratch(t, "cp"), ITEM, listing_day, "2001-01-01", "2001-12-31").awaitTermination()
     return table.read().select("film_id", "location", F.date_format("showtime", "yyyy-MM-dd HH:mm").alias("showtime"), "version")

@@ -158,10 +158,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGES).parquet(path)
 
 
+def table_pattern(folder: str, name: str) -> str:
+    """Path of one table as a pattern, which a stream accepts for a single file and for a folder of part files alike."""
+    return f"{folder}/{{{name}}}"
+
+
 def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 100, name: str | None = None) -> DataFrame:
-    """Pages as they arrive in a folder; ``name`` is a pattern of the file names that count."""
-    reader = spark.readStream.schema(schemas.PAGES).option("maxFilesPerTrigger", files_per_trigger)
-    return (reader.option("pathGlobFilter", name) if name else reader).parquet(path)
+    """Pages as they arrive in a folder; with ``name`` only in the file or folder of that name in it."""
+    return spark.readStream.schema(schemas.PAGES).option("maxFilesPerTrigger", files_per_trigger).parquet(table_pattern(path, name) if name else path)
 
 
 def sources_by_period(sources: DataFrame, period: str) -> DataFrame:

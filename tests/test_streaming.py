@@ -159,3 +159,15 @@ def test_feedback_and_films_as_streams(spark, tmp_path):
         joined = J.match_feedback(spark.readStream.schema("user_id long, short_url string, at timestamp").parquet(left), spark.readStream.schema("id long, short_url string, stored_at timestamp").parquet(right))
         J.start(joined, lambda b, i: table.write(table.read(schema).unionByName(b), tag=str(i)), str(tmp_path / "cp")).awaitTermination()
     assert {(r.user_id, r.film_id) for r in table.read().collect()} == {(1, 10), (2, 20), (3, None), (4, None), (5, None)}
+
+
+def test_page_stream_of_part_files(spark, tmp_path):
+    """A table may be a folder of part files; page ids may be further apart than the watermark."""
+    from showgrid.plans.bind import Tables
+    from showgrid.plans.streams import stream_page_sessions
+    folder = str(tmp_path)
+    for i in (0, 1_000_000):
+        pages = spark.range(i, i + 3).selectExpr("id as page_id", "concat('https://v', id, '.example/x') as url", "'<p></p>' as html")
+        pages.coalesce(1).write.mode("append").parquet(f"{folder}/pages.parquet")
+    got = stream_page_sessions(Tables(spark, folder))
+    assert got.groupBy("film_id").count().where("count = 4").count() == 6
