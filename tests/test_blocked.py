@@ -77,3 +77,43 @@ def test_comparison_needs_only_shared_dimensions(spark):
     assert {r.dim for r in small.collect()} == {"runtime:short", "runtime:long", "runtime:epic", "genre:a", "genre:b"}
     whole, part = ({(r.user_id, r.dim): (r.a, r.b, r.share_a, r.kind) for r in X.compare_items(X.user_profile(watched, x), v, 1, 2).collect()} for x in (v, small))
     assert whole == part == {(7, "runtime:short"): (0.125, None, 0.2, "only_a"), (7, "genre:a"): (0.5, None, 0.8, "only_a")}
+
+
+def test_learned_scores_in_blocks(spark):
+    from showgrid.operators import scorers as S
+    _, _, _, v, wanted, _ = tables(spark)
+    rated = spark.createDataFrame([(1, 0, 5.0), (1, 1, 2.0), (1, 2, 3.0), (2, 3, 4.0), (2, 4, 1.0), (3, 5, 4.0)], "user_id long, film_id long, rating double")
+    weights = S.trained(v, rated)
+    films = wanted.where("film_id < 500")  # the one without entries has no score
+    pairs = rated.select("user_id").distinct().crossJoin(films)
+    slow = {(r.user_id, r.film_id): r.raw for r in S.ltr_scores(weights, v, pairs).collect()}
+    fast = {(r.user_id, r.film_id): r.raw for r in S.all_ltr_scores(weights, v, rated, films).collect()}
+    assert slow.keys() == fast.keys() and all(abs(fast[k] - x) < 1e-12 for k, x in slow.items())
+    assert {r.weight for r in weights.where("user_id = 3").collect()} == {0.01}  # no pair, nothing learned
+    shares = S.all_ltr_shares(weights, v, rated, films)
+    assert shares.count() == 3 * v.select("film_id", "category").distinct().count()
+    assert all(abs(r.t - 1) < 1e-12 for r in shares.groupBy("user_id", "film_id").agg(F.sum("share").alias("t")).collect())
+
+
+def test_universe_and_missing_pairs_move_no_pairs(spark):
+    from showgrid.operators import recommend as R
+    watched = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (2, 30)], "user_id long, film_id long")
+    screened = spark.createDataFrame([(10,), (12,), (13,), (13,)], "film_id long")
+    missing = R.missing_scores(watched, screened, watched)
+    assert sorted(map(tuple, missing.collect())) == [(1, 12), (1, 13), (2, 10), (2, 13)]
+    every = R.universe(watched, screened)
+    assert sorted(map(tuple, every.collect())) == sorted([(u, f, True) for u in (1, 2) for f in (10, 12, 13)] + [(1, 11, False), (2, 30, False)])
+    for out in (missing, every):
+        assert not out._jdf.queryExecution().optimizedPlan().toString().startswith(("Join", "Aggregate"))
+
+
+def test_hubs_of_all_users(spark):
+    from showgrid.operators import graph as G
+    watched = spark.createDataFrame([(1, 10), (1, 11), (1, 14), (2, 12)], "user_id long, film_id long")
+    screened = spark.createDataFrame([(10,), (12,), (13,)], "film_id long")
+    links = spark.createDataFrame([(f, a, 1) for f, a in ((10, "x"), (12, "x"), (13, "x"), (11, "x"), (14, "x"), (10, "y"), (11, "y"))], "film_id long, attr string, links long")
+    both = G.user_films(watched, screened)
+    sizes = both.groupBy("user_id").agg(F.count(F.lit(1)).alias("films"))
+    want = G.hub_links(both.join(links, "film_id"), sizes, 0.15)
+    got = G.user_hubs(watched, screened, links, 0.15)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "x", 5)]
