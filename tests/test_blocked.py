@@ -117,3 +117,19 @@ def test_hubs_of_all_users(spark):
     want = G.hub_links(both.join(links, "film_id"), sizes, 0.15)
     got = G.user_hubs(watched, screened, links, 0.15)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "x", 5)]
+
+
+def test_ucb_of_all_users_in_blocks_equals_pairs(spark, monkeypatch):
+    """Also users without a rating, films that nobody rated, and histories of unlike length."""
+    from test_recommend import WATCHED, film, films, seen
+    from showgrid.operators import scorers as S
+    monkeypatch.setattr(S, "UCB_BLOCK", (3, 4))
+    catalogue = films(spark, *[film(i, directors=[1 + i % 3], genres=[f"g{i % 2}"] if i % 4 else [], rating=3.0 if i % 5 else None) for i in range(1, 14)])
+    rows = [seen(u, 1 + (u * 5 + k) % 13, 1.0 + (u + k) % 9 / 2) for u in range(1, 8) for k in range(u)] + [seen(8, 2, None), seen(8, 3, None)]
+    w, wanted = spark.createDataFrame(rows, WATCHED), spark.createDataFrame([(i,) for i in range(3, 14)], "film_id long")
+    out = S.all_ucb_scores(catalogue, w, wanted)
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    slow = {(r.user_id, r.film_id): r for r in S.ucb_scores(catalogue, w, w.select("user_id").distinct().crossJoin(wanted)).collect()}
+    fast = {(r.user_id, r.film_id): r for r in out.collect()}
+    assert slow.keys() == fast.keys() and len(fast) == 88 and fast[8, 3].raw == 50
+    assert all(abs(fast[k][c] - r[c]) < 1e-9 for k, r in slow.items() for c in ("predicted", "uncertainty", "raw"))
