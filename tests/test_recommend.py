@@ -228,3 +228,29 @@ def test_holdout_evaluation_has_a_row_of_every_scorer(spark):
     got = {r.scorer: r for r in holdout_evaluation(SimpleNamespace(films=catalogue, watched=watched)).collect()}
     assert set(got) == {"content", "tfidf", "pagerank", "ltr", "ucb"} and all(r.cases == 5 for r in got.values())
     assert got["ltr"].spearman > 0.5
+
+
+def test_walks_in_tasks_equal_joins(spark, monkeypatch):
+    """Ranks, scores, shares and similar films of tasks that hold the graph against the joins that deal it; no pair of user and film is shuffled by the walks."""
+    from showgrid.operators import walks
+    monkeypatch.setattr(walks, "LANES", 2)
+    monkeypatch.setattr(walks, "USERS", 3)
+    monkeypatch.setattr(walks, "HUB", 4)
+    catalogue = films(spark, *[film(i, genres=["Drama"] if i % 3 else ["Noir", "Drama"], directors=[100 + i % 5], top_cast=[200 + i % 7, 300 + i % 8], keywords=[400 + i % 6], country=["ES"], year=1950 + 3 * i,
+                                    tmdb_id=900 + i, tmdb_recommendations=[901 + i, 905 + i]) for i in range(1, 31)] + [film(31)])
+    rows = [seen(u, 1 + (u * 7 + 3 * k) % 30, [5.0, 4.0, 2.0, None][k % 4], liked=k % 2 == 0) for u in range(1, 8) for k in range(u)] + [seen(8, 2, 1.0)]
+    watched, screened = spark.createDataFrame(rows, WATCHED), spark.createDataFrame([(i,) for i in range(10, 32)], "film_id long")
+    stored = spark.createDataFrame([(1, 12), (3, 31), (3, 10), (9, 10), (2, 99)], "user_id long, film_id long")
+
+    def results():
+        ranking = G.rank_all_users(catalogue, screened, watched, AS_OF)
+        near = lambda rows: {tuple(v for v in r if not isinstance(v, float)): [v for v in r if isinstance(v, float)] for r in rows}
+        return type(ranking).__name__, [near(rows.collect()) for rows in (
+            G.film_ranks(ranking), G.category_shares(ranking), G.similar_watched(ranking), G.score_all_users(catalogue, screened, watched, AS_OF, stored=stored).select("user_id", "film_id", "score"))]
+
+    kind, fast = results()
+    monkeypatch.setattr(walks, "MOST_LINKS", 0)
+    other, slow = results()
+    assert (kind, other) == ("Walks", "Ranking")
+    for a, b in zip(fast, slow):
+        assert a.keys() == b.keys() and a and all(v == pytest.approx(b[k], abs=1e-12) for k, v in a.items())
