@@ -129,7 +129,9 @@ def test_ucb_of_all_users_in_blocks_equals_pairs(spark, monkeypatch):
     w, wanted = spark.createDataFrame(rows, WATCHED), spark.createDataFrame([(i,) for i in range(3, 14)], "film_id long")
     out = S.all_ucb_scores(catalogue, w, wanted)
     assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
-    slow = {(r.user_id, r.film_id): r for r in S.ucb_scores(catalogue, w, w.select("user_id").distinct().crossJoin(wanted)).collect()}
+    pairs = w.select("user_id").distinct().crossJoin(wanted)
+    named = S.ucb_scores(catalogue, w.withColumn("user_id", F.concat(F.lit("1#"), "user_id")), pairs.withColumn("user_id", F.concat(F.lit("1#"), "user_id")))
+    slow = {(int(r.user_id[2:]), r.film_id): r for r in named.collect()}
     fast = {(r.user_id, r.film_id): r for r in out.collect()}
     assert slow.keys() == fast.keys() and len(fast) == 88 and fast[8, 3].raw == 50
     assert all(abs(fast[k][c] - r[c]) < 1e-9 for k, r in slow.items() for c in ("predicted", "uncertainty", "raw"))

@@ -254,3 +254,17 @@ def test_walks_in_tasks_equal_joins(spark, monkeypatch):
     assert (kind, other) == ("Walks", "Ranking")
     for a, b in zip(fast, slow):
         assert a.keys() == b.keys() and a and all(v == pytest.approx(b[k], abs=1e-12) for k, v in a.items())
+
+
+def test_graphs_of_candidates_in_tasks_equal_joins(spark, monkeypatch):
+    """Hold-out scores: each user's graph holds the films watched and the candidates; text ids of users, a candidate unknown to the catalogue, a user without training rows."""
+    from showgrid.operators import walks
+    catalogue = films(spark, *[film(i, genres=["Drama"] if i % 3 else ["Noir", "Drama"], directors=[100 + i % 5], keywords=[400 + i % 6], country=["ES"], year=1950 + 3 * i,
+                                    tmdb_id=900 + i, tmdb_recommendations=[901 + i, 905 + i]) for i in range(1, 21)] + [film(21)])
+    rows = [(f"1#{r[0]}", *r[1:]) for r in (seen(u, 1 + (u * 7 + 3 * k) % 20, [5.0, 4.0, 2.0, None][k % 4]) for u in range(1, 7) for k in range(u + 2))] + [("1#9", 2, "u", 1.0, False, None, 0)]
+    watched = spark.createDataFrame(rows, WATCHED.replace("user_id long", "user_id string"))
+    pairs = spark.createDataFrame([(f"1#{u}", f) for u in (1, 2, 3, 4, 5, 6, 9, 10) for f in range(u, u + 13)] + [("1#1", 77)], "user_id string, film_id long")
+    fast = {(r.user_id, r.film_id): r.raw for r in S.pagerank_scorer(catalogue, watched, pairs, AS_OF).collect()}
+    monkeypatch.setattr(walks, "MOST_LINKS", 0)
+    slow = {(r.user_id, r.film_id): r.raw for r in S.pagerank_scorer(catalogue, watched, pairs, AS_OF).collect()}
+    assert fast.keys() == slow.keys() and fast and all(v == pytest.approx(slow[k], abs=1e-12) for k, v in fast.items())
