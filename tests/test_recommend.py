@@ -268,3 +268,17 @@ def test_graphs_of_candidates_in_tasks_equal_joins(spark, monkeypatch):
     monkeypatch.setattr(walks, "MOST_LINKS", 0)
     slow = {(r.user_id, r.film_id): r.raw for r in S.pagerank_scorer(catalogue, watched, pairs, AS_OF).collect()}
     assert fast.keys() == slow.keys() and fast and all(v == pytest.approx(slow[k], abs=1e-12) for k, v in fast.items())
+
+
+def test_holdout_split_is_one_sort_and_one_join(spark):
+    """The split against a plain loop over hashes; positions are not looked up a second time for the sizes."""
+    import hashlib
+    rated = spark.createDataFrame([(u, f, 3.0) for u in (1, 2, 3) for f in range(5 * u)], "user_id long, film_id long, rating double")
+    out = EV.holdout_split(rated, 2)
+    want = set()
+    for s in (1, 2):
+        for u in (1, 2, 3):
+            order = sorted(range(5 * u), key=lambda f: (hashlib.md5(f"{s}|{u}|{f}".encode()).hexdigest(), f))
+            want |= {(s, u, f, i + 1 > int(5 * u * 0.8)) for i, f in enumerate(order)}
+    assert {(r.split, r.user_id, r.film_id, r.is_test) for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 3  # two of them add the offsets of partitions
