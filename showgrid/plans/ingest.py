@@ -226,7 +226,7 @@ def nest_sessions(t):
 
 def documents(t: Tables):
     """A metadata document per film: movies, and series for every fifth film."""
-    f = t.films
+    f = t.dealt_films
     tv = F.col("id") % 5 == 0
     s = lambda **kw: F.struct(*[v.alias(k) for k, v in kw.items()])
     none = F.lit(None)

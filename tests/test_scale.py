@@ -2,6 +2,7 @@
 
 from showgrid.operators import graph as G
 from showgrid.plans.bind import Tables
+from showgrid.plans.ingest import documents
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,3 +23,10 @@ def test_links_of_repeated_films_are_one_row(spark):
     once = {(r.attr, r.category): (r.w, r.links) for r in G.film_attribute_edges(films).collect()}
     twice = {(r.attr, r.category): (r.w, r.links) for r in G.film_attribute_edges(films.union(films)).collect()}
     assert twice == {k: (2 * w, 2 * n) for k, (w, n) in once.items()}
+
+
+def test_metadata_documents_are_built_in_many_tasks(spark):
+    t = Tables(spark, FOLDER)
+    made = documents(t)
+    assert t.films.rdd.getNumPartitions() == 1 and made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert made.count() == t.films.count()
