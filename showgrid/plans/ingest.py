@@ -19,6 +19,7 @@ from showgrid.plans.bind import AS_OF, QUEUE_NOW, Tables
 from showgrid.plans.registry import query
 from showgrid.sources import readers as R
 from showgrid.sources import writers as Wr
+from showgrid.util import cut_lineage
 
 FMT = "yyyy-MM-dd HH:mm"
 SESSION_COLUMNS = ["timestamp", "location", "url_tickets", "url_info", "version", "special"]
@@ -167,7 +168,7 @@ select cast(user_id as varchar) as user_id, short_url, rating, liked, strftime(w
 def read_user_export(t):
     """Write every user's feedback as export CSVs and read the exports back."""
     root = scratch(t, "export")
-    w = t.watched.select(F.pmod("user_id", F.lit(8)).cast("string").alias("folder"), "user_id", F.col("short_url"), "rating", "liked", "watched_date", "rewatch_count").cache()
+    w = cut_lineage(t.watched.select(F.pmod("user_id", F.lit(8)).cast("string").alias("folder"), "user_id", F.col("short_url"), "rating", "liked", "watched_date", "rewatch_count"))
     uri = F.concat_ws("@", F.col("user_id").cast("string"), "short_url")
     day = F.col("watched_date").cast("string").alias("Date")
     name, year = F.lit('A "quoted", name').alias("Name"), F.lit("1999").alias("Year")
@@ -178,10 +179,7 @@ def read_user_export(t):
         "likes/films.csv": base.where("liked").select("folder", "Date", "Name", "Year", "uri"),
         "diary.csv": base.where("rewatch_count > 0").select("folder", "Date", "Name", "Year", "uri", F.lit("").alias("Rating"), F.explode(F.sequence(F.lit(1), "rewatch_count")).alias("k")).withColumn("Rewatch", F.lit("Yes")).drop("k"),
     }
-    for file, df in parts.items():
-        for folder in range(8):
-            df.where(F.col("folder") == str(folder)).drop("folder").write.option("header", True).option("escape", '"').csv(f"{root}/{folder}/{file}")
-    w.unpersist()
+    Wr.write_export(parts, root)
     feedback = R.feedback_from_export(R.read_user_export(t.spark, root))
     pair = F.split("short_url", "@")
     return feedback.select(pair[0].alias("user_id"), pair[1].alias("short_url"), "rating", "liked", F.col("watched_date").cast("string").alias("watched_date"), "rewatch_count")

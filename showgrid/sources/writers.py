@@ -21,6 +21,27 @@ def write_catalog(df: DataFrame, path: str, fmt: str = "json") -> None:
         df.write.mode("errorifexists").format(fmt).save(path)
 
 
+def write_export(files: dict[str, DataFrame], root: str) -> None:
+    """Files of many exports as ``root/<folder>/<file>``: each frame has a column ``folder`` and is written in one pass, whatever the number of folders.
+
+    Rows without a folder belong to no export. A file without rows is left out, but for one header where no folder has the file.
+    """
+    for file, df in files.items():
+        spark, staged = df.sparkSession, f"{root}.staged/{file}"
+        df = df.where("folder is not null")
+        df.write.option("header", True).option("escape", '"').partitionBy("folder").csv(staged)
+        jvm, fs = _fs(spark, staged)
+        path = jvm.org.apache.hadoop.fs.Path
+        made = [p.getPath() for p in fs.listStatus(path(staged)) if p.getPath().getName().startswith("folder=")]
+        for part in made:
+            target = path(f"{root}/{part.getName().removeprefix('folder=')}/{file}")
+            fs.mkdirs(target.getParent())
+            if not fs.rename(part, target):
+                raise OSError(f"could not place {target}")
+        if not made:
+            df.drop("folder").write.option("header", True).option("escape", '"').csv(f"{root}/empty/{file}")
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

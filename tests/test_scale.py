@@ -1,8 +1,12 @@
 """Work is dealt over tasks and read or written once, whatever the size of the input."""
 
+from pyspark.sql.readwriter import DataFrameWriter
+
+import __spark_entry__ as entry
 from showgrid.operators import graph as G
 from showgrid.plans.bind import Tables
 from showgrid.plans.ingest import documents
+from showgrid.sources.writers import write_export
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,3 +34,18 @@ def test_metadata_documents_are_built_in_many_tasks(spark):
     made = documents(t)
     assert t.films.rdd.getNumPartitions() == 1 and made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert made.count() == t.films.count()
+
+
+def test_export_is_written_in_one_pass_a_file(spark, monkeypatch):
+    paths, write = [], DataFrameWriter.csv
+    monkeypatch.setattr(DataFrameWriter, "csv", lambda self, path, *a, **k: (paths.append(path), write(self, path, *a, **k))[1])
+    assert entry.queries()["read_user_export"](spark, FOLDER).count() > 0
+    assert len(paths) == 4
+
+
+def test_export_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "a"), ("2", "b"), ("2", "c"), (None, "d")], "folder string, uri string")
+    write_export({"watched.csv": rows, "likes/films.csv": rows.where("uri = 'b'"), "diary.csv": rows.where("false")}, str(tmp_path / "x"))
+    read = lambda p: {r.uri for r in spark.read.option("header", True).csv(str(tmp_path / "x" / p)).collect()}
+    assert read("1/watched.csv") == {"a"} and read("2/watched.csv") == {"b", "c"} and read("2/likes/films.csv") == {"b"}
+    assert not (tmp_path / "x/1/likes").exists() and read("empty/diary.csv") == set()
