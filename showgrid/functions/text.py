@@ -1,10 +1,12 @@
-"""Text functions as column expressions; the one vectorised function is :func:`strip_accents`."""
+"""Text functions as column expressions; the vectorised functions are :func:`strip_accents` and :func:`ascii_fold`."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,10 +15,20 @@ from showgrid import lookups
 from showgrid.util import blank_to_null
 
 
-@F.pandas_udf(StringType())
-def strip_accents(values: pd.Series) -> pd.Series:
+#: Values that are decomposed at a time, so that a worker holds a batch as Arrow buffers and only so many as strings.
+SLICE = 64
+MARKS = re.compile("[\u0300-\u036f]+")
+
+
+def without_marks(v: str | None) -> str | None:
+    return v if v is None or v.isascii() else MARKS.sub("", unicodedata.normalize("NFD", v))
+
+
+@F.arrow_udf(StringType())
+def strip_accents(values: pa.Array) -> pa.Array:
     """Canonical decomposition without combining marks; Spark has no built-in for it."""
-    return values.str.normalize("NFD").str.replace("[\u0300-\u036f]", "", regex=True)
+    parts = [pa.array([without_marks(v) for v in values.slice(i, SLICE).to_pylist()], pa.string()) for i in range(0, len(values), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 @F.pandas_udf(StringType())

@@ -88,3 +88,12 @@ def test_references_cut_short_are_text(spark):
     pages = spark.createDataFrame([(1, '<h1>a&amp;b &lt;c ver&amp</h1><script>if (a && b < 3) "</p>";</script><p class="ad">x & y&am</p>')], "page_id long, html string")
     rules = [{"field": "title", "tag": "h1"}, {"field": "ad", "tag": "p"}, {"field": "code", "tag": "script"}]
     assert {r.field: r.value for r in extract_fields(pages, rules).collect()} == {"title": "a&b <c ver&amp", "ad": "x & y&am", "code": 'if (a && b < 3) "</p>";'}
+
+
+def test_accents_are_stripped_from_arrow_slices():
+    import pyarrow as pa
+    import unicodedata
+    values = ["\u00c1rbol", None, "", "plain", "e\u0301\u0302", "\u1ec7", "\ud55c"] * 40
+    got = X.strip_accents.func(pa.array(values).slice(3))
+    want = [v if v is None else "".join(c for c in unicodedata.normalize("NFD", v) if not "\u0300" <= c <= "\u036f") for v in values[3:]]
+    assert got.to_pylist() == want and X.strip_accents.func(pa.array([], pa.string())).to_pylist() == []
