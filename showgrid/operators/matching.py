@@ -75,22 +75,27 @@ def search_cascade(entries: DataFrame, catalogue: DataFrame, fuzzy: bool = False
         F.max(F.struct("viewers", (-F.col("id")).alias("n"), "film_url", "hit_year")).alias("b")).select("kind", "t", "detail", "b.film_url", "b.hit_year")
 
     year = F.col("year").try_cast("double").cast("int")
-    wanted = entries.select("entry_id", search_key(F.lower("title")).alias("t"), year.cast("string").alias("y"), blank_to_null("director").alias("d"))
+    wanted = entries.select("*", search_key(F.lower("title")).alias("_t"), year.cast("string").alias("_y"), blank_to_null("director").alias("_d"))
+    # what is found depends on title, year and directors only: each such question is asked once, and its answer is joined to all its entries
+    asked = wanted.where("_t is not null").select(F.col("_t").alias("t"), F.col("_y").alias("y"), F.col("_d").alias("d")).distinct()
     def part(df, priority, kind, detail):
-        return df.select("entry_id", F.lit(priority).alias("priority"), F.lit(kind).alias("kind"), "t", detail.alias("detail"))
-    directors = wanted.where("d is not null").select("*", F.posexplode(director_keys(F.col("d"))).alias("p", "one"))
-    candidates = part(wanted.where("y is not null"), 0, "year", F.col("y")).unionByName(
-        directors.select("entry_id", (F.col("p") + 1).alias("priority"), F.lit("director").alias("kind"), "t", slugify(F.col("one"), "spaces").alias("detail"))
-    ).unionByName(part(wanted, 1_000_000, "title", F.lit("")))
-    hits = candidates.join(index, ["kind", "t", "detail"]).groupBy("entry_id").agg(
+        return df.select("t", "y", "d", priority.alias("priority"), F.lit(kind).alias("kind"), detail.alias("detail"))
+    directors = asked.where("d is not null").select("*", F.posexplode(director_keys(F.col("d"))).alias("p", "one"))
+    candidates = part(asked.where("y is not null"), F.lit(0), "year", F.col("y")).unionByName(
+        part(directors, F.col("p") + 1, "director", slugify(F.col("one"), "spaces"))).unionByName(part(asked, F.lit(1_000_000), "title", F.lit("")))
+    hits = candidates.join(index, ["kind", "t", "detail"]).groupBy("t", "y", "d").agg(
         F.min(F.struct("priority", "kind", "film_url", "hit_year")).alias("b"))
-    best = hits.select("entry_id", F.col("b.film_url").alias("matched_url"), F.concat(F.lit("title + "), F.col("b.kind")).alias("strategy"), F.col("b.hit_year").alias("hit_year"))
+    best = hits.select("t", "y", "d", F.col("b.film_url").alias("matched_url"), F.concat(F.lit("title + "), F.col("b.kind")).alias("strategy"), F.col("b.hit_year").alias("hit_year"))
     best = best.withColumn("strategy", F.when(F.col("strategy") == "title + title", F.lit("title only")).otherwise(F.col("strategy")))
-    if fuzzy:
-        open_titles = wanted.join(best, "entry_id", "left_anti").select("entry_id", "t")
-        nearest = open_titles.join(fuzzy_titles(open_titles, base), "t").select("entry_id", F.col("film_url").alias("matched_url"), F.lit("fuzzy title").alias("strategy"), "hit_year")
-        best = best.unionByName(nearest)
-    return entries.join(best, "entry_id", "left").withColumn("year", F.coalesce(year, "hit_year")).drop("hit_year")
+    if fuzzy:  # a title that is found by itself is found with every year and director, so open titles have no answer at all
+        open_titles = asked.select("t").distinct().join(best.select("t"), "t", "left_anti")
+        nearest = fuzzy_titles(open_titles, base).select("t", F.col("film_url").alias("_url"), F.col("hit_year").alias("_year"))
+        near = asked.join(nearest, "t").select("t", "y", "d", F.col("_url").alias("matched_url"), F.lit("fuzzy title").alias("strategy"), F.col("_year").alias("hit_year"))
+        best = best.unionByName(near)
+    same = (F.col("_t") == F.col("t")) & F.col("_y").eqNullSafe(F.col("y")) & F.col("_d").eqNullSafe(F.col("d"))
+    rest = [c for c in entries.columns if c not in ("entry_id", "year")]
+    return wanted.join(best, same, "left").select("entry_id", *rest, F.coalesce(year, "hit_year").alias("year"), "matched_url", "strategy").select(
+        "entry_id", *[c for c in entries.columns if c != "entry_id"], "matched_url", "strategy")
 
 
 def match_report(matched: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """Work is dealt over tasks and read or written once, whatever the size of the input."""
 
+from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry
 from showgrid.operators import graph as G
+from showgrid.operators import matching as J
+from showgrid.operators.consolidate import drop_known_sessions, upsert_screenings
 from showgrid.plans.bind import Tables
 from showgrid.plans.ingest import documents
-from showgrid.sources.writers import write_export
+from showgrid.sources.writers import SLICES, BucketedTable, write_export
+from showgrid.streaming.jobs import SCREENING_KEYS, SCREENING_SCHEMA
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -49,3 +53,23 @@ def test_export_folders(spark, tmp_path):
     read = lambda p: {r.uri for r in spark.read.option("header", True).csv(str(tmp_path / "x" / p)).collect()}
     assert read("1/watched.csv") == {"a"} and read("2/watched.csv") == {"b", "c"} and read("2/likes/films.csv") == {"b"}
     assert not (tmp_path / "x/1/likes").exists() and read("empty/diary.csv") == set()
+
+
+def test_entries_are_not_shuffled_by_their_id(spark):
+    entries = spark.createDataFrame([("a", "T", "1990", "X"), ("b", "T", None, None), ("c", "T", None, None), ("d", None, "1990", "X"), ("e", "T", "1991", "X, Y")], "entry_id string, title string, year string, director string")
+    films = spark.createDataFrame([(1, "u1", "T", 1990, 5, "Z"), (2, "u2", "t", 1980, 9, "Y")], "id long, film_url string, title string, year int, viewers long, director string")
+    found = J.search_cascade(entries, films)
+    assert "hashpartitioning(entry_id" not in plan(found)
+    assert {(r.entry_id, r.matched_url, r.strategy, r.year) for r in found.collect()} == {
+        ("a", "u1", "title + year", 1990), ("b", "u2", "title only", 1980), ("c", "u2", "title only", 1980), ("d", None, None, 1990), ("e", "u2", "title + director", 1991)}
+
+
+def test_first_batch_of_sessions_meets_no_table(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path / "t"), SCREENING_KEYS[::2], SCREENING_SCHEMA)
+    batch = Tables(spark, FOLDER).screenings.select(*[c.split()[0] for c in SCREENING_SCHEMA.split(", ")])
+    new = drop_known_sessions(batch.withColumn("timestamp", F.date_format("showtime", "yyyy-MM-dd HH:mm")), table.read(), "1990-01-01", "2010-12-31").select(*batch.columns)
+    assert "LeftAnti" not in plan(new)
+    assert plan(upsert_screenings(batch.limit(5), batch)).count("Exchange hashpartitioning(film_id") == 1
+    table.merge(new, upsert_screenings)
+    assert table.read().count() == batch.select(*SCREENING_KEYS).distinct().count()
+    assert all(len(list(b.glob("*.parquet"))) <= SLICES for b in (tmp_path / "t").glob("bucket=*"))
