@@ -206,12 +206,15 @@ def upsert_films(stored: DataFrame, incoming: DataFrame, now: str, key: str = "s
 
 
 def upsert_screenings(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """First row wins inside the batch; a batch row then replaces every column of the stored row."""
+    """First row wins inside the batch; a batch row then replaces every column of the stored row.
+
+    Both rules are one aggregate: rows of the batch come before the stored one, which is the only one of its key.
+    """
     keys = ["film_id", "showtime", "location"]
     columns = [c for c in stored.columns if c not in keys]
-    batch = first_by(keys, ["seq"], incoming.select(*keys, *columns))
-    both = stored.select(*keys, *columns).withColumn("_gen", F.lit(0)).unionByName(batch.withColumn("_gen", F.lit(1)))
-    return both.groupBy(*keys).agg(F.max(F.struct("_gen", *columns)).alias("_row")).select(*keys, *[f"_row.{c}" for c in columns])
+    rest = [c for c in columns if c != "seq"]
+    both = incoming.select(*keys, *columns).withColumn("_gen", F.lit(0)).unionByName(stored.select(*keys, *columns).withColumn("_gen", F.lit(1)))
+    return both.groupBy(*keys).agg(F.min(F.struct("_gen", "seq", *rest)).alias("_row")).select(*keys, *[f"_row.{c}" for c in columns])
 
 
 def assign_film_ids(new_keys: DataFrame, stored: DataFrame, key: str = "short_url") -> DataFrame:

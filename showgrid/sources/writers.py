@@ -93,6 +93,10 @@ class VersionedTable:
         return folder
 
 
+#: Parts of a bucket that are written by different tasks, and so its files.
+SLICES = 8
+
+
 class BucketedTable:
     """Rows dealt by a hash of their key into ``bucket=N`` folders; a merge reads and rewrites only the buckets that its new rows fall into.
 
@@ -109,7 +113,7 @@ class BucketedTable:
     def stored(self) -> DataFrame:
         jvm, fs = _fs(self.spark, self.root)
         if not fs.exists(jvm.org.apache.hadoop.fs.Path(self.root)):
-            return self.spark.createDataFrame([], self.schema + ", bucket int")
+            return self.spark.createDataFrame([], self.schema + ", bucket int").where("false")  # the planner sees that it is empty and joins nothing with it
         return self.spark.read.schema(self.schema + ", bucket int").parquet(self.root)
 
     def read(self) -> DataFrame:
@@ -122,7 +126,8 @@ class BucketedTable:
         if touched:
             stored = self.stored().where(F.col("bucket").isin(touched)).drop("bucket")
             rows = self.dealt(cut_lineage(combine(stored, fresh)))
-            rows.repartition("bucket", *self.keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.root)
+            part = F.pmod(F.shiftright(F.xxhash64(*self.keys), 32), F.lit(SLICES))
+            rows.repartition("bucket", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.root)
         return touched
 
 
