@@ -177,12 +177,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CHANGE = "short_url string, at timestamp, status string, retry_count int, cause string"
 
 
-def next_state(status: str | None, retries: int, locked_at, action: str, at):
+LEASE, LEASE_US = pd.Timedelta(minutes=lookups.LEASE_MINUTES), lookups.LEASE_MINUTES * 60_000_000
+
+
+def next_state(status: str | None, retries: int, locked_at, action: str, at, lease=LEASE):
     """One queue transition: (status, retries, locked_at), or None when the action does not apply.
 
-    A lease older than the limit counts as expired before any action is looked at.
+    A lease older than the limit counts as expired before any action is looked at. Times and ``lease`` may be microseconds.
     """
-    lease = pd.Timedelta(minutes=lookups.LEASE_MINUTES)
     if status == "processing" and locked_at is not None and at - locked_at > lease:
         status, locked_at = "pending", None
     if action == "request":
@@ -198,8 +200,11 @@ def next_state(status: str | None, retries: int, locked_at, action: str, at):
     return None
 
 
-def instant(us: int | None) -> pd.Timestamp | None:
-    return None if us is None or pd.isna(us) else pd.Timestamp(us, unit="us")
+def in_order(us: list, ids: list, actions: list) -> list[tuple]:
+    """(us, action) of the events with a time, by time, id and action; missing ids and actions come last."""
+    gone = lambda v: v is None or v != v
+    rows = [(int(u), gone(i), 0 if gone(i) else i, gone(a), "" if gone(a) else a) for u, i, a in zip(us, ids, actions) if not gone(u)]
+    return [(r[0], None if r[3] else r[4]) for r in sorted(rows)]
 
 
 class QueueEntry(StatefulProcessor):
@@ -216,42 +221,38 @@ class QueueEntry(StatefulProcessor):
 
     def load(self):
         status, retries, locked = self.entry.get() if self.entry.exists() else (None, 0, None)
-        return status, retries, instant(locked)
-
-    def save(self, status, retries, locked) -> None:
-        self.entry.update((status, retries, None if locked is None else locked.value // 1000))
+        return status, retries, None if locked is None or pd.isna(locked) else int(locked)
 
     @staticmethod
-    def due_ms(locked: pd.Timestamp) -> int:
+    def due_ms(locked: int) -> int:
         """First millisecond after the lease."""
-        return (locked + pd.Timedelta(minutes=lookups.LEASE_MINUTES)).value // 1_000_000 + 1
+        return (locked + LEASE_US) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         status, retries, locked = self.load()
-        held = locked
-        events = pd.concat([r[["us", "event_id", "action"]] for r in rows], ignore_index=True).sort_values(["us", "event_id", "action"])
-        out = []
-        for us, action in zip(events["us"].tolist(), events["action"].tolist()):
-            at = instant(us)
-            moved = None if at is None else next_state(status, retries, locked, action, at)
+        held, us, ids, actions, out = locked, [], [], [], []
+        for r in rows:
+            us += r["us"].tolist()
+            ids += r["event_id"].tolist()
+            actions += r["action"].tolist()
+        for at, action in in_order(us, ids, actions):
+            moved = next_state(status, retries, locked, action, at, LEASE_US)
             if moved is not None:
                 status, retries, locked = moved
-                out.append((key[0], us, status, retries, action))
+                out.append((key[0], at, status, retries, action))
         if out:
-            self.save(status, retries, locked)
+            self.entry.update((status, retries, locked))
             if held is not None:
                 self.handle.deleteTimer(self.due_ms(held))
             if status == "processing":
                 self.handle.registerTimer(self.due_ms(locked))
-        yield pd.DataFrame(out, columns=self.columns)
+            yield pd.DataFrame(out, columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         status, retries, locked = self.load()
-        out = []
         if status == "processing" and self.due_ms(locked) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.save("pending", retries, None)
-            out.append((key[0], locked.value // 1000 + lookups.LEASE_MINUTES * 60_000_000, "pending", retries, "lease expired"))
-        yield pd.DataFrame(out, columns=self.columns)
+            self.entry.update(("pending", retries, None))
+            yield pd.DataFrame([(key[0], locked + LEASE_US, "pending", retries, "lease expired")], columns=self.columns)
 
 
 def queue_stream_state(events: DataFrame, keep_days: float | None = 365) -> DataFrame:

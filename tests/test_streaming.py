@@ -30,6 +30,14 @@ def test_transitions():
     assert J.next_state("failed", 5, None, "request", at(1)) == ("failed", 5, None)
 
 
+def test_transitions_in_microseconds():
+    minute = 60_000_000
+    assert J.next_state("processing", 0, minute, "ok", 7 * minute, J.LEASE_US) is None
+    assert J.next_state("processing", 0, minute, "take", 7 * minute, J.LEASE_US) == ("processing", 0, 7 * minute)
+    assert J.in_order([3.0, float("nan"), 1.0, 1.0, 1.0], [1, 2, 9, 4, None], ["ok", "ok", "take", None, "fail"]) == [(1, None), (1, "take"), (1, "fail"), (3, "ok")]
+    assert J.QueueEntry.due_ms(minute) == 6 * 60_000 + 1
+
+
 EVENT = "short_url string, event_id long, at timestamp, action string"
 
 
