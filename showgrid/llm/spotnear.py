@@ -16,7 +16,7 @@ from showgrid.llm.buckets import bucket_blocks
 from showgrid.llm.common import cut_lineage, documents, group_bounds, sorted_groups
 from showgrid.llm.ngrams import overlaps
 from showgrid.llm.queries import query
-from showgrid.llm.spotsigs import digest, edited_fingerprints, signatures, sorted_array
+from showgrid.llm.spotsigs import digest, edited_fingerprints, signature_sets
 
 COUNTERS = 1 << 16  # counters of signatures: bounded, whatever the corpus
 BANDS = 1 << 16  # numbers kept for bands in a bucket key
@@ -32,7 +32,7 @@ def prints_and_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         seen = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            sets = [sorted_array(signatures(t.as_py())) for t in b.column("text")]
+            sets = signature_sets(b.column("text").to_pylist())
             if not sets:
                 continue
             seen += np.bincount(np.concatenate(sets) & np.uint32(COUNTERS - 1), minlength=COUNTERS)
@@ -63,10 +63,9 @@ def ordered_sets(docs: DataFrame, level: np.ndarray) -> DataFrame:
         for b in batches:
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
                 ids, halves, sets = [], [], []
-                for doc, text in zip(part.column("doc_id"), part.column("text")):
-                    s = sorted_array(signatures(text.as_py()))
+                for doc, s in zip(part.column("doc_id").to_pylist(), signature_sets(part.column("text").to_pylist())):
                     if len(s):
-                        ids.append(doc.as_py())
+                        ids.append(doc)
                         halves.append(digest(s))
                         sets.append(s[np.argsort(level[s & np.uint32(COUNTERS - 1)], kind="stable")])
                 if ids:

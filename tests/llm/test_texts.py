@@ -165,3 +165,25 @@ def test_edited_fingerprints_with_near_documents(edge, empty, small, small_rows)
     assert all(r["class_id"] == want[r["doc_id"]][0] for r in got)
     assert all(r["n_near"] == (2 * want[r["doc_id"]][1] + 1 if brute.spot_signatures(dict((i, t or "") for i, t, _ in EDGE)[r["doc_id"]], spotsigs.ANCHORS) else 0) for r in got)
     assert spotsigs.edited_fingerprints(empty, spotnear.near_documents(empty)).count() == 0
+
+
+def test_signatures_of_many_texts_at_once(small_rows):
+    """Odd characters, words of many bytes, texts without words or anchors; together as one by one."""
+    texts = [None, "", "the", "of the", " \n", "é" * 70 + " the " + "z" * 5000 + " of", "für ΣΑΣ Σ, İstanbul más ẞ① the ²x_1 日本語 café of 😀 𝒜 b",
+             "which\x00their einer a"] + [t for _, t, _ in EDGE] + [t for _, t in small_rows[:100]]
+    want = [brute.spot_print(brute.spot_signatures(t or "", spotsigs.ANCHORS)) for t in texts]
+    assert [spotsigs.fingerprint(s) for s in spotsigs.signature_sets(texts)] == want
+    assert [spotsigs.fingerprint(spotsigs.signature_sets([t])[0]) for t in texts] == want and spotsigs.signature_sets([]) == []
+
+
+def test_texts_travel_compressed(spark):
+    """What is shuffled of texts in order of their ids is well below their size."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ranges = lambda ids: ids.to_numpy(zero_copy_only=False) // 500
+    sent = spotsigs.packed(docs, ranges, {499: 1})
+    raw, size = docs.agg(F.sum(F.octet_length("text"))).first()[0], sent.agg(F.sum(F.octet_length("data"))).first()[0]
+    assert size < 0.5 * raw
+    back = sent.select("*", *[F.lit(None).cast("long").alias(c) for c in spotsigs.NEAR]).mapInArrow(
+        spotsigs.unpacked, "range long, guest int, doc_id long, text string, d1 long, d2 long, class_id long, n_near long")
+    assert {(r["doc_id"], r["text"], r["range"], r["guest"]) for r in back.collect()} == {
+        (r["doc_id"], r["text"], w, g) for r in docs.collect() for w, g in [(r["doc_id"] // 500, 0)] + [(1, 1)] * (r["doc_id"] == 499)}
