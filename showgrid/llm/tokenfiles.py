@@ -7,8 +7,10 @@ files, so a lost executor leaves no half ones, and blocks are decoded apart from
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from functools import lru_cache
 from operator import itemgetter
 
@@ -30,12 +32,25 @@ END = 2
 #: A block is closed by the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
 #: Characters of texts that are put together at a time, characters of new pieces that the library gets at once, and pieces and ids of the
-#: cache of a task, which forgets half of them beyond.
+#: cache of a task, which forgets half of them beyond; parts that it keeps, and the characters of the longest of those.
 CHUNK_CHARS, TOGETHER, CACHE_PIECES, CACHE_IDS = 1 << 21, 1 << 15, 3 << 19, 1 << 23
+CACHE_PARTS, LONG_PART = 3 << 17, 64
 BLOCKS = "part int, first long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
+def byte_names() -> dict[int, str]:
+    """The character by which a byte-level model names each byte: the visible ones by themselves, the others by those from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
 #: A space with white space beside it; a space between two other characters.
 SECOND = itemgetter(1)
 NEAR_SPACE, LONE_SPACE = re.compile(r" (?:\s|(?<=\s ))"), re.compile(r" (?<=\S )(?=\S)")
+#: Pieces of a space, ASCII and Latin-1 letters, without white space at the other ends, and how a byte-level tokenizer cuts them into parts. Beyond these characters
+#: the library alone says what a letter is.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+SIMPLE = re.compile(r" [!-~À-ÖØ-öø-ÿ]+(?:[ \n\t]+[!-~À-ÖØ-öø-ÿ]+)*")
+PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
+BYTE_NAMES = byte_names()
 
 
 class Pieces(dict):
@@ -52,6 +67,14 @@ class Pieces(dict):
         return number
 
 
+def is_byte_level(library: Tokenizer) -> bool:
+    """Whether texts are only cut by the usual pattern and named by bytes before the model gets them."""
+    told = json.loads(library.to_str())
+    before = told["pre_tokenizer"] or {}
+    return (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and told["normalizer"] is None
+            and told["model"]["type"] == "BPE" and all(t["special"] for t in told["added_tokens"]))
+
+
 class TextEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each distinct piece while the cache lasts.
 
@@ -62,6 +85,7 @@ class TextEncoder:
     def __init__(self, model: str, end: int):
         self.library = Tokenizer.from_file(model)
         self.library.encode_special_tokens = True
+        self.parts, self.simple = {}, SIMPLE.fullmatch if is_byte_level(self.library) else lambda piece: None
         self.first, self.later = Pieces(self, ""), Pieces(self, " ")
         self.count, self.waiting = 1, []  # piece 0 is the end id
         self.flat, self.starts, self.sizes, self.uses = np.array([end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
@@ -84,26 +108,52 @@ class TextEncoder:
         self.starts, self.sizes, self.uses, self.count = ends - sizes, sizes, np.zeros(len(sizes), np.int64), len(sizes)
 
     def learn(self) -> None:
-        """Asks for the ids of new pieces. Those that begin with a space and have none after it or at the end are asked for many at a time, as parts of one text."""
-        starts, sizes, flat, have = np.zeros(len(self.waiting), np.int64), np.zeros(len(self.waiting), np.int64), [self.flat], len(self.flat)
-        joined = np.array([i for i, p in enumerate(self.waiting) if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()], np.int64)
-        for i in np.setdiff1d(np.arange(len(self.waiting)), joined).tolist():
-            flat.append(np.array(self.library.encode(self.waiting[i], add_special_tokens=False).ids, np.uint32))
+        """Finds the ids of new pieces: of simple ones by their parts, of others from the library. Those that begin with a space and have none after it or at the end are taken many at a time, as parts of one text."""
+        waiting, self.waiting = self.waiting, []
+        starts, sizes, flat, have = np.zeros(len(waiting), np.int64), np.zeros(len(waiting), np.int64), [self.flat], len(self.flat)
+        simple = np.fromiter((self.simple(p) is not None for p in waiting), bool, len(waiting))
+        rest = np.flatnonzero(~simple).tolist()
+        joined = [i for i in rest if (p := waiting[i])[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+        for i in sorted(set(rest).difference(joined)):
+            flat.append(np.array(self.library.encode(waiting[i], add_special_tokens=False).ids, np.uint32))
             starts[i], sizes[i] = have, len(flat[-1])
             have += len(flat[-1])
-        ends = np.cumsum([len(self.waiting[i]) for i in joined.tolist()])
-        for run in np.split(joined, np.flatnonzero(np.diff(ends // TOGETHER)) + 1) if len(joined) else []:
-            pieces = [self.waiting[i] for i in run.tolist()]
-            found = self.library.encode("".join(pieces), add_special_tokens=False)
-            flat.append(np.array(found.ids, np.uint32))
-            last = np.fromiter(map(SECOND, found.offsets), np.int64, len(flat[-1])) - 1  # a leading space may have been taken off the offsets, never the end
-            cuts = np.searchsorted(last, np.cumsum(list(map(len, pieces))))
-            sizes[run] = np.diff(cuts, prepend=0)
-            starts[run] = have + cuts - sizes[run]
-            have += len(flat[-1])
+        for run, ids, upto in (*self.by_parts(waiting, np.flatnonzero(simple)), *self.by_library(waiting, np.array(joined, np.int64))):
+            flat.append(ids)
+            sizes[run] = np.diff(upto, prepend=0)
+            starts[run] = have + upto - sizes[run]
+            have += len(ids)
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
         self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
-        self.flat, self.waiting = np.concatenate(flat), []
+        self.flat = np.concatenate(flat)
+
+    def by_parts(self, waiting: list[str], run: np.ndarray):
+        """(run, ids, number of ids up to the end of each) of simple pieces. The library's model is asked for new parts, without its passes over the text that come before."""
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        if len(run):
+            pieces = [waiting[i] for i in run.tolist()]
+            parts = PART.findall("".join(pieces))
+            new, tokenize = list(set(parts).difference(self.parts)), self.library.model.tokenize
+            names = "\0".join(new).encode().decode("latin-1").translate(BYTE_NAMES).split(BYTE_NAMES[0])
+            known = self.parts
+            known.update(zip(new, [array("I", [t.id for t in tokenize(n)]).tobytes() for n in names]))
+            cells = [known[p] for p in parts]
+            for p in new:
+                if len(p) > LONG_PART:
+                    del known[p]
+            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+            upto = np.cumsum(np.fromiter(map(len, cells), np.int64, len(cells)) // 4)
+            yield run, np.frombuffer(b"".join(cells), np.uint32), upto[np.searchsorted(ends, np.cumsum(list(map(len, pieces))))]
+
+    def by_library(self, waiting: list[str], joined: np.ndarray):
+        """The same of other pieces, about ``TOGETHER`` characters at a time."""
+        ends = np.cumsum([len(waiting[i]) for i in joined.tolist()])
+        for run in np.split(joined, np.flatnonzero(np.diff(ends // TOGETHER)) + 1) if len(joined) else []:
+            pieces = [waiting[i] for i in run.tolist()]
+            found = self.library.encode("".join(pieces), add_special_tokens=False)
+            last = np.fromiter(map(SECOND, found.offsets), np.int64, len(found.ids)) - 1  # a leading space may have been taken off the offsets, never the end
+            yield run, np.array(found.ids, np.uint32), np.searchsorted(last, np.cumsum(list(map(len, pieces))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and the number of ids of each."""

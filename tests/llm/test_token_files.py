@@ -70,6 +70,40 @@ def test_cut_texts_have_the_ids_of_whole_texts(text):
     assert ids.tolist() == want * 2 and n.tolist() == [len(want)] * 2
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'sdtrevmlL 09.,!-_éÿß×ª\n\n\t\r\x85\xa0\0日"), min_size=1, max_size=9), max_size=12))
+def test_parts_of_new_pieces_have_the_ids_of_whole_texts(words):
+    text = " ".join(["a", *words])
+    ids, _ = tokenfiles.TextEncoder.encode(parts_encoder(), [text])
+    assert ids.tolist() == library().encode(text, add_special_tokens=False).ids + [2]
+
+
+@lru_cache
+def parts_encoder():
+    return tokenfiles.TextEncoder(tokenfiles.MODEL, 2)
+
+
+def test_ordinary_words_spare_the_library_its_passes(monkeypatch):
+    """New pieces of ordinary words are looked up by their parts; the library's passes get the rest only. A small store of parts changes nothing."""
+    monkeypatch.setattr(tokenfiles, "CACHE_PARTS", 50)
+    encoder, passed = tokenfiles.TextEncoder(tokenfiles.MODEL, 2), []
+    real = encoder.library
+
+    class Watched:
+        model = real.model
+
+        def encode(self, text, **more):
+            passed.append(text)
+            return real.encode(text, **more)
+
+    encoder.library = Watched()
+    texts = ["x " + " ".join(f"word{k}{i}.\nNext'll été{i}," for i in range(300)) + " " + "y" * 5000 + " 日本" for k in range(3)]
+    for t in texts:
+        ids, _ = encoder.encode([t])
+        assert ids.tolist() == library().encode(t, add_special_tokens=False).ids + [2]
+    assert sum(map(len, passed)) < 20 and max(map(len, encoder.parts)) <= tokenfiles.LONG_PART
+
+
 def test_full_cache_changes_nothing(monkeypatch, small_rows):
     monkeypatch.setattr(tokenfiles, "CACHE_PIECES", 300)
     monkeypatch.setattr(tokenfiles, "TOGETHER", 500)
