@@ -146,7 +146,9 @@ def showtime_api_sessions(documents: DataFrame, cinemas: dict[int, str] | None =
         .select("cinema_id", "location", "day", "m", "f.Language", F.explode("f.Showtimes").alias("st"))
         .where((F.col("st.CinemaId") == F.col("cinema_id")) & F.col("day").isNotNull())
     )
-    director = titlecase_if_upper(blank_to_null(collapse_whitespace(F.col("m.Director"))))
+    # a column of its own: the title case names it more than once, and each time would clean the text again
+    rows = rows.withColumn("director", blank_to_null(collapse_whitespace(F.col("m.Director"))))
+    director = titlecase_if_upper(F.col("director"))
     return rows.select(
         F.col("m.Key").alias("film_key"), F.trim("m.Title").alias("title"), director.alias("director"), "location",
         F.concat_ws(" ", F.col("day").cast("string"), F.col("st.Time")).alias("timestamp"),

@@ -73,3 +73,16 @@ def test_first_batch_of_sessions_meets_no_table(spark, tmp_path):
     table.merge(new, upsert_screenings)
     assert table.read().count() == batch.select(*SCREENING_KEYS).distinct().count()
     assert all(len(list(b.glob("*.parquet"))) <= SLICES for b in (tmp_path / "t").glob("bucket=*"))
+
+
+def test_directors_of_showtimes_are_cleaned_once(spark):
+    """The optimized plan names the clean-up of the text a single time, and the title case stays as it was."""
+    from showgrid.sources.readers import showtime_api_sessions
+
+    doc = '{"d":{"Cinemas":[{"Id":35,"Dates":[{"FilterDate":"/Date(1772323200000)/","Movies":[%s]}]}]}}'
+    movie = '{"Key":"m%d","Title":" T ","Director":%s,"Formats":[{"Language":"VOSE","Showtimes":[{"CinemaId":35,"Time":"10:30","VistaCinemaId":"v","ShowtimeId":"1"}]}]}'
+    names = ['"ANA  O\'NEIL"', '"Ana  lópez "', '"  "', "null"]
+    docs = spark.createDataFrame([(doc % ",".join(movie % (i, n) for i, n in enumerate(names)),)], "document string")
+    sessions = showtime_api_sessions(docs)
+    assert sessions._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r["director"] for r in sessions.orderBy("film_key").collect()] == ["Ana O'Neil", "Ana lópez", None, None]
